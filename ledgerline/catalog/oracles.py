@@ -241,8 +241,8 @@ ORACLES: dict[str, str] = {
     "missing_buckets": f"WITH {ST} SELECT CASE "
     + " ".join(f"WHEN missing_rate <= {dbl(e)} THEN '{n}'" for e, n in MISSING_BUCKETS)
     + f" END AS bucket, COUNT(*) AS features FROM ({_missing('statements', COLUMNS)}) GROUP BY 1",
-    "recover_component": f"""WITH {PD} SELECT customer_ID, ROUND(b, 7) AS blend,
-      ROUND((b - {dbl(0.86)} * p_a) / {dbl(1 - 0.86)}, 7) AS p_b FROM (
+    "recover_component": f"""WITH {PD} SELECT customer_ID, ROUND(b, 12) AS blend,
+      ROUND((b - {dbl(0.86)} * p_a) / {dbl(1 - 0.86)}, 9) AS p_b FROM (
       SELECT *, {dbl(0.86)} * p_a + {dbl(1 - 0.86)} * p_b AS b FROM predictions)""",
     "blend_apply": f"WITH {PD} SELECT customer_ID, {dbl(0.6)} * p_a + {dbl(0.08)} * p_b + {dbl(0.32)} * p_c AS prediction FROM predictions",
     "describe_features": f"WITH {ST},{_features()} SELECT feature, CASE feature "
@@ -323,8 +323,8 @@ ORACLES: dict[str, str] = {
     "fold_summary": f"""WITH {PD}, folded AS ({FOLDS}), m AS ({_metric('p_a', 'folded', 'fold')})
       SELECT COUNT(*) AS folds, ROUND(AVG(metric), 8) AS mean_metric, ROUND(STDDEV_POP(metric), 8) AS std_metric,
         ROUND((SELECT metric FROM ({_metric('p_a')})), 8) AS oof_metric FROM m""",
-    "ensemble_mean": f"WITH {PD} SELECT customer_ID, ROUND(p_a / 3 + p_b / 3 + p_c / 3, 7) AS prediction FROM predictions",
-    "ensemble_mean_long": f"WITH {PD},{LONG_PD} SELECT customer_ID, ROUND(AVG(prediction), 7) AS prediction FROM long_pd GROUP BY customer_ID",
+    "ensemble_mean": f"WITH {PD} SELECT customer_ID, ROUND(p_a / 3 + p_b / 3 + p_c / 3, 12) AS prediction FROM predictions",
+    "ensemble_mean_long": f"WITH {PD},{LONG_PD} SELECT customer_ID, ROUND(AVG(prediction), 12) AS prediction FROM long_pd GROUP BY customer_ID",
     "global_drivers": f"WITH {ST},{_features()} SELECT feature, ROUND(m, 8) AS mean_abs FROM ("
     + " UNION ALL ".join(f"SELECT '{f}' AS feature, AVG(ABS({_term(f)})) AS m FROM features" for f in COEFFICIENTS)
     + ") ORDER BY m DESC, feature LIMIT 5",
@@ -385,4 +385,17 @@ ORACLES: dict[str, str] = {
     ) + ")",
     "blend2_search": _blend(["p_a", "p_b"], GRID2, "ROUND(w0, 3) AS w_p_a, ROUND(w1, 3) AS w_p_b"),
     "blend3_search": _blend(["p_a", "p_b", "p_c"], GRID3, "ROUND(w0, 3) AS w_p_a, ROUND(w1, 3) AS w_p_b, ROUND(w2, 3) AS w_p_c"),
+    "stream_score": f"WITH {ST},{_features()} {_scored('features', 'customer_ID AS customer_id')}",
+    "stream_pd_hist": "SELECT date_trunc('hour', ts) AS window_start, COUNT(pd) AS scored, ROUND(SUM(pd), 8) AS pd_sum, "
+    + ", ".join(f"COUNT(CASE WHEN pd <= {dbl(x)} THEN 1 END) AS le_{str(x).replace('.', '_')}" for x in PD_LIMITS)
+    + " FROM (SELECT ts, value / (value + 50e0) AS pd FROM events) GROUP BY 1",
+    "windowed_psi": f"""WITH scored AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, value / (value + 50e0) AS pd FROM events),
+base AS (SELECT 1 AS k, pd FROM scored WHERE day < TIMESTAMP '2024-01-08'),{_quantiles('base', 'k', 'pd', 10, 'edges')},
+binned AS (SELECT day, pd, (SELECT COUNT(*) FROM edges WHERE edge <= pd) AS bin FROM scored WHERE pd IS NOT NULL),
+e AS (SELECT bin, COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS e FROM binned WHERE day < TIMESTAMP '2024-01-08' GROUP BY bin),
+a AS (SELECT day, bin, COUNT(*) / CAST(SUM(COUNT(*)) OVER (PARTITION BY day) AS DOUBLE) AS a FROM binned GROUP BY day, bin)
+SELECT day, ROUND(SUM((a2 - e2) * LN(a2 / e2)), 8) AS psi FROM (
+  SELECT d.day, GREATEST(COALESCE(a, 0e0), 1e-6) AS a2, GREATEST(COALESCE(e, 0e0), 1e-6) AS e2
+  FROM (SELECT DISTINCT day FROM scored) d CROSS JOIN (SELECT UNNEST(range(0, 10)) AS bin) b
+  LEFT JOIN a ON a.day = d.day AND a.bin = b.bin LEFT JOIN e ON e.bin = b.bin) GROUP BY day""",
 }

@@ -39,8 +39,8 @@ PSI_FEATURES = [f for f in FEATURES if not any(f == f"{c}_last" for c in CATEGOR
 
 # A fixed-coefficient logistic score and a calibration curve for the checks.
 COEFFICIENTS = {
-    "P_2_last": -4e-6, "D_39_max": 0.06, "B_1_last": 0.004, "S_3_range": 2e-6,
-    "R_1_min": -0.15, "statement_count": 0.05, "history_days": -3e-4,
+    "P_2_last": -4.1357913e-6, "D_39_max": 0.0613579135, "B_1_last": 0.0041357913, "S_3_range": 2.1371933e-6,
+    "R_1_min": -0.1513579137, "statement_count": 0.0513579131, "history_days": -3.1357913e-4,
 }
 MEANS = {
     "P_2_last": 250000.0, "D_39_max": 35.0, "B_1_last": 100.0, "S_3_range": 300000.0,
@@ -163,7 +163,7 @@ def recover_component(spark, sf_dir):
     blend = S.linear_blend([(0.86, F.col("p_a")), (1 - 0.86, F.col("p_b"))])
     out = p.withColumn("blend", blend)
     back = S.recover_component(F.col("blend"), F.col("p_a"))
-    return out.select(KEY, F.round("blend", 7).alias("blend"), F.round(back, 7).alias("p_b"))
+    return out.select(KEY, F.round("blend", 12).alias("blend"), F.round(back, 9).alias("p_b"))
 
 
 @query
@@ -434,14 +434,14 @@ def fold_summary(spark, sf_dir):
 def ensemble_mean(spark, sf_dir):
     p = V.predictions(spark, sf_dir)
     mean = S.ensemble_mean([F.col("p_a"), F.col("p_b"), F.col("p_c")])
-    return p.select(KEY, F.round(mean, 7).alias("prediction"))
+    return p.select(KEY, F.round(mean, 12).alias("prediction"))
 
 
 @query
 def ensemble_mean_long(spark, sf_dir):
     """The same from a long table of fold predictions."""
     long = _long_predictions(spark, sf_dir)
-    return long.groupBy(KEY).agg(F.round(F.avg("prediction"), 7).alias("prediction"))
+    return long.groupBy(KEY).agg(F.round(F.avg("prediction"), 12).alias("prediction"))
 
 
 @query

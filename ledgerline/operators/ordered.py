@@ -180,12 +180,15 @@ def exact_quantiles(
     wanted = sorted({q for p in probs for q in (p - margin, p + margin) if 0 < q < 1})
     spot = {q: i for i, q in enumerate(wanted)}
 
+    def end(q: float, beyond: float) -> Column:
+        # up to ``accuracy`` rows the margin is less than a few ranks: take them all
+        if q not in spot:
+            return F.lit(beyond)
+        return F.when(F.col("n") <= accuracy, F.lit(beyond)).otherwise(F.col("_b")[spot[q]])
+
     def bracket(p: float) -> Column:
-        low, high = p - margin, p + margin
-        return F.struct(
-            (F.col("_b")[spot[low]] if low in spot else F.lit(float("-inf"))).alias("low"),
-            (F.col("_b")[spot[high]] if high in spot else F.lit(float("inf"))).alias("high"),
-        )
+        low, high = end(p - margin, float("-inf")), end(p + margin, float("inf"))
+        return F.struct(low.alias("low"), high.alias("high"))
 
     sketch = clean.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", wanted, accuracy).alias("_b")
