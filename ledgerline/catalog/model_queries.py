@@ -96,7 +96,7 @@ def feature_importance(spark, sf_dir):
 @query
 def cross_calibrate(spark, sf_dir):
     p = _predictions(spark, sf_dir).select(KEY, "target", "p_a")
-    return TR.cross_calibrate(p, "p_a")
+    return TR.cross_calibrate(p, "p_a").withColumn("calibrated", F.round("calibrated", 8))
 
 
 @query
@@ -164,4 +164,4 @@ def stream_late_counters(spark, sf_dir):
     counters = ST.pd_counters(_event_scores(_stream(spark, sf_dir, "events")), "pd", "ts")
     path, checkpoint = scratch_path(spark, "closed"), scratch_path(spark, "stream")
     ST.finish(ST.append_counters(counters, path, checkpoint))
-    return spark.read.schema(counters.schema).parquet(path)
+    return spark.read.schema(counters.schema).parquet(path).withColumn("pd_sum", F.round("pd_sum", 8))

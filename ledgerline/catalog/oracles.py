@@ -209,6 +209,23 @@ GRID3 = """SELECT i * 100 + j AS id, a AS w0, b AS w1, 1e0 - a - b AS w2 FROM (
       SELECT i, a, CAST(FLOOR((1e0 - a) * 40) AS INT) AS m FROM (
         SELECT i, CASE WHEN i = 40 THEN 1e0 ELSE i * 25e-3 END AS a FROM (SELECT UNNEST(range(0, 41)) AS i)))))"""
 
+
+
+def _presets() -> str:
+    """Each pick leaves out the earlier ones."""
+    parts, earlier = [], ""
+    for i, (name, t) in enumerate(PRESETS.items()):
+        parts.append(
+            f"k{i} AS (SELECT '{name}' AS label, {dbl(t)} AS wanted, customer_ID, p_a FROM predictions "
+            f"WHERE customer_ID NOT IN (SELECT '' {earlier}) ORDER BY ABS(p_a - {dbl(t)}), customer_ID LIMIT 1)"
+        )
+        earlier += f" UNION ALL SELECT customer_ID FROM k{i}"
+    every = " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(len(PRESETS)))
+    return f"""WITH {PD},
+{(","+chr(10)).join(parts)} SELECT label, wanted, customer_ID, p_a, statements FROM ({every})
+JOIN (SELECT customer_ID, COUNT(*) AS statements FROM statements GROUP BY customer_ID) USING (customer_ID)"""
+
+
 ORACLES: dict[str, str] = {
     "ingest_cast": f"""WITH {ST} SELECT customer_ID, S_2, CAST(P_2 AS FLOAT) AS P_2, CAST(D_39 AS FLOAT) AS D_39,
       CAST(B_1 AS FLOAT) AS B_1, CAST(R_1 AS FLOAT) AS R_1, CAST(S_3 AS FLOAT) AS S_3, B_30, D_63, D_64 FROM statements""",
@@ -398,4 +415,20 @@ SELECT day, ROUND(SUM((a2 - e2) * LN(a2 / e2)), 8) AS psi FROM (
   SELECT d.day, GREATEST(COALESCE(a, 0e0), 1e-6) AS a2, GREATEST(COALESCE(e, 0e0), 1e-6) AS e2
   FROM (SELECT DISTINCT day FROM scored) d CROSS JOIN (SELECT UNNEST(range(0, 10)) AS bin) b
   LEFT JOIN a ON a.day = d.day AND a.bin = b.bin LEFT JOIN e ON e.bin = b.bin) GROUP BY day""",
+    "stream_late_counters": "SELECT date_trunc('hour', ts) AS window_start, COUNT(pd) AS scored, ROUND(SUM(pd), 8) AS pd_sum, "
+    + ", ".join(f"COUNT(CASE WHEN pd <= {dbl(x)} THEN 1 END) AS le_{str(x).replace('.', '_')}" for x in PD_LIMITS)
+    + """ FROM (SELECT ts, value / (value + 50e0) AS pd FROM events) GROUP BY 1
+    HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 2 HOUR""",
+    "preset_customers": _presets(),
+    "cross_calibrate": f"""WITH {PD}, halves AS (SELECT customer_ID, target, p_a, CAST(CASE WHEN r > FLOOR(n / 2) THEN 1 ELSE 0 END AS INT) AS half
+    FROM ({_shuffled('predictions', None)})),
+pooled AS (SELECT half, p_a AS x, SUM(target) AS y, COUNT(*) AS w, ROW_NUMBER() OVER (PARTITION BY half ORDER BY p_a) AS i FROM halves GROUP BY half, p_a),
+spans AS (SELECT a.half, a.i AS a, b.i AS b, SUM(b.y) OVER s / CAST(SUM(b.w) OVER s AS DOUBLE) AS m FROM pooled a JOIN pooled b ON a.half = b.half AND b.i >= a.i
+  WINDOW s AS (PARTITION BY a.half, a.i ORDER BY b.i)),
+tails AS (SELECT half, a, b, MIN(m) OVER (PARTITION BY half, a ORDER BY b DESC) AS m FROM spans),
+fitted AS (SELECT t.half, p.x, MAX(t.m) AS v FROM tails t JOIN pooled p ON p.half = t.half AND p.i = t.b GROUP BY t.half, p.x),
+steps AS (SELECT half, x, v, LEAD(x) OVER w AS x2, LEAD(v) OVER w AS v2, ROW_NUMBER() OVER w AS i FROM fitted WINDOW w AS (PARTITION BY half ORDER BY x))
+SELECT customer_ID, target, p_a, h.half, ROUND(CASE WHEN s.x IS NULL THEN (SELECT MIN(v) FROM fitted f WHERE f.half = 1 - h.half)
+  WHEN s.x2 IS NULL OR s.x = p_a THEN s.v ELSE s.v + (s.v2 - s.v) * (p_a - s.x) / (s.x2 - s.x) END, 8) AS calibrated
+FROM halves h LEFT JOIN steps s ON s.half = 1 - h.half AND s.x <= p_a AND (s.x2 > p_a OR s.x2 IS NULL)""",
 }

@@ -10,6 +10,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.literals import double_array
+
 LITERAL_KNOTS = 2_000
 
 
@@ -31,7 +33,7 @@ def calibrate(df: DataFrame, score: str, x: Sequence[float], y: Sequence[float],
     slopes = [(y[i + 1] - y[i]) / (x[i + 1] - x[i]) for i in range(m - 1)] + [0.0]
     at = F.col("_knot").cast("int")
     p = F.col("_p")
-    inner = F.get(F.lit(slopes), at - 1) * (p - F.get(F.lit(x), at - 1)) + F.get(F.lit(y), at - 1)
+    inner = F.get(double_array(slopes), at - 1) * (p - F.get(double_array(x), at - 1)) + F.get(double_array(y), at - 1)
     value = (
         F.when(p.isNull() | F.isnan(p), None)
         .when(at == 0, y[0])

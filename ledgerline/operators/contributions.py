@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.describe import describe_name
+from ledgerline.functions.literals import rows_from
 from ledgerline.functions.scores import finite_or, sigmoid
 
 REASONS = 4
@@ -83,10 +84,8 @@ def global_drivers(df: DataFrame, contributions: Mapping[str, Column], k: int =
     """Features by mean absolute contribution, in one pass over the wide rows."""
     names = list(contributions)
     aggs = [F.avg(F.abs(contributions[f])).alias(f"c{i}") for i, f in enumerate(names)]
-    rows = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("mean_abs")) for i, f in enumerate(names)]
-    )
-    return df.agg(*aggs).select(F.inline(rows)).orderBy(F.desc("mean_abs"), "feature").limit(k)
+    rows = rows_from(names, {"mean_abs": "c"})
+    return df.agg(*aggs).select(rows).orderBy(F.desc("mean_abs"), "feature").limit(k)
 
 
 def riskiest_customers(df: DataFrame, logit: Column, key: str, k: int = 3) -> DataFrame:

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.literals import quoted
 from ledgerline.operators.joins import lookup_join
 from ledgerline.operators.ordered import exact_quantiles
-from ledgerline.session import materialize
+from ledgerline.session import materialize, spread
 
 # Smallest share, status thresholds and the verdict's tolerance.
 MIN_SHARE = 1e-6
@@ -18,12 +19,11 @@ MODERATE, SHIFTED = 0.10, 0.25
 SHIFTED_SHARE_LIMIT = 0.05
 
 
-def stack_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
+def stack_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form (feature, value) of the columns; missing values are left out."""
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    return df.select(*keep, F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    numbers = df.selectExpr(*map(quoted, keep), *[f"CAST({quoted(c)} AS DOUBLE) AS {quoted(c)}" for c in columns])
+    long = numbers.unpivot(list(keep), list(columns), "feature", "value")
+    return long.where("value IS NOT NULL AND NOT isnan(value)")
 
 
 def psi(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str = "value", bins: int = 10) -> DataFrame:
@@ -42,7 +42,7 @@ def psi(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str =
     cells = lookup_join(both, edges, by, "left").select(*by, "_side", bin_.alias("_bin"))
     counts = cells.groupBy(*by).agg(
         *[
-            F.count(F.when((F.col("_side") == side) & (F.col("_bin") == i), 1)).alias(f"{name}{i}")
+            F.expr(f"count_if(_side = {side} AND _bin = {i}) AS {name}{i}")
             for side, name in ((0, "e"), (1, "a"))
             for i in range(bins)
         ]
@@ -76,8 +76,9 @@ def _present(df: DataFrame, by: Sequence[str], value: str, side: int) -> DataFra
 
 
 def psi_features(expected: DataFrame, actual: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """PSI of every feature in one job, as (feature, psi) rows."""
-    return psi(stack_values(expected, columns), stack_values(actual, columns), ["feature"], "value", bins)
+    """PSI of every feature in one job, as (feature, psi) rows. Both sides are stored tables."""
+    long = [stack_values(spread(df), columns) for df in (expected, actual)]
+    return psi(*long, ["feature"], "value", bins)
 
 
 def psi_score(expected: DataFrame, actual: DataFrame, score: str, bins: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.literals import double_array, int_array
 from ledgerline.operators.joins import lookup_join
 from ledgerline.session import materialize
 
@@ -106,7 +107,7 @@ def _cut_points(base: DataFrame, rows_per_bucket: int) -> tuple[list[float], lis
     """Bucket edges and the number of pieces per bucket; none when one bucket is enough."""
     grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
     found = base.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", grid, 4 * MAX_BUCKETS).alias("q")
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", double_array(grid), 4 * MAX_BUCKETS).alias("q")
     ).first()
     buckets = min(MAX_BUCKETS, math.ceil(found["n"] / rows_per_bucket))
     if buckets <= 1:
@@ -148,7 +149,7 @@ def _piece(key: str | None, pieces: Sequence[int]) -> Column:
     """Even slices of the hash range, in hash order, for the buckets that need them."""
     if key is None or max(pieces) == 1:
         return F.lit(0)
-    slices = F.element_at(F.lit(list(pieces)), F.col("_bucket") + 1)
+    slices = F.element_at(int_array(pieces), F.col("_bucket") + 1)
     position = F.conv(F.substring(_hash(key), 1, _HEX_DIGITS), 16, 10).cast("long")
     return F.when(slices == 1, F.lit(0)).otherwise(
         F.floor(position * slices / F.lit(16**_HEX_DIGITS)).cast("int")
@@ -191,7 +192,7 @@ def exact_quantiles(
         return F.struct(low.alias("low"), high.alias("high"))
 
     sketch = clean.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", wanted, accuracy).alias("_b")
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", double_array(wanted or [0.5]), accuracy).alias("_b")
     )
     fitted = sketch.select(*groups, "n", F.array(*[bracket(p) for p in probs]).alias("_brackets"))
     fitted = materialize(fitted, "brackets")
@@ -212,7 +213,7 @@ def exact_quantiles(
     )
     ahead = Window.partitionBy(*groups, "n", "_i").orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_c").over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    position = F.element_at(F.lit(probs), F.col("_i") + 1) * (F.col("n") - 1)
+    position = F.element_at(double_array(probs), F.col("_i") + 1) * (F.col("n") - 1)
     found = F.coalesce("_v", F.lit(float("-inf")))
     picked = (
         counted.select(*groups, "n", "_i", "_v", upto.alias("_upto"), position.alias("_h"))

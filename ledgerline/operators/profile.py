@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.literals import quoted, rows_from
 from ledgerline.operators.ordered import exact_quantiles
 from ledgerline.roles import Roles
 
@@ -26,22 +27,10 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(drawn, key).limit(n)
 
 
-def _per_column(columns: Sequence[str], fields: dict[str, str], label: str) -> Column:
-    """One output row per column from aggregates named ``<prefix><i>``."""
-    return F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(c).alias(label), *[F.col(f"{p}{i}").alias(name) for name, p in fields.items()])
-                for i, c in enumerate(columns)
-            ]
-        )
-    )
-
-
 def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Share of missing values per column, in one pass."""
-    aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"r{i}") for i, c in enumerate(columns)]
-    return df.agg(*aggs).select(_per_column(columns, {"missing_rate": "r"}, "feature"))
+    aggs = [F.expr(f"avg(CAST({quoted(c)} IS NULL AS DOUBLE)) AS r{i}") for i, c in enumerate(columns)]
+    return df.agg(*aggs).select(rows_from(columns, {"missing_rate": "r"}))
 
 
 def missing_bucket(rate: Column) -> Column:

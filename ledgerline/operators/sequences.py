@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.literals import quoted, rows_from
 from ledgerline.roles import Roles
 
 # Sequence length, variance floor and clipping range.
@@ -19,19 +20,11 @@ def norm_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and population deviation of each column as (feature, mean, std) rows."""
     aggs = []
     for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"m{i}").alias("mean"),
-                F.sqrt(F.greatest(F.col(f"v{i}"), F.lit(VARIANCE_FLOOR))).alias("std"),
-            )
-            for i, c in enumerate(columns)
-        ]
-    )
-    return df.agg(*aggs).select(F.inline(rows))
+        x = f"CAST({quoted(c)} AS DOUBLE)"
+        aggs += [F.expr(f"avg({x}) AS m{i}"), F.expr(f"var_pop({x}) AS v{i}")]
+    rows = df.agg(*aggs).select(rows_from(columns, {"feature_mean": "m", "variance": "v"}))
+    std = F.sqrt(F.greatest(F.col("variance"), F.lit(VARIANCE_FLOOR)))
+    return rows.select("feature", F.col("feature_mean").alias("mean"), F.when(F.col("variance").isNotNull(), std).alias("std"))
 
 
 def stats_as_dict(stats: DataFrame) -> dict[str, tuple[float | None, float | None]]:

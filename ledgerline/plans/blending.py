@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.literals import double_matrix, int_array
 from ledgerline.operators.rank_metrics import GOOD_WEIGHT, TOP_SHARE, gini_and_capture, rank_metric
+from ledgerline.session import spread
 
 # Grid sizes of the two searches.
 TWO_WAY_STEPS = 51
@@ -48,8 +50,8 @@ def _blended(columns: Sequence[str]) -> Column:
 
 
 def _per_weight(df: DataFrame, columns: Sequence[str], grid: Sequence[Sequence[float]], ids: Sequence[int], keep: Sequence[str]) -> DataFrame:
-    chosen = F.lit([list(map(float, grid[i])) for i in ids])
-    numbers = F.lit(list(ids))
+    chosen = double_matrix([grid[i] for i in ids])
+    numbers = int_array(ids)
     return (
         df.select(*keep, *columns, F.posexplode(chosen).alias("_at", "_w"))
         .select(*keep, F.element_at(numbers, F.col("_at") + 1).alias("weight_id"), _blended(columns).alias("blend"))
@@ -126,6 +128,7 @@ def blend_search(
     Histogram bounds rule out weights that cannot win; only the rest, usually a few
     neighbours of the optimum, are sorted row by row. ``df`` should be a stored table.
     """
+    df = spread(df.select(key, target, *columns))
     ends = df.agg(
         F.min(F.least(*columns) if len(columns) > 1 else F.col(columns[0])).alias("lo"),
         F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])).alias("hi"),
@@ -142,7 +145,7 @@ def blend_search(
             floor = max(r["lo"] for r in rows) - 1e-9
             ids = sorted(r["weight_id"] for r in rows if r["hi"] >= floor)
     scored = evaluate_weights(df, columns, grid, ids, target, key)
-    weights = F.element_at(F.lit([list(map(float, w)) for w in grid]), F.col("weight_id") + 1)
+    weights = F.element_at(double_matrix(grid), F.col("weight_id") + 1)
     return (
         scored.orderBy(F.desc_nulls_last("metric"), "weight_id")
         .limit(1)
