@@ -23,11 +23,11 @@ DATE_FEATURES = ("statement_count", "history_days")
 
 def _numeric_aggregates(column: str) -> list[Column]:
     x = quoted(column)
-    # a NULL key is skipped by min_by/max_by, so the first/last present value wins
-    present = f"CASE WHEN {x} IS NOT NULL THEN _ord END"
+    # only present values take part, so the first/last of them wins
+    present = f"FILTER (WHERE {x} IS NOT NULL)"
     calls = {
         "mean": f"avg({x})", "std": f"stddev_samp({x})", "min": f"min({x})", "max": f"max({x})",
-        "first": f"min_by({x}, {present})", "last": f"max_by({x}, {present})",
+        "first": f"min_by({x}, _ord) {present}", "last": f"max_by({x}, _ord) {present}",
     }
     return [F.expr(f"{call} AS {quoted(f'{column}_{stat}')}") for stat, call in calls.items()]
 
@@ -85,7 +85,7 @@ def categorical_aggregates(df: DataFrame, roles: Roles, columns: Sequence[str] |
     for i, c in enumerate(columns):
         here = f"_i = {i} AND _value IS NOT NULL"
         aggs += [
-            F.expr(f"CAST(max_by(_value, CASE WHEN {here} THEN _ord END) AS {types[c]}) AS {quoted(f'{c}_last')}"),
+            F.expr(f"CAST(max_by(_value, _ord) FILTER (WHERE {here}) AS {types[c]}) AS {quoted(f'{c}_last')}"),
             F.expr(f"count_if({here}) AS {quoted(f'{c}_nunique')}"),
             F.expr(f"coalesce(sum(CASE WHEN {here} THEN _times END), 0L) AS {quoted(f'{c}_count')}"),
         ]
@@ -97,9 +97,22 @@ def date_features(df: DataFrame, roles: Roles) -> DataFrame:
     return df.groupBy(roles.key).agg(*_date_aggregates(df, roles))
 
 
-def customer_features(df: DataFrame, roles: Roles) -> DataFrame:
+def gather_customers(df: DataFrame, roles: Roles) -> DataFrame:
+    """Bring each customer's rows together ahead of a wide aggregation.
+
+    An aggregation buffer is about as wide as a customer's whole history. Where the
+    rows of a customer lie scattered over many files (say, one per month), partial
+    aggregation would ship one buffer per row; moving the rows first is far cheaper.
+    Rebalancing lets adaptive execution split the partition of a huge customer.
+    """
+    return df.hint("rebalance", F.col(roles.key))
+
+
+def customer_features(df: DataFrame, roles: Roles, scattered: bool = False) -> DataFrame:
     """All features: numeric, trend, categorical (raw last value) and date-derived.
 
+    Set ``scattered`` when a customer's statements are not stored next to each other.
+
     Numeric and date statistics share one aggregation. The categorical block turns
     every statement into one row per column, so it reads its own few columns.
     Both blocks leave the data hash-partitioned by customer: their join adds no
@@ -108,11 +121,8 @@ def customer_features(df: DataFrame, roles: Roles) -> DataFrame:
     numeric = roles.numeric_columns(df)
     categorical = roles.categorical_columns(df)
     aggs = [a for c in numeric for a in _numeric_aggregates(c)] + _date_aggregates(df, roles)
-    base = (
-        df.select(roles.key, roles.date, roles.order_key(df).alias("_ord"), *numeric)
-        .groupBy(roles.key)
-        .agg(*aggs)
-    )
+    rows = df.select(roles.key, roles.date, roles.order_key(df).alias("_ord"), *numeric)
+    base = (gather_customers(rows, roles) if scattered else rows).groupBy(roles.key).agg(*aggs)
     wide = add_trends(base, numeric)
     if categorical:
         wide = wide.join(categorical_aggregates(df, roles, categorical), roles.key)
