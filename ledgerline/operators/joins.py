@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import materialize
+
 BROADCAST_ROWS = 200_000
-SALTS = 32
+HOT_SHARE = 2_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -16,26 +19,44 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
+    """Keys holding more than ``1 / share`` of the rows: fewer than ``share`` of them."""
+    counts = df.where(_complete(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = materialize(counts, "key_counts")
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    return counts.where(F.col("_rows") * share > total).select(*on)
+
+
 def lookup_join(
     left: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
     """Join a large, possibly skewed ``left`` to a lookup with one row per key.
 
-    A lookup of checked size is broadcast. A larger one is joined on (key, salt):
-    each lookup row is repeated once per salt and the rows of a hot left key are
-    spread over all salts by a hash of the whole row.
+    A lookup of checked size is broadcast, so ``left`` is not moved at all. Beyond
+    that size, the few keys that are frequent in ``left`` meet their lookup rows by
+    broadcast, and only the evenly spread rest is shuffled. Rows with a NULL key match
+    nothing and are not shuffled either. ``how``: inner, left, left_semi, left_anti.
     """
+    on = list(on)
     if fits_broadcast(lookup, max_rows):
-        return left.join(F.broadcast(lookup), list(on), how)
-    order = left.columns
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    spread = lookup.withColumn("_salt", F.explode(F.lit(list(range(salts)))))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+        return left.join(F.broadcast(lookup), on, how)
+    hot = F.broadcast(hot_keys(left, on, share))
+    present = left.where(_complete(on))
+    frequent = present.join(hot, on, "left_semi").join(F.broadcast(lookup.join(hot, on, "left_semi")), on, how)
+    rest = present.join(hot, on, "left_anti").join(lookup, on, how)
+    out = frequent.unionByName(rest)
+    if how in ("left", "left_anti"):
+        out = out.unionByName(left.where(~_complete(on)), allowMissingColumns=True)
+    return out
+
+
+def _complete(on: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on))
 
 
 def with_labels(features: DataFrame, labels: DataFrame, key: str = "customer_ID") -> DataFrame:
@@ -53,12 +74,12 @@ def labels_for_all(ids: DataFrame, labels: DataFrame, key: str = "customer_ID",
 
 def keep_keys(df: DataFrame, keys: DataFrame, key: str = "customer_ID") -> DataFrame:
     """Rows whose key is in ``keys`` (semi-join)."""
-    return lookup_join(df, keys.select(key).distinct(), [key], "left_semi")
+    return lookup_join(df, keys.select(key), [key], "left_semi")
 
 
 def drop_keys(df: DataFrame, keys: DataFrame, key: str = "customer_ID") -> DataFrame:
     """Rows whose key is not in ``keys`` (anti-join)."""
-    return lookup_join(df, keys.select(key).distinct(), [key], "left_anti")
+    return lookup_join(df, keys.select(key), [key], "left_anti")
 
 
 def align_predictions(

@@ -143,13 +143,22 @@ def test_numbers_sort_as_numbers(spark):
 
 @pytest.mark.parametrize("max_rows", [1_000, 0])
 def test_lookup_join_both_ways(spark, max_rows):
-    left = spark.range(500).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"), "id")
+    """One key holds 60 % of the rows, some keys are missing."""
+    key = F.when(F.col("id") < 300, 0).when(F.col("id") >= 480, None).otherwise(F.col("id"))
+    left = spark.range(500).select(key.alias("k"), "id")
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    got = J.lookup_join(left, right, ["k"], "left", max_rows).toPandas()
-    assert len(got) == 500 and got[got.k < 400].v.tolist() == (got[got.k < 400].k * 2).tolist()
-    assert got[got.k >= 400].v.isna().all()
-    assert J.lookup_join(left, right, ["k"], "left_semi", max_rows).count() == 400
-    assert J.lookup_join(left, right, ["k"], "left_anti", max_rows).count() == 100
+    got = J.lookup_join(left, right, ["k"], "left", max_rows, share=10).toPandas()
+    assert sorted(got.id) == list(range(500))
+    assert got[got.k < 400].v.tolist() == (got[got.k < 400].k * 2).tolist()
+    assert got[~(got.k < 400)].v.isna().all()
+    assert J.lookup_join(left, right, ["k"], "inner", max_rows, share=10).count() == 400
+    assert J.lookup_join(left, right, ["k"], "left_semi", max_rows, share=10).count() == 400
+    assert J.lookup_join(left, right, ["k"], "left_anti", max_rows, share=10).count() == 100
+
+
+def test_hot_keys(spark):
+    left = spark.range(500).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id")).alias("k"))
+    assert [r["k"] for r in J.hot_keys(left, ["k"], 10).collect()] == [0]
 
 
 def test_missing_label_fails(spark):
