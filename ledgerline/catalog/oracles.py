@@ -431,4 +431,12 @@ steps AS (SELECT half, x, v, LEAD(x) OVER w AS x2, LEAD(v) OVER w AS v2, ROW_NUM
 SELECT customer_ID, target, p_a, h.half, ROUND(CASE WHEN s.x IS NULL THEN (SELECT MIN(v) FROM fitted f WHERE f.half = 1 - h.half)
   WHEN s.x2 IS NULL OR s.x = p_a THEN s.v ELSE s.v + (s.v2 - s.v) * (p_a - s.x) / (s.x2 - s.x) END, 8) AS calibrated
 FROM halves h LEFT JOIN steps s ON s.half = 1 - h.half AND s.x <= p_a AND (s.x2 > p_a OR s.x2 IS NULL)""",
+    "riskiest_reasons": f"WITH {ST},{_features()}, top AS (SELECT * FROM features ORDER BY {LOGIT_SQL} DESC, customer_ID LIMIT 3), c AS ("
+    + " UNION ALL ".join(f"SELECT customer_ID, '{f}' AS feature, {_term(f)} AS v, CAST({f} AS DOUBLE) AS value FROM top" for f in COEFFICIENTS)
+    + """) SELECT customer_ID, CAST(rn AS INT) AS position, feature, ROUND(v, 4) AS contribution, value FROM (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY v DESC, feature) AS rn FROM c) WHERE rn <= 5""",
+    "score_histogram": f"""WITH {PD},{LONG_PD}, x AS (SELECT model, prediction AS v, MIN(prediction) OVER w AS lo, MAX(prediction) OVER w AS hi,
+        COUNT(*) OVER w AS n FROM long_pd WINDOW w AS (PARTITION BY model))
+      SELECT model, bin, COUNT(*) AS rows, ROUND(COUNT(*) / (n * w), 6) AS density FROM (
+        SELECT *, CAST(LEAST(FLOOR((v - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, (hi - lo) / 50 AS w FROM x) GROUP BY model, bin, w, n""",
 }

@@ -571,6 +571,21 @@ def riskiest_customers(spark, sf_dir):
     return out.select(KEY, F.round("logit", 8).alias("logit"))
 
 
+@query
+def riskiest_reasons(spark, sf_dir):
+    """What drives the three riskiest customers."""
+    f = FT.customer_features(V.statements(spark, sf_dir), ROLES)
+    return C.riskiest_reasons(f, LOGIT.logit(), LOGIT.contributions(), KEY)
+
+
+@query
+def score_histogram(spark, sf_dir):
+    """Score densities of two prediction sets, each over its own range."""
+    long = _long_predictions(spark, sf_dir)
+    out = PR.density_histogram(long, "prediction", "model")
+    return out.select("model", "bin", "rows", F.round("density", 6).alias("density"))
+
+
 @query
 def seeded_sample(spark, sf_dir):
     return PR.seeded_sample(V.stmt_labels(spark, sf_dir), 100, KEY)

@@ -53,10 +53,11 @@ def fit_means(features: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: row[c] if row[c] is not None else 0.0 for c in columns}
 
 
-def reason_codes(contributions: Mapping[str, Column], n: int = REASONS) -> Column:
-    """The ``n`` largest finite positive contributions, as an array of reasons.
+def reason_codes(contributions: Mapping[str, Column], n: int = REASONS, positive_only: bool = True) -> Column:
+    """The ``n`` largest finite contributions, as an array of reasons.
 
     Works inside the row: nothing is exploded or shuffled. Ties go by feature name.
+    ``positive_only`` keeps those that push the risk up.
     """
     entries = F.array(
         *[
@@ -68,8 +69,8 @@ def reason_codes(contributions: Mapping[str, Column], n: int = REASONS) -> Colum
             for f, c in contributions.items()
         ]
     )
-    positive = F.filter(entries, lambda e: e["minus"] < 0)
-    top = F.slice(F.array_sort(positive), 1, n)
+    kept = F.filter(entries, lambda e: e["minus"] < 0) if positive_only else entries
+    top = F.slice(F.array_sort(kept), 1, n)
     return F.transform(
         top,
         lambda e: F.struct(
@@ -91,3 +92,20 @@ def global_drivers(df: DataFrame, contributions: Mapping[str, Column], k: int =
 def riskiest_customers(df: DataFrame, logit: Column, key: str, k: int = 3) -> DataFrame:
     """The ``k`` customers with the highest logit."""
     return df.withColumn("logit", logit).orderBy(F.desc("logit"), key).limit(k)
+
+
+def riskiest_reasons(
+    df: DataFrame, logit: Column, contributions: Mapping[str, Column], key: str, k: int = 3, n: int = 5
+) -> DataFrame:
+    """The strongest contributions of the ``k`` riskiest customers, with the feature's value."""
+    top = riskiest_customers(df, logit, key, k)
+    reasons = reason_codes(contributions, n, positive_only=False)
+    each = top.select("*", F.posexplode(reasons).alias("_at", "_reason"))
+    value = F.coalesce(*[F.when(F.col("_reason.feature") == f, F.col(f).cast("double")) for f in contributions])
+    return each.select(
+        key,
+        (F.col("_at") + 1).alias("position"),
+        F.col("_reason.feature").alias("feature"),
+        F.col("_reason.contribution").alias("contribution"),
+        value.alias("value"),
+    )

@@ -62,8 +62,9 @@ def calibration_curve(
     A score equal to an inner edge belongs to the lower bin.
     """
     probs = (np.linspace(0, 1, bins + 1) * 100 / 100).tolist()
-    edges = exact_quantiles(df, score, probs).first()["q"][1:-1]
-    above = sum((F.col(score) > float(e)).cast("int") for e in edges)
+    found = exact_quantiles(df, score, probs).first()
+    edges = found["q"][1:-1] if found else []
+    above = sum(((F.col(score) > float(e)).cast("int") for e in edges), F.lit(0))
     return (
         df.where(F.col(score).isNotNull())
         .groupBy((above + 1).alias("bin"))

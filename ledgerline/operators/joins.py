@@ -77,6 +77,11 @@ def keep_keys(df: DataFrame, keys: DataFrame, key: str = "customer_ID") -> DataF
     return lookup_join(df, keys.select(key), [key], "left_semi")
 
 
+def keep_listed(df: DataFrame, ids: Sequence[str], key: str = "customer_ID") -> DataFrame:
+    """Rows of a short list of keys; the list is pushed down to the scan."""
+    return df.where(F.col(key).isin(list(ids)))
+
+
 def drop_keys(df: DataFrame, keys: DataFrame, key: str = "customer_ID") -> DataFrame:
     """Rows whose key is not in ``keys`` (anti-join)."""
     return lookup_join(df, keys.select(key), [key], "left_anti")

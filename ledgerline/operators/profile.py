@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.literals import quoted, rows_from
+from ledgerline.operators.joins import lookup_join
 from ledgerline.operators.ordered import exact_quantiles
 from ledgerline.roles import Roles
+from ledgerline.session import materialize
 
 # Missing-rate buckets (upper edge inclusive) and column groups.
 MISSING_BUCKETS = ((0.0, "0%"), (0.1, "0-10%"), (0.3, "10-30%"), (0.5, "30-50%"), (0.9, "50-90%"), (1.01, ">90%"))
@@ -158,26 +160,19 @@ def density_histogram(df: DataFrame, column: str, by: str, bins: int = 50) -> Da
     Each class has its own range, as when every class is drawn on its own; the last
     bin is closed. A class without spread is drawn one unit wide around its value.
     """
-    present = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    x = F.col(column).cast("double")
+    present = df.select(by, F.col(column).cast("double").alias("_x")).where("_x IS NOT NULL AND NOT isnan(_x)")
+    low, high = F.min("_x"), F.max("_x")
+    flat = low == high
     # one row per class
-    rows = present.groupBy(by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"))
-    ranges = {r[by]: (r["lo"], r["hi"], r["n"]) for r in rows.limit(1_001).collect()}
-    if len(ranges) > 1_000:
-        raise ValueError(f"{by} is not a class column: more than 1,000 values")
-    lo = hi = n = None
-    for label, (a, b, size) in ranges.items():
-        a, b = (a - 0.5, b + 0.5) if a == b else (a, b)
-        here = F.col(by).eqNullSafe(F.lit(label))
-        lo = F.when(here, a) if lo is None else lo.when(here, a)
-        hi = F.when(here, b) if hi is None else hi.when(here, b)
-        n = F.when(here, size) if n is None else n.when(here, size)
-    if lo is None:
-        lo = hi = n = F.lit(None).cast("double")
-    width = (hi - lo) / bins
-    bin_ = F.least(F.floor((x - lo) / width), F.lit(bins - 1)).cast("int")
+    ranges = present.groupBy(by).agg(
+        F.when(flat, low - 0.5).otherwise(low).alias("_lo"),
+        (F.when(flat, F.lit(1.0)).otherwise(high - low) / bins).alias("_w"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    placed = lookup_join(present, materialize(ranges, "ranges"), [by], "left")
+    bin_ = F.least(F.floor((F.col("_x") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int")
     return (
-        present.groupBy(by, bin_.alias("bin"), lo.alias("_lo"), width.alias("_w"), n.alias("_n"))
+        placed.groupBy(by, bin_.alias("bin"), "_lo", "_w", "_n")
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(
             by,

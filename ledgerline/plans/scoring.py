@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Protocol
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calibrate import calibrate
-from ledgerline.functions.scores import finite_or, risk_band
+from ledgerline.functions.scores import finite_or, portfolio_stats, risk_band
 from ledgerline.operators.contributions import REASONS, reason_codes
 from ledgerline.operators.encode import encode_last
 from ledgerline.operators.features import align_columns, customer_features, mark_latest
@@ -120,3 +121,17 @@ def what_if_scores(
         F.col(f"customer_id.{roles.key}").alias("customer_id"),
         *[c for c in scored.columns if c != "customer_id"],
     )
+
+
+def run_portfolio(statements: DataFrame, roles: Roles, model: ScoringModel, path: str, mode: str = "errorifexists") -> dict:
+    """Score a portfolio into Parquet; returns customers, seconds, throughput and the high-risk share."""
+    start = time.monotonic()
+    score_portfolio(statements, roles, model).write.mode(mode).parquet(path)
+    seconds = time.monotonic() - start
+    stats = portfolio_stats(statements.sparkSession.read.parquet(path)).first()
+    return {
+        "customers": stats["customers"],
+        "seconds": seconds,
+        "customers_per_second": stats["customers"] / seconds if seconds else None,
+        "share_high_risk": stats["share_high_risk"],
+    }

@@ -137,3 +137,19 @@ def test_search_start_value_wins_ties(spark):
     best = B.blend_search(df, ["a", "b"], B.two_way_grid()).first()
     assert best["w_a"] == 1.0
     assert best["metric"] == rank_metric(df, score="a").first()["metric"]
+
+
+def test_run_portfolio(spark, tmp_path):
+    stats = SC.run_portfolio(portfolio(spark), ROLES, MODEL, str(tmp_path / "scores"))
+    assert stats["customers"] == 3 and stats["customers_per_second"] > 0
+    assert spark.read.parquet(str(tmp_path / "scores")).columns[0] == "customer_id"
+
+
+def test_constant_class_histogram(spark):
+    from ledgerline.operators.profile import density_histogram
+
+    df = spark.createDataFrame([("a", 2.0)] * 4 + [("b", 0.0), ("b", 10.0), ("b", None)], "g string, x double")
+    got = {(r["g"], r["bin"]): (r["left_edge"], r["rows"], r["density"]) for r in density_histogram(df, "x", "g", 10).collect()}
+    want = np.histogram([2.0] * 4, 10, density=True)
+    assert got[("a", 5)] == (pytest.approx(2.0), 4, pytest.approx(want[0][5]))
+    assert got[("b", 0)] == (0.0, 1, 0.5) and got[("b", 9)] == (9.0, 1, 0.5)
