@@ -198,17 +198,16 @@ def exact_quantiles(
     fitted = materialize(fitted, "brackets")
 
     # NULL gathers everything below a bracket, so it sorts first and carries its count
-    entries = F.transform(
-        "_brackets",
-        lambda b, i: F.when(
-            F.col("_v") <= b["high"],
-            F.struct(i.alias("i"), F.when(F.col("_v") >= b["low"], F.col("_v")).alias("v")),
-        ),
+    entries = ", ".join(
+        f"CASE WHEN _v <= _brackets[{i}].high THEN"
+        f" named_struct('_i', {i}, '_u', CASE WHEN _v >= _brackets[{i}].low THEN _v END) END"
+        for i in range(len(probs))
     )
     counted = (
         lookup_join(clean, fitted, groups)
-        .select(*groups, "n", F.explode(F.array_compact(entries)).alias("_e"))
-        .groupBy(*groups, "n", F.col("_e.i").alias("_i"), F.col("_e.v").alias("_v"))
+        .select(*groups, "n", F.expr(f"inline(array({entries}))"))
+        .where("_i IS NOT NULL")
+        .groupBy(*groups, "n", "_i", F.col("_u").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     ahead = Window.partitionBy(*groups, "n", "_i").orderBy(F.col("_v").asc_nulls_first())
