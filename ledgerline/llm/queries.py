@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, sharding, url_filter, warc
+from ledgerline.llm import packing, sharding, suffix_dedup, url_filter, warc
 from ledgerline.llm.stages import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op3_sharding(spark, sf_dir):
     )
 
 
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packing(spark, sf_dir):
     out = packing.pack_documents(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -82,7 +87,7 @@ b AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJK
 c AS (SELECT *, regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '') AS h,
     regexp_replace(path, '/+$', '') AS p,
     array_to_string(list_sort(list_filter(string_split(query, '&'),
-      x -> x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))), '&') AS q FROM b),
+      lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))), '&') AS q FROM b),
 d AS (SELECT *, CASE WHEN h = '' THEN '' ELSE h || p || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM c),
 l AS (SELECT DISTINCT canonical FROM d WHERE canonical <> '' AND regexp_matches(host, '{LISTED_HOSTS}')),
 e AS (SELECT d.*, canonical IN (SELECT canonical FROM l) AS listed, CASE
