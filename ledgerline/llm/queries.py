@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, sharding, suffix_dedup, url_filter, warc
+from ledgerline.llm import near_dedup, packing, sharding, suffix_dedup, url_filter, warc
 from ledgerline.llm.stages import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,27 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge_urls(spark, pages, listed, URL_RULES)
 
 
+@query
+def op9_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 LLM_ORACLES: dict[str, str] = {
+    "op9_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y
+      ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2)
+    JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION
+    SELECT r.doc_id, b FROM reach r JOIN both_ways ON a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""",
     "op2_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
 w AS (SELECT digest, max(page_id) AS winner FROM p WHERE n >= 1000 GROUP BY digest)
