@@ -23,7 +23,7 @@ other. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -173,25 +173,41 @@ def shared_anchors(blocks: DataFrame, buckets: int, span: int) -> DataFrame:
             rows += [(number, b, hashes[i:j].tobytes()) for b, i, j in _slices(bucket)]
         return _rows(rows, [("block", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            asked = pa.Table.from_batches(held)
-            blobs = [np.frombuffer(x, np.uint64) for x in asked["blob"].to_pylist()]
-            hashes = np.concatenate(blobs)
-            order = np.argsort(hashes)
-            ranked = hashes[order]
-            same = np.zeros(len(hashes) + 1, bool)
-            same[1:-1] = ranked[1:] == ranked[:-1]
-            shared = np.zeros(len(hashes), bool)
-            shared[order] = same[1:] | same[:-1]
-            cuts = np.cumsum([len(b) for b in blobs])[:-1]
-            masks = [np.packbits(m).tobytes() for m in np.split(shared, cuts)]
-            yield from asked.set_column(2, "blob", pa.array(masks, pa.binary())).to_batches()
+    def answer(asked: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x, np.uint64) for x in asked["blob"].to_pylist()]
+        hashes = np.concatenate(blobs)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        same = np.zeros(len(hashes) + 1, bool)
+        same[1:-1] = ranked[1:] == ranked[:-1]
+        shared = np.zeros(len(hashes), bool)
+        shared[order] = same[1:] | same[:-1]
+        cuts = np.cumsum([len(b) for b in blobs])[:-1]
+        masks = [np.packbits(m).tobytes() for m in np.split(shared, cuts)]
+        return asked.set_column(2, "blob", pa.array(masks, pa.binary()))
 
     schema = "block long, bucket long, blob binary"
     asked = arrow(blocks.select("block", "ids", "sizes", "text"), ask, schema)
-    return asked.repartition(buckets, "bucket").mapInArrow(answer, schema)
+    return _by_bucket(asked, buckets, answer)
+
+
+def _by_bucket(asked: DataFrame, buckets: int, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``answer`` over the questions of one bucket at a time, of (block, bucket, blob)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for b, i, j in _slices(batch.column(1).to_numpy()):
+                if held and b != last:
+                    yield from answer(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                last = b
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield from answer(pa.Table.from_batches(held)).to_batches()
+
+    ordered = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return ordered.mapInArrow(run, "block long, bucket long, blob binary")
 
 
 def _rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -203,8 +219,8 @@ def _rows(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
 
 
 def _repeated_runs(block: Block, masks: pa.Table, buckets: int, span: int):
-    """Runs with a shared anchor: per bucket the distinct texts with their anchor and smallest
-    id, and for every such run its (bucket, place among the distinct texts)."""
+    """Runs with a shared anchor: per bucket the distinct texts with their place and smallest
+    id, and for every such run its bucket and the place of its text."""
     hashes, counts, bucket = _distinct_anchors(block, buckets)
     shared = counts > 1
     by_bucket = dict(zip(masks["bucket"].to_pylist(), masks["blob"].to_pylist(), strict=True))
@@ -221,14 +237,13 @@ def _repeated_runs(block: Block, masks: pa.Table, buckets: int, span: int):
     found: dict[int, dict[bytes, list]] = {}
     at = np.empty(len(chosen), np.int64)
     text = block.text
-    for k, (b, i, j, d, h) in enumerate(zip(
-            buckets_of.tolist(), starts.tolist(), tails.tolist(), ids.tolist(), block.anchor[chosen].tolist(), strict=True)):
+    for k, (b, i, j, d) in enumerate(zip(buckets_of.tolist(), starts.tolist(), tails.tolist(), ids.tolist(), strict=True)):
         entries = found.setdefault(b, {})
         entry = entries.get(run := text[i:j])
         if entry is None:
-            entry = entries[run] = [len(entries), h, d]
-        elif d < entry[2]:
-            entry[2] = d
+            entry = entries[run] = [len(entries), d]
+        elif d < entry[1]:
+            entry[1] = d
         at[k] = entry[0]
     return found, chosen, buckets_of, at
 
@@ -238,14 +253,14 @@ def send_runs(blocks: DataFrame, masks: DataFrame, buckets: int, span: int) -> D
         rows = []
         for number, ids, sizes, packed in zip(*[left[c].to_pylist() for c in ("block", "ids", "sizes", "text")], strict=True):
             found, *_ = _repeated_runs(Block.read(ids, sizes, packed, span), right, buckets, span)
-            rows += [(number, b, _pack(runs=list(e), anchor=[x[1] for x in e.values()], first=[x[2] for x in e.values()])) for b, e in found.items()]
+            rows += [(number, b, _pack(runs=list(e), first=[x[1] for x in e.values()])) for b, e in found.items()]
         return _rows(rows, [("block", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
     left = blocks.select("block", "ids", "sizes", "text")
     return left.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(run, "block long, bucket long, blob binary")
 
 
-_KINDS = {"runs": pa.binary(), "anchor": pa.uint64(), "first": pa.int64(), "count": pa.int64()}
+_KINDS = {"runs": pa.binary(), "first": pa.int64(), "count": pa.int64()}
 
 
 def _pack(**columns) -> bytes:
@@ -263,39 +278,42 @@ def _unpack(blob: bytes) -> pa.Table:
 def smallest_ids(runs: DataFrame, buckets: int, span: int) -> DataFrame:
     """For every run sent: the smallest document id of each of its windows, run-length coded."""
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(sent_runs: pa.Table) -> pa.Table:
         distinct: dict[bytes, int] = {}
-        anchor, first, asked = [], [], []
-        for batch in batches:
-            for number, bucket, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                sent = _unpack(blob)
-                places = []
-                for run, h, d in zip(*[sent[c].to_pylist() for c in ("runs", "anchor", "first")], strict=True):
-                    at = distinct.setdefault(run, len(distinct))
-                    if at == len(first):
-                        anchor.append(h)
-                        first.append(d)
-                    elif d < first[at]:
-                        first[at] = d
-                    places.append(at)
-                asked.append((number, bucket, np.array(places, np.int64)))
-        if not asked:
-            return
+        first, asked = [], []
+        for blob in sent_runs["blob"].to_pylist():
+            sent = _unpack(blob)
+            places = []
+            for run, d in zip(*[sent[c].to_pylist() for c in ("runs", "first")], strict=True):
+                at = distinct.setdefault(run, len(distinct))
+                if at == len(first):
+                    first.append(d)
+                elif d < first[at]:
+                    first[at] = d
+                places.append(at)
+            asked.append(np.array(places, np.int64))
         texts = list(distinct)
-        firsts = np.array(first, np.int64)
+        del distinct
         windows = np.array([len(t) for t in texts], np.int64) - span + 1
         ends = np.cumsum(windows)
-        least = window_minima(texts, np.array(anchor, np.uint64), firsts, windows, span)
-        for number, bucket, places in asked:
-            inside = _ranges(ends[places] - windows[places], windows[places])
-            values = least[inside]
-            new = np.flatnonzero(np.diff(values, prepend=~values[:1])) if len(values) else np.zeros(0, np.int64)
-            counts = np.diff(new, append=len(values))
-            blob = _pack(first=values[new], count=counts)
-            yield _rows([(number, bucket, blob)], [("block", pa.int64()), ("bucket", pa.int64()), ("blob", pa.binary())]).to_batches()[0]
+        least = window_minima(texts, _anchors(texts, span), np.array(first, np.int64), windows, span)
+        blobs = []
+        for places in asked:
+            values = least[_ranges(ends[places] - windows[places], windows[places])]
+            new = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+            blobs.append(_pack(first=values[new], count=np.diff(new, append=len(values))))
+        return sent_runs.set_column(2, "blob", pa.array(blobs, pa.binary()))
 
-    schema = "block long, bucket long, blob binary"
-    return runs.repartition(buckets, "bucket").mapInArrow(answer, schema)
+    return _by_bucket(runs, buckets, answer)
+
+
+def _anchors(texts: list[bytes], span: int) -> np.ndarray:
+    """Anchor hash of each run, whose windows all share it."""
+    heads = b"".join([t[:span] for t in texts])
+    data = np.frombuffer(heads + bytes(GRAM), np.uint8)
+    step = SEGMENT_BYTES // span * span
+    parts = [_segment(data, i, min(i + step, len(heads)) - span + 1, span)[1][::span] for i in range(0, len(heads), step)]
+    return np.concatenate(parts)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -420,20 +438,22 @@ def cut_documents(blocks: DataFrame, masks: DataFrame, replies: DataFrame, bucke
         for ids, sizes, packed in zip(*[left[c].to_pylist() for c in ("ids", "sizes", "text")], strict=True):
             block = Block.read(ids, sizes, packed, span)
             found, chosen, bucket, at = _repeated_runs(block, right.filter(pa.array(is_mask)), buckets, span)
-            covered = np.zeros(len(block.text) + 1, np.int64)
-            for b in found:
+            order = np.argsort(bucket, kind="stable")
+            hits = []
+            for b, i, j in _slices(bucket[order]):
                 coded = _unpack(answer[b])
                 least = np.repeat(coded["first"].to_numpy(), coded["count"].to_numpy())
                 windows = np.array([len(r) - span + 1 for r in found[b]], np.int64)
                 begin = np.cumsum(windows) - windows
-                mine = np.flatnonzero(bucket == b)
+                mine = order[i:j]
                 count = windows[at[mine]]
                 from_reply = least[_ranges(begin[at[mine]], count)]
                 start = _ranges(block.start[chosen[mine]], count)
                 owner = np.repeat(block.ids[block.doc[chosen[mine]]], count)
-                start = start[from_reply < owner]
-                covered += np.bincount(start, minlength=len(covered))
-                covered -= np.bincount(start + span, minlength=len(covered))
+                hits.append(start[from_reply < owner])
+            start = np.concatenate(hits) if hits else np.zeros(0, np.int64)
+            covered = np.bincount(start, minlength=len(block.text) + 1)
+            covered -= np.bincount(start + span, minlength=len(covered))
             gone = np.cumsum(covered[:-1]) > 0
             rows += _cut(block, gone, texts)
         return _rows(rows, fields)
