@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import near_dedup, packing, sharding, suffix_dedup, url_filter, warc
+from ledgerline.llm import (
+    learned_ann,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sentence_pieces,
+    sharding,
+    suffix_dedup,
+    url_filter,
+    warc,
+)
 from ledgerline.llm.stages import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +40,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_warc(spark, sf_dir):
     """Every page written to WARC, indexed, looked up in the index and read back."""
@@ -54,6 +70,20 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_learned_ann(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return learned_ann.search(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
+@query
+def op6_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
+    held = quality_classifier.held_out()
+    return quality_classifier.score_documents(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_packing(spark, sf_dir):
     out = packing.pack_documents(spark, table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -75,6 +105,13 @@ def op9_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
 
 
+@query
+def op10_sentencepiece(spark, sf_dir):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+
+
 LLM_ORACLES: dict[str, str] = {
     "op9_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
