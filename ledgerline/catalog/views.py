@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.scores import sigmoid
 from ledgerline.roles import Roles
 
-ROLES = Roles(tie="seq", day_grain=True, categoricals=("B_30", "D_63", "D_64"))
+ROLES = Roles(tie="seq", day_grain=True, tie_bits=42, categoricals=("B_30", "D_63", "D_64"))
 NUMERIC = ["P_2", "D_39", "B_1", "R_1", "S_3"]
 CATEGORICAL = ["B_30", "D_63", "D_64"]
 SPLIT = "1999-01-01"

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.operators.joins import lookup_join
 
@@ -17,6 +18,12 @@ UNSEEN = -1
 DICTIONARY_SCHEMA = "col string, value string, code int"
 
 
+def value_text(df: DataFrame, column: str) -> Column:
+    """Text form of a category: a whole number reads the same as integer and as float."""
+    whole = isinstance(df.schema[column].dataType, (T.IntegralType, T.DecimalType))
+    return (F.col(column).cast("double") if whole else F.col(column)).cast("string")
+
+
 def fit_dictionary(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """Distinct present values of each column, ranked natively (numbers as numbers)."""
     names = list(names or columns)
@@ -24,7 +31,7 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], names: Sequence[str] |
     entries = [
         F.struct(
             F.lit(name).alias("col"),
-            F.col(c).cast("string").alias("value"),
+            value_text(df, c).alias("value"),
             (F.lit(None) if types[c] == "string" else F.col(c)).cast("double").alias("_number"),
         )
         for c, name in zip(columns, names)
@@ -50,7 +57,7 @@ def apply_dictionary(
         codes = dictionary.where(F.col("col") == name).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
-        out = lookup_join(out.withColumn("_value", F.col(c).cast("string")), codes, ["_value"], "left")
+        out = lookup_join(out.withColumn("_value", value_text(out, c)), codes, ["_value"], "left")
         out = out.withColumn(c, F.coalesce("_code", F.lit(UNSEEN)).cast("int")).drop("_value", "_code")
     return out.select(*order)
 

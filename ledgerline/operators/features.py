@@ -7,6 +7,7 @@ all rows is reduced on the map side and never reaches one task row by row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,12 +121,16 @@ def customer_features(df: DataFrame, roles: Roles, scattered: bool = False) -> D
     """
     numeric = roles.numeric_columns(df)
     categorical = roles.categorical_columns(df)
+    # a statement without a customer belongs to nobody, in both blocks
+    df = df.where(F.col(roles.key).isNotNull())
     aggs = [a for c in numeric for a in _numeric_aggregates(c)] + _date_aggregates(df, roles)
     rows = df.select(roles.key, roles.date, roles.order_key(df).alias("_ord"), *numeric)
     base = (gather_customers(rows, roles) if scattered else rows).groupBy(roles.key).agg(*aggs)
     wide = add_trends(base, numeric)
     if categorical:
-        wide = wide.join(categorical_aggregates(df, roles, categorical), roles.key)
+        # both sides have the same customers, one row each; a left join on the unique key
+        # goes from the plan when no categorical feature is used
+        wide = wide.join(categorical_aggregates(df, roles, categorical), roles.key, "left")
     return wide.select(roles.key, *feature_names(numeric, categorical))
 
 
@@ -163,9 +168,14 @@ def mark_latest(df: DataFrame, roles: Roles, flag: str = "is_latest") -> DataFra
     """Flag each customer's latest statement, keeping all rows.
 
     The latest position is a mergeable maximum per customer. It is joined back on
-    (customer, date, tie), so the rows of one huge customer stay spread out.
+    (customer, date, tie), so the rows of one huge customer stay spread out. Without a
+    tie column a hash of the whole row decides between equal dates; rows equal in every column
+    cannot be told apart and are flagged together.
     """
     order = roles.order_columns()
+    if not roles.tie:
+        marked = df.withColumn("_row", F.xxhash64(*df.columns))
+        return mark_latest(marked, replace(roles, tie="_row"), flag).drop("_row")
     latest = (
         df.groupBy(roles.key)
         .agg(F.max(F.struct(*order)).alias("_latest"))

@@ -95,12 +95,15 @@ def align_predictions(
 ) -> DataFrame:
     """Out-of-fold tables side by side, one column per model, on a shared key.
 
-    Every table must hold the same keys with the same label; ``misaligned`` counts
-    the rows that break this and ``check_aligned`` fails on them.
+    Every table must hold the same keys, once each, with the same label; ``misaligned``
+    counts the rows that break this and ``check_aligned`` fails on them. A repeated key counts as
+    unmatched.
     """
     joined: DataFrame | None = None
     for name, table in tables.items():
-        part = table.select(key, F.col(target).alias(f"_t_{name}"), F.col(prediction).alias(name))
+        # one row per key and table; the count tells when there were more
+        part = table.groupBy(key).agg(
+            F.first(target).alias(f"_t_{name}"), F.first(prediction).alias(name), F.count(F.lit(1)).alias(f"_n_{name}"))
         joined = part if joined is None else joined.join(part, key, "full_outer")
     return joined
 
@@ -113,6 +116,8 @@ def misaligned(aligned: DataFrame, names: Sequence[str]) -> DataFrame:
     for label in labels[1:]:
         absent = absent | label.isNull()
         differ = differ | (label != labels[0])
+    for n in names:
+        absent = absent | (F.coalesce(f"_n_{n}", F.lit(0)) > 1)
     return aligned.agg(
         F.count("*").alias("n_keys"),
         F.count(F.when(absent, 1)).alias("n_unmatched"),
@@ -124,6 +129,8 @@ def check_aligned(aligned: DataFrame, names: Sequence[str], key: str = "customer
     """The aligned table with a single label column; fails on any misaligned row."""
     first = F.col(f"_t_{names[0]}")
     same = first.isNotNull()
+    for n in names:
+        same = same & (F.coalesce(f"_n_{n}", F.lit(0)) == 1)
     for n in names[1:]:
         same = same & F.col(f"_t_{n}").eqNullSafe(first)
     label = F.when(same, first).otherwise(F.raise_error(F.lit("prediction tables are not aligned")).cast("int"))

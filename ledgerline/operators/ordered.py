@@ -14,7 +14,7 @@ from ledgerline.operators.joins import lookup_join
 from ledgerline.session import materialize
 
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 1_000
+GRID = 1_000
 _HEX_DIGITS = 7
 
 
@@ -104,15 +104,18 @@ def ordered_prefix(
 
 
 def _cut_points(base: DataFrame, rows_per_bucket: int) -> tuple[list[float], list[int]]:
-    """Bucket edges and the number of pieces per bucket; none when one bucket is enough."""
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    """Bucket edges and the number of pieces per bucket; none for an empty table."""
+    # finer on a larger cluster, so that the number of tasks has no fixed limit
+    points = max(GRID, 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grid = [i / points for i in range(1, points)]
     found = base.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", double_array(grid), 4 * MAX_BUCKETS).alias("q")
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", double_array(grid), 4 * points).alias("q")
     ).first()
-    buckets = min(MAX_BUCKETS, math.ceil(found["n"] / rows_per_bucket))
-    if buckets <= 1:
+    if not found["n"]:
         return [], []
-    edges = [found["q"][min(len(grid) - 1, round(MAX_BUCKETS * i / buckets) - 1)] for i in range(1, buckets)]
+    # never one bucket alone: a small table takes the same path as a large one
+    buckets = min(points, max(2, math.ceil(found["n"] / rows_per_bucket)))
+    edges = [found["q"][min(len(grid) - 1, round(points * i / buckets) - 1)] for i in range(1, buckets)]
     return _splits(edges)
 
 
@@ -213,7 +216,8 @@ def exact_quantiles(
     ahead = Window.partitionBy(*groups, "n", "_i").orderBy(F.col("_v").asc_nulls_first())
     upto = F.sum("_c").over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     position = F.element_at(double_array(probs), F.col("_i") + 1) * (F.col("n") - 1)
-    found = F.coalesce("_v", F.lit(float("-inf")))
+    # what lies below the bracket sorts first and is told apart from a real minus infinity
+    found = F.struct(F.col("_v").isNotNull().alias("inside"), F.col("_v").alias("v"))
     picked = (
         counted.select(*groups, "n", "_i", "_v", upto.alias("_upto"), position.alias("_h"))
         .groupBy(*groups, "n", "_i", "_h")
@@ -224,10 +228,10 @@ def exact_quantiles(
         )
     )
     t = F.col("_h") - F.floor("_h")
-    lo, hi = F.col("lo"), F.col("hi")
+    lo, hi = F.col("lo.v"), F.col("hi.v")
     between = F.when(lo == hi, lo).when(t < 0.5, lo + (hi - lo) * t).otherwise(hi - (hi - lo) * (1 - t))
     # a rank outside its bracket fails the query rather than giving a wrong quantile
-    outside = lo.isNull() | hi.isNull() | (lo == float("-inf"))
+    outside = F.col("lo").isNull() | F.col("hi").isNull() | ~F.col("lo.inside")
     checked = F.when(outside, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(between)
     # one entry per wanted probability
     slots = F.array_sort(F.collect_list(F.struct("_i", checked.alias("q"))))

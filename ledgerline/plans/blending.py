@@ -70,7 +70,10 @@ def metric_bounds(
     """
     width = (high - low) / bins or 1.0
     each = _per_weight(df, columns, grid, ids, [target])
-    bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("blend") - low) / width))).cast("int")
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("blend") - low) / width)))
+    # a missing blend ranks below all others, so it has a cell of its own
+    missing = F.col("blend").isNull() | F.isnan("blend")
+    bin_ = F.when(missing, F.lit(-1)).otherwise(place).cast("int")
     cells = each.groupBy("weight_id", bin_.alias("_bin")).agg(
         F.sum(F.col(target).cast("long")).alias("p"), F.sum(1 - F.col(target).cast("long")).alias("g")
     )
@@ -129,9 +132,10 @@ def blend_search(
     neighbours of the optimum, are sorted row by row. ``df`` should be a stored table.
     """
     df = spread(df.select(key, target, *columns))
+    present = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns]
     ends = df.agg(
-        F.min(F.least(*columns) if len(columns) > 1 else F.col(columns[0])).alias("lo"),
-        F.max(F.greatest(*columns) if len(columns) > 1 else F.col(columns[0])).alias("hi"),
+        F.min(F.least(*present) if len(columns) > 1 else present[0]).alias("lo"),
+        F.max(F.greatest(*present) if len(columns) > 1 else present[0]).alias("hi"),
     ).first()
     ids = list(range(len(grid)))
     if ends["lo"] is not None:

@@ -25,12 +25,13 @@ _TIE_BITS = 42
 @dataclass(frozen=True)
 class Roles:
     """Column roles. ``tie`` orders statements that share a date; ``day_grain`` says
-    that dates carry no time of day."""
+    that dates carry no time of day, ``tie_bits`` how many bits a BIGINT ``tie`` needs at most."""
 
     key: str = "customer_ID"
     date: str = "S_2"
     tie: str | None = None
     day_grain: bool = False
+    tie_bits: int = 63
     categoricals: tuple[str, ...] = CATEGORICAL_COLUMNS
     not_features: tuple[str, ...] = field(default=())
 
@@ -64,8 +65,11 @@ class Roles:
                 return F.unix_date(date).cast("long")
             return F.unix_micros(date.cast("timestamp"))
         tie_type = df.schema[self.tie].dataType
-        if self.day_grain and isinstance(tie_type, T.IntegralType):
+        narrow = isinstance(tie_type, T.IntegralType) and not isinstance(tie_type, T.LongType)
+        if self.day_grain and (narrow or self.tie_bits <= _TIE_BITS and isinstance(tie_type, T.LongType)):
             tie = F.col(self.tie).cast("long")
+            if narrow:
+                tie = tie + F.lit(1 << 31)  # from 0 on
             packed = F.shiftleft(F.unix_date(date.cast("date")).cast("long"), _TIE_BITS) + tie
             fits = tie.between(0, 2**_TIE_BITS - 1) & (F.date_trunc("day", date) == date)
             message = F.lit(f"{self.date}, {self.tie} do not fit the packed order key")
