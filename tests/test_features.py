@@ -13,7 +13,7 @@ from ledgerline.operators import joins as J
 from ledgerline.operators import sequences as SQ
 from ledgerline.roles import Roles
 
-PACKED = Roles(tie="seq", day_grain=True, categoricals=("B_30", "D_63"))
+PACKED = Roles(tie="seq", day_grain=True, tie_bits=42, categoricals=("B_30", "D_63"))
 STRUCT = Roles(tie="seq", categoricals=("B_30", "D_63"))
 DATE_ONLY = Roles(categoricals=("B_30", "D_63"), not_features=("seq",))
 
