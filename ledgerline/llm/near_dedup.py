@@ -7,10 +7,13 @@ start, so copies cost nothing further.
 
 Candidates of a band value are not paired with each other. First every class meets only the smallest class of
 its band value; pairs whose collision-corrected estimate is near enough are verified on their full sets, and the links
-give components. Then only classes of one band value that are still in different components are compared:
-those outside the largest component with all the others, in units of bounded size. Nothing is capped.
-A link is a verified pair with ``100 * intersection >= percent * union``. Two sets at 85 % share no band with
-probability below 1e-6 (above 95 registers in use; small sets miss less).
+give components. Then, twice and on a fifth of the bands each, every class outside the largest component of its band
+value meets the class it resembles most in another component: copies of one text meet that
+text. Last, all classes of one band value that are still in different components are compared: those outside the
+largest component with all the others, in units of bounded size, a pair only in the first band it shares. Nothing is
+capped. A link is a verified pair with ``100 * intersection >= percent * union``. Two sets at 85 % share no band with
+probability below 1e-6, and their estimate lies under the cut (four standard deviations) with
+probability below 1e-4; a group is lost only if all its links are.
 
 Edge cases: NULL text, empty text and text of white space have no shingles and are linked with nothing. Fewer words
 than a shingle has make one shingle of the whole. Rows with the same id count as one document when ids are compared. A row
@@ -36,6 +39,7 @@ MANTISSA = 6
 EMPTY = (1 << 12) - 1
 BAND = 5
 UNIT = 512
+NEAREST_ROUNDS = 2
 KEPT_WORDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -122,10 +126,10 @@ def estimate(mine: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 
 def near_enough(mine: np.ndarray, other: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Not lower than the threshold by more than six standard deviations."""
+    """Not lower than the threshold by more than four standard deviations."""
     found, used = estimate(mine, other, sizes)
     j = percent / 100
-    return found >= j - 6 * np.sqrt(j * (1 - j) / np.maximum(used, 1))
+    return found >= j - 4 * np.sqrt(j * (1 - j) / np.maximum(used, 1))
 
 
 # --- classes of equal sets ---------------------------------------------------------------------
@@ -263,8 +267,9 @@ def _first_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(lead, ["band", "key"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
 
 
-def _cross_pairs(bands: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Possible pairs of one band value that lie in different components.
+def _cross_pairs(bands: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Possible pairs of one band value that lie in different components; with ``nearest``
+    only the best of each class in its unit.
 
     Members outside the value's largest component meet all members, in units of about ``UNIT`` by
     ``UNIT`` classes; units, not band values, are the tasks' groups.
@@ -302,23 +307,23 @@ def _cross_pairs(bands: DataFrame, roots: DataFrame, classes: DataFrame, percent
                     continue
                 key = tuple(keys[i])
                 if key != last and held:
-                    yield from _unit_pairs(held, percent)
+                    yield from _unit_pairs(held, percent, nearest)
                     held = []
                 last = key
                 held.append(batch.slice(i, j - i))
         if held:
-            yield from _unit_pairs(held, percent)
+            yield from _unit_pairs(held, percent, nearest)
 
     n = partitions(spark)
     ordered = units.repartition(n, *bucket, "x", "y").sortWithinPartitions(*bucket, "x", "y")
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     unit = pa.Table.from_batches(held)
     cid, root, n = (unit[c].to_numpy() for c in ("cid", "root", "n_shingles"))
     registers = np.frombuffer(b"".join(unit["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    other = unit["other"].to_numpy(zero_copy_only=False)
+    other, band = unit["other"].to_numpy(zero_copy_only=False), unit["band"][0].as_py()
     rows, everyone = np.flatnonzero(other), np.flatnonzero(~other)
     a, b = [], []
     for i in rows:
@@ -326,12 +331,23 @@ def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         apart = apart[100 * np.minimum(n[apart], n[i]) >= percent * np.maximum(n[apart], n[i])]
         if len(apart):
             hit = apart[near_enough(registers[i][None, :], registers[apart], np.maximum(n[apart], n[i]), percent)]
+            if nearest and len(hit):
+                hit = hit[[estimate(registers[i][None, :], registers[hit], np.maximum(n[hit], n[i]))[0].argmax()]]
+            elif len(hit):
+                hit = hit[_first_shared(registers[i], registers[hit]) == band]
             a.append(np.minimum(cid[hit], cid[i]))
             b.append(np.maximum(cid[hit], cid[i]))
     if a:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _first_shared(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """First band that is equal and not empty."""
+    used = REGISTERS // BAND * BAND
+    mine, others = mine[:used].reshape(-1, BAND), others[:, :used].reshape(len(others), -1, BAND)
+    return ((others == mine).all(axis=2) & (mine != EMPTY).any(axis=1)).argmax(axis=1)
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     spark = docs.sparkSession
@@ -347,12 +363,14 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     links = materialize(verified(spark, docs, possible, classes, size, percent), "first_links")
     roots = components(links)
 
-    cross = _cross_pairs(bands, roots, classes, percent)
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialize(cross.join(known, ["a", "b"], "left_anti"), "cross_pairs")
-    more = verified(spark, docs, cross, classes, size, percent)
-    stars = roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
-    roots = components(stars.unionByName(more), "all_links")
+    for step in (*range(NEAREST_ROUNDS), None):
+        part = bands if step is None else bands.where(F.col("band") % 5 == step)
+        pairs = _cross_pairs(part, roots, classes, percent, step is not None)
+        pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "cross_pairs")
+        more = verified(spark, docs, pairs, classes, size, percent)
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "all_links")
+        known = known.unionByName(pairs)
 
     placed = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_min", F.coalesce("root", "cid").alias("root"))
     placed = materialize(placed, "placed_classes")
