@@ -7,7 +7,7 @@ start, so copies cost nothing further.
 
 Candidates of a band value are not paired with each other. First every class meets only the smallest class of
 its band value; pairs whose collision-corrected estimate is near enough are verified on their full sets, and the links
-give components. Then, twice and on a fifth of the bands each, every class outside the largest component of its band
+give components. Then, on a fifth of the bands, every class outside the largest component of its band
 value meets the class it resembles most in another component: copies of one text meet that
 text. Last, all classes of one band value that are still in different components are compared: those outside the
 largest component with all the others, in units of bounded size, a pair only in the first band it shares. Nothing is
@@ -39,7 +39,7 @@ MANTISSA = 6
 EMPTY = (1 << 12) - 1
 BAND = 5
 UNIT = 512
-NEAREST_ROUNDS = 2
+NEAREST_ROUNDS = 1
 KEPT_WORDS = 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -125,11 +125,18 @@ def estimate(mine: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> tuple[np
     return np.clip((equal / np.maximum(used, 1) - rate) / (1 - rate), 0, 1), used
 
 
-def near_enough(mine: np.ndarray, other: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Not lower than the threshold by more than four standard deviations."""
-    found, used = estimate(mine, other, sizes)
+def near_enough(mine: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Not lower than the threshold by more than four standard deviations, for sets of ``n`` and ``m`` shingles.
+
+    The registers hold a random part of the union, drawn without replacement: the more of a small
+    union they hold, the less the estimate varies. A chance collision of one register is left on top.
+    """
+    found, used = estimate(mine, other, np.maximum(n, m))
     j = percent / 100
-    return found >= j - 4 * np.sqrt(j * (1 - j) / np.maximum(used, 1))
+    union = np.maximum((n + m) / (1 + j), 1)
+    used = np.maximum(used, 1)
+    left = np.clip(1 - (used - 1) / np.maximum(union - 1, 1), 0, 1)
+    return found >= j - 4 * np.sqrt(j * (1 - j) / used * left) - 1 / used
 
 
 # --- classes of equal sets ---------------------------------------------------------------------
@@ -182,7 +189,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         import pandas as pd
 
         mine, other = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS) for x in (a, b))
-        return pd.Series(near_enough(mine, other, np.maximum(n, m).to_numpy(), percent))
+        return pd.Series(near_enough(mine, other, n.to_numpy(), m.to_numpy(), percent))
 
     def side(name: str) -> DataFrame:
         return classes.select(F.col("cid").alias(name), F.col("registers").alias(f"r_{name}"), F.col("n_shingles").alias(f"n_{name}"))
@@ -243,7 +250,8 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: Da
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """``node``, ``root`` (smallest node reached) of every node with a link.
 
-    Alternating large-star and small-star steps; every step is stored. Stops when a step changes nothing.
+    Alternating large-star and small-star steps; every step is stored. Stops when every node has one
+    parent and no parent has one itself, or when a step changes nothing.
     """
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = None
@@ -255,8 +263,12 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialize(small.unionByName(lowest.withColumnRenamed("m", "v")).distinct(), name)
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        parents = current.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("p")).distinct()
+        per_node = current.withColumn("p", F.col("v")).select("u", "p").unionByName(parents).groupBy("u").agg(
+            F.count("p").alias("up"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "p").cast("decimal(38,0)")).alias("h"))
+        # a node with a parent that is a parent as well, or with two parents, is not at its root yet
+        state = per_node.agg(F.coalesce(F.sum((F.col("up") * F.col("n") > 1).cast("long")), F.lit(0)).alias("open"), F.sum("h").alias("h")).first()
+        if not state["open"] or state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
 
@@ -330,7 +342,7 @@ def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int, nearest: bool) ->
         apart = everyone[root[everyone] != root[i]]
         apart = apart[100 * np.minimum(n[apart], n[i]) >= percent * np.maximum(n[apart], n[i])]
         if len(apart):
-            hit = apart[near_enough(registers[i][None, :], registers[apart], np.maximum(n[apart], n[i]), percent)]
+            hit = apart[near_enough(registers[i][None, :], registers[apart], n[apart], n[i], percent)]
             if nearest and len(hit):
                 hit = hit[[estimate(registers[i][None, :], registers[hit], np.maximum(n[hit], n[i]))[0].argmax()]]
             elif len(hit):
