@@ -10,9 +10,11 @@ its band value; pairs whose collision-corrected estimate is near enough are veri
 give components. Then, on a fifth of the bands, every class outside the largest component of its band
 value meets the class it resembles most in another component: copies of one text meet that
 text. Last, all classes of one band value that are still in different components are compared: those outside the
-largest component with all the others, in units of bounded size, a pair only in the first band it shares. Nothing is
-capped. A link is a verified pair with ``100 * intersection >= percent * union``. Two sets at 85 % share no band with
-probability below 1e-6, and their estimate lies under the cut (four standard deviations) with
+largest component with all the others, in units of bounded size, a pair only in the first band it shares. What
+the 128 registers leave possible there is estimated again from 1,024 registers, which the classes of mixed
+band values get in a second pass over their texts: pairs of one large group that lie just under the threshold end in
+the unit. Nothing is capped. A link is a verified pair with ``100 * intersection >= percent * union``. Two sets at 85 % share
+no band with probability below 1e-6, and either estimate lies under its cut (four standard deviations) with
 probability below 1e-4; a group is lost only if all its links are.
 
 Edge cases: NULL text, empty text and text of white space have no shingles and are linked with nothing. Fewer words
@@ -22,7 +24,7 @@ without an id is linked with nothing and kept. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from ledgerline.llm.url_filter import BlockedBloom
 
 REGISTERS = 128
 BUCKET_BITS = 7
+FINE_BITS = 10
 MANTISSA = 6
 EMPTY = (1 << 12) - 1
 BAND = 5
@@ -74,13 +77,13 @@ def shingle_set(text: bytes, size: int, words: WordHashes) -> np.ndarray:
     return np.unique(h)
 
 
-def registers_of(hashes: np.ndarray) -> np.ndarray:
+def registers_of(hashes: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
     """One 12-bit register per bucket of the hash space."""
-    out = np.full(REGISTERS, EMPTY, np.uint16)
+    out = np.full(1 << bits, EMPTY, np.uint16)
     if len(hashes):
-        bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rest = hashes[first] << np.uint64(BUCKET_BITS)
+        rest = hashes[first] << np.uint64(bits)
         # 52 leading bits are exact in a double, so is their exponent
         lead = np.minimum(52 - np.frexp((rest >> np.uint64(12)).astype(np.float64))[1], 52)
         lead[rest >> np.uint64(12) == 0] = 52
@@ -121,7 +124,7 @@ def estimate(mine: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> tuple[np
     """Collision-corrected Jaccard estimate row by row, and the registers it rests on."""
     used = ((mine != EMPTY) | (other != EMPTY)).sum(axis=-1)
     equal = ((mine == other) & (mine != EMPTY)).sum(axis=-1)
-    rate = _RATES[np.clip(np.round(np.log2(np.maximum(sizes, 1) / REGISTERS)) + 8, 0, len(_RATES) - 1).astype(int)]
+    rate = _RATES[np.clip(np.round(np.log2(np.maximum(sizes, 1) / mine.shape[-1])) + 8, 0, len(_RATES) - 1).astype(int)]
     return np.clip((equal / np.maximum(used, 1) - rate) / (1 - rate), 0, 1), used
 
 
@@ -200,14 +203,15 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.where(sizes).where(possible("r_a", "r_b", "n_a", "n_b")).select("a", "b")
 
 
-def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are near enough.
+def rebuilt_sets(
+    spark: SparkSession, docs: DataFrame, cids: DataFrame, classes: DataFrame, size: int, name: str, form: Callable[[np.ndarray], np.ndarray]
+) -> DataFrame:
+    """cid and ``form`` of the full set, for the classes in ``cids``.
 
     Sets are made from the texts again, for the smallest document of the classes in question
     only: a fixed-size Bloom filter of their ids keeps other texts out of the shuffle.
     """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    asked = materialize(asked.join(classes.select("cid", "doc_min"), "cid"), "asked_classes")
+    asked = materialize(cids.join(classes.select("cid", "doc_min"), "cid"), "asked_classes")
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(asked.select(F.xxhash64("doc_min").alias("h")), "h"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,12 +224,18 @@ def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: Da
                 found = [shingle_set(t, size, words) for t in texts_of(part.column(1))]
                 ids = [_class_id(f) if len(f) else None for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(ids, pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())],
+                    [part.column(0).cast(pa.int64()), pa.array(ids, pa.int64()), pa.array([form(f).tobytes() for f in found], pa.binary())],
                     ["doc_min", "cid", "set"])
 
     read = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("long")).alias("h"))
     made = read.mapInArrow(sets, "doc_min long, cid long, set binary")
-    made = materialize(made.join(asked, ["doc_min", "cid"], "left_semi").dropDuplicates(["cid"]).drop("doc_min"), "shingle_sets")
+    return materialize(made.join(asked, ["doc_min", "cid"], "left_semi").dropDuplicates(["cid"]).drop("doc_min"), name)
+
+
+def verified(spark: SparkSession, docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose full sets are near enough."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    made = rebuilt_sets(spark, docs, asked, classes, size, "shingle_sets", lambda found: found)
 
     @F.pandas_udf("boolean")
     def linked(a, b):
@@ -279,33 +289,40 @@ def _first_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(lead, ["band", "key"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
 
 
-def _cross_pairs(bands: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+def _mixed_bands(bands: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bands with the component of each class; band values with more than one component."""
+    bucket = ["band", "key"]
+    rooted = bands.join(roots, bands["cid"] == roots["node"], "left").select(*bucket, "cid", F.coalesce("root", "cid").alias("root"))
+    rooted = materialize(rooted, "rooted_bands")
+    per_root = rooted.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per_root.groupBy(*bucket).agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
+    mixed = mixed.select(*bucket, "all", (F.col("all") - F.col("main.n")).alias("rest"), F.col("main.root").alias("main"))
+    return rooted, materialize(mixed, "mixed_bands")
+
+
+def _cross_pairs(rooted: DataFrame, mixed: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """Possible pairs of one band value that lie in different components; with ``nearest``
     only the best of each class in its unit.
 
     Members outside the value's largest component meet all members, in units of about ``UNIT`` by
     ``UNIT`` classes; units, not band values, are the tasks' groups.
     """
-    spark = bands.sparkSession
+    spark = rooted.sparkSession
     bucket = ["band", "key"]
-    rooted = bands.join(roots, bands["cid"] == roots["node"], "left").select(*bucket, "cid", F.coalesce("root", "cid").alias("root"))
-    rooted = materialize(rooted, "rooted_bands")
-    per_root = rooted.groupBy(*bucket, "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = per_root.groupBy(*bucket).agg(
-        F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("main")).where("roots > 1")
-    mixed = materialize(mixed.select(*bucket, "all", (F.col("all") - F.col("main.n")).alias("rest"), F.col("main.root").alias("main")), "mixed_bands")
-    rows = rooted.join(mixed, bucket).join(classes.select("cid", "registers", "n_shingles"), "cid")
+    carried = ["cid", "root", "registers", "fine", "n_shingles"]
+    rows = rooted.join(mixed, bucket).join(sketches, "cid")
     rows = rows.withColumns({
         "tall": F.ceil(F.col("all") / UNIT).cast("int"), "wide": F.ceil(F.col("rest") / UNIT).cast("int"),
         "h": F.xxhash64("cid"), "other": F.col("root") != F.col("main")})
     every = rows.select(
         *bucket, F.pmod("h", "tall").alias("x"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("y"),
-        "cid", "root", "registers", "n_shingles", F.lit(False).alias("other"))
+        *carried, F.lit(False).alias("other"))
     others = rows.where("other").select(
         *bucket, F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("x"), F.pmod("h", "wide").alias("y"),
-        "cid", "root", "registers", "n_shingles", F.lit(True).alias("other"))
-    units = every.select(*bucket, F.col("x").cast("int"), F.col("y").cast("int"), "cid", "root", "registers", "n_shingles", "other").unionByName(
-        others.select(*bucket, F.col("x").cast("int"), F.col("y").cast("int"), "cid", "root", "registers", "n_shingles", "other"))
+        *carried, F.lit(True).alias("other"))
+    units = every.select(*bucket, F.col("x").cast("int"), F.col("y").cast("int"), *carried, "other").unionByName(
+        others.select(*bucket, F.col("x").cast("int"), F.col("y").cast("int"), *carried, "other"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -335,6 +352,7 @@ def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int, nearest: bool) ->
     unit = pa.Table.from_batches(held)
     cid, root, n = (unit[c].to_numpy() for c in ("cid", "root", "n_shingles"))
     registers = np.frombuffer(b"".join(unit["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    fine = np.frombuffer(b"".join(unit["fine"].to_pylist()), np.uint16).reshape(-1, 1 << FINE_BITS)
     other, band = unit["other"].to_numpy(zero_copy_only=False), unit["band"][0].as_py()
     rows, everyone = np.flatnonzero(other), np.flatnonzero(~other)
     a, b = [], []
@@ -343,10 +361,12 @@ def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int, nearest: bool) ->
         apart = apart[100 * np.minimum(n[apart], n[i]) >= percent * np.maximum(n[apart], n[i])]
         if len(apart):
             hit = apart[near_enough(registers[i][None, :], registers[apart], n[apart], n[i], percent)]
-            if nearest and len(hit):
-                hit = hit[[estimate(registers[i][None, :], registers[hit], np.maximum(n[hit], n[i]))[0].argmax()]]
-            elif len(hit):
+            if not nearest and len(hit):
                 hit = hit[_first_shared(registers[i], registers[hit]) == band]
+            if len(hit):
+                hit = hit[near_enough(fine[i][None, :], fine[hit], n[hit], n[i], percent)]
+            if nearest and len(hit):
+                hit = hit[[estimate(fine[i][None, :], fine[hit], np.maximum(n[hit], n[i]))[0].argmax()]]
             a.append(np.minimum(cid[hit], cid[i]))
             b.append(np.maximum(cid[hit], cid[i]))
     if a:
@@ -376,9 +396,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     roots = components(links)
 
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rooted, mixed = _mixed_bands(bands, roots)
+    # components only grow, so no later round has other classes in mixed band values
+    unsettled = rooted.join(mixed, ["band", "key"], "left_semi").select("cid").distinct()
+    fine = rebuilt_sets(spark, docs, unsettled, classes, size, "fine_sketches", lambda found: registers_of(found, FINE_BITS))
+    sketches = fine.withColumnRenamed("set", "fine").join(classes.select("cid", "registers", "n_shingles"), "cid")
+    sketches = materialize(sketches, "sketches")
     for step in (*range(NEAREST_ROUNDS), None):
-        part = bands if step is None else bands.where(F.col("band") % 5 == step)
-        pairs = _cross_pairs(part, roots, classes, percent, step is not None)
+        if step is None:
+            rooted, mixed = _mixed_bands(bands, roots)
+        chosen = mixed if step is None else mixed.where(F.col("band") % 5 == step)
+        pairs = _cross_pairs(rooted, chosen, sketches, percent, step is not None)
         pairs = materialize(pairs.join(known, ["a", "b"], "left_anti"), "cross_pairs")
         more = verified(spark, docs, pairs, classes, size, percent)
         roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "all_links")
