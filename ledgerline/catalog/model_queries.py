@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.catalog import views as V
-from ledgerline.catalog.queries import FEATURES, MODEL, NUMERIC, _predictions, _standardized, query
+from ledgerline.catalog.queries import FEATURES, MODEL, SEQ_COLUMNS, _predictions, _standardized, query
 from ledgerline.functions import scores as S
 from ledgerline.operators import drift as D
 from ledgerline.operators import encode as E
@@ -66,9 +66,9 @@ def cv_oof_forest(spark, sf_dir):
 @query
 def cv_oof_sequence(spark, sf_dir):
     """The sequence model on padded, standardized statements, same folds."""
-    sequences = SQ.padded_sequences(_standardized(spark, sf_dir), ROLES, NUMERIC)
+    sequences = SQ.padded_sequences(_standardized(spark, sf_dir), ROLES, SEQ_COLUMNS)
     folded = TR.folded_training_set(sequences, V.stmt_labels(spark, sf_dir))
-    fit = lambda t, v: TR.fit_sequence_model(t, len(NUMERIC), 8, 15)
+    fit = lambda t, v: TR.fit_sequence_model(t, len(SEQ_COLUMNS), 8, 15)
     return TR.cross_validate(folded, fit, parallelism=5).oof
 
 

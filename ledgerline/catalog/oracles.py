@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from ledgerline.catalog import views as V
 from ledgerline.catalog.queries import (
-    CATEGORICAL, COEFFICIENTS, FEATURES, KNOTS_X, KNOTS_Y, LOGIT, MEANS, NUMERIC, PSI_FEATURES, SCENARIOS,
+    CATEGORICAL, COEFFICIENTS, FEATURES, KNOTS_X, KNOTS_Y, LOGIT, MEANS, NUMERIC, SCENARIOS, SEQ_COLUMNS, TEXTS,
 )
 from ledgerline.functions.describe import describe_name
 from ledgerline.functions.scores import PD_LIMITS, RISK_BANDS, TOP_BAND
@@ -14,6 +14,7 @@ from ledgerline.operators.profile import GROUP_NAMES, MISSING_BUCKETS
 
 ST, LB, PD = V.STATEMENTS_SQL, V.LABELS_SQL, V.PREDICTIONS_SQL
 COLUMNS = [*NUMERIC, *CATEGORICAL]
+TEXT_FEATURES = [f"{c}_last" for c in TEXTS]
 TIE = "md5(customer_ID), customer_ID"
 
 
@@ -94,9 +95,39 @@ def _long(source: str, columns: list[str], name: str) -> str:
     return f"\n{name} AS (SELECT feature, value FROM (UNPIVOT (SELECT {cast} FROM {source}) ON {', '.join(columns)} INTO NAME feature VALUE value))"
 
 
+def _dictionary(source: str, columns: dict[str, str]) -> str:
+    """``columns`` maps the dictionary name to the value column."""
+    parts = []
+    for name, c in columns.items():
+        number = "CAST(v AS DOUBLE)" if name == "B_30" else "0"
+        parts.append(
+            f"SELECT '{name}' AS col, CAST(v AS VARCHAR) AS value, "
+            f"CAST(ROW_NUMBER() OVER (ORDER BY {number}, CAST(v AS VARCHAR)) - 1 AS INT) AS code "
+            f"FROM (SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _codes(columns: dict[str, str], dictionary: str) -> str:
+    """``columns`` (dictionary name to value column) replaced by their codes."""
+    return "* REPLACE (" + ", ".join(
+        f"COALESCE((SELECT code FROM {dictionary} WHERE col = '{n}' AND value = CAST({c} AS VARCHAR)), -1) AS {c}" for n, c in columns.items()
+    ) + ")"
+
+
 _TT = V.TRAIN_TEST_SQL
-PSI_ALL = f"""WITH {_TT},{_features('train', 'ftrain')},{_features('test', 'ftest')},
-{_long('ftrain', PSI_FEATURES, 'ltrain')},{_long('ftest', PSI_FEATURES, 'ltest')},{_psi('ltrain', 'ltest', 'feature', 'value')}"""
+_LAST = {c: f"{c}_last" for c in CATEGORICAL}
+_SEQ = {c: c for c in TEXTS}
+CODED = f"""{_TT}, dict AS ({_dictionary('train', _SEQ)}), etrain AS (SELECT {_codes(_SEQ, 'dict')} FROM train),
+est AS (SELECT {_codes(_SEQ, 'dict')} FROM statements)"""
+PSI_ALL = f"""WITH {_TT},{_features('train', 'ftrain')},{_features('test', 'ftest')}, dict AS ({_dictionary('ftrain', _LAST)}),
+etrain AS (SELECT {_codes(_LAST, 'dict')} FROM ftrain), etest AS (SELECT {_codes(_LAST, 'dict')} FROM ftest),
+{_long('etrain', FEATURES, 'ltrain')},{_long('etest', FEATURES, 'ltest')},{_psi('ltrain', 'ltest', 'feature', 'value')}"""
+STANDARDIZED = f"{CODED}, s AS (SELECT " + ", ".join(
+    f"AVG({c}) AS m_{c}, SQRT(GREATEST(VAR_POP({c}), 1e-12)) AS d_{c}" for c in SEQ_COLUMNS
+) + " FROM etrain), z AS (SELECT customer_ID, S_2, seq, " + ", ".join(
+    f"GREATEST(-10e0, LEAST(10e0, COALESCE(({c} - m_{c}) / d_{c}, 0e0))) AS {c}" for c in SEQ_COLUMNS
+) + " FROM est CROSS JOIN s)"
 
 
 def _ranked(score: str, source: str = "predictions", by: str = "1", order: str = "DESC") -> str:
@@ -144,19 +175,6 @@ def _missing(source: str, columns: list[str]) -> str:
     )
 
 
-def _dictionary(source: str, columns: dict[str, str]) -> str:
-    """``columns`` maps the dictionary name to the value column."""
-    parts = []
-    for name, c in columns.items():
-        number = "CAST(v AS DOUBLE)" if name == "B_30" else "0"
-        parts.append(
-            f"SELECT '{name}' AS col, CAST(v AS VARCHAR) AS value, "
-            f"CAST(ROW_NUMBER() OVER (ORDER BY {number}, CAST(v AS VARCHAR)) - 1 AS INT) AS code "
-            f"FROM (SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL)"
-        )
-    return " UNION ALL ".join(parts)
-
-
 def _latest_override(values: dict[str, float]) -> str:
     cols = []
     for c in ["customer_ID", "S_2", "seq", *NUMERIC, *CATEGORICAL]:
@@ -251,7 +269,9 @@ ORACLES: dict[str, str] = {
       ROUND(AVG(probability_of_default), 8) AS mean_pd FROM ({_scored('features', 'customer_ID')})""",
     "risk_bands": f"WITH {PD} SELECT customer_ID, p_a, {_band('p_a')} AS risk_band FROM predictions",
     "psi_status": f"""{PSI_ALL} SELECT features, stable, moderate, shifted,
-      CASE WHEN shifted < {dbl(0.05)} THEN 'stable' ELSE 'some drift' END AS verdict FROM (
+      CASE WHEN shifted < {dbl(0.05)} AND score_psi < {dbl(0.1)} THEN 'stable' ELSE 'some drift' END AS verdict FROM (
+      WITH {PD}, a AS (SELECT 1 AS k, p_a AS s FROM predictions), b AS (SELECT 1 AS k, p_c AS s FROM predictions),
+        {_psi("a", "b", "k", "s", "psi_s")} SELECT psi AS score_psi FROM psi_s), (
       SELECT COUNT(*) AS features, AVG(CASE WHEN psi < {dbl(0.1)} THEN 1e0 ELSE 0e0 END) AS stable,
         AVG(CASE WHEN psi >= {dbl(0.1)} AND psi < {dbl(0.25)} THEN 1e0 ELSE 0e0 END) AS moderate,
         AVG(CASE WHEN psi >= {dbl(0.25)} THEN 1e0 ELSE 0e0 END) AS shifted FROM psi_t WHERE psi IS NOT NULL)""",
@@ -294,8 +314,8 @@ ORACLES: dict[str, str] = {
     "date_features": f"WITH {ST},{_features()} SELECT customer_ID, statement_count, history_days FROM features",
     "fit_category_map": f"WITH {_TT},{_features('train', 'ftrain')} " + _dictionary("ftrain", {c: f"{c}_last" for c in CATEGORICAL}),
     "fit_seq_map": f"WITH {_TT} " + _dictionary("train", {c: c for c in ("D_63", "D_64")}),
-    "norm_stats": f"WITH {_TT} " + " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, AVG({c}) AS mean, ROUND(SQRT(GREATEST(VAR_POP({c}), 1e-12)), 4) AS std FROM train" for c in NUMERIC
+    "norm_stats": f"WITH {CODED} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, AVG({c}) AS mean, ROUND(SQRT(GREATEST(VAR_POP({c}), 1e-12)), 4) AS std FROM etrain" for c in SEQ_COLUMNS
     ),
     "customer_dates": f"WITH {ST} SELECT customer_ID, MAX(S_2) AS last_date FROM statements GROUP BY customer_ID",
     "last_month_hist": f"""WITH {ST} SELECT strftime(last_date, '%Y-%m') AS month, COUNT(*) AS customers FROM (
@@ -380,14 +400,12 @@ ORACLES: dict[str, str] = {
     "seeded_sample": f"WITH {LB} SELECT * FROM stmt_labels ORDER BY {DIGEST}, customer_ID LIMIT 100",
     "oof_union": f"""WITH {PD} SELECT customer_ID, target, fold, CASE fold WHEN 0 THEN p_a WHEN 1 THEN p_b WHEN 2 THEN p_c WHEN 3 THEN p_a ELSE p_b END AS oof_pred FROM ({FOLDS})""",
     "logit_to_pd": f"WITH {ST},{_features()} SELECT customer_ID, ROUND({RAW_SQL}, 9) AS raw FROM features",
-    "standardize_rows": f"WITH {_TT}, s AS (SELECT "
-    + ", ".join(f"AVG({c}) AS m_{c}, SQRT(GREATEST(VAR_POP({c}), 1e-12)) AS d_{c}" for c in NUMERIC) + " FROM train) SELECT customer_ID, seq, "
-    + ", ".join(f"ROUND(GREATEST(-10e0, LEAST(10e0, COALESCE(({c} - m_{c}) / d_{c}, 0e0))), 7) AS {c}" for c in NUMERIC) + " FROM statements CROSS JOIN s",
+    "standardize_rows": f"WITH {STANDARDIZED} SELECT customer_ID, seq, " + ", ".join(f"ROUND({c}, 7) AS {c}" for c in SEQ_COLUMNS) + " FROM z",
     "trajectory": f"WITH {ST} SELECT customer_ID, seq, strftime(S_2, '%Y-%m') AS month, P_2 FROM statements",
-    "padded_sequences": f"""WITH {ST}, k AS (SELECT *, rn - 1 - GREATEST(n - 13, 0) AS pos, LEAST(n, 13) AS length FROM (
-      SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY S_2, seq) AS rn, COUNT(*) OVER (PARTITION BY customer_ID) AS n FROM statements) WHERE rn > n - 13)
+    "padded_sequences": f"""WITH {STANDARDIZED}, k AS (SELECT *, rn - 1 - GREATEST(n - 13, 0) AS pos, LEAST(n, 13) AS length FROM (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY S_2, seq) AS rn, COUNT(*) OVER (PARTITION BY customer_ID) AS n FROM z) WHERE rn > n - 13)
       SELECT c.customer_ID, CAST(c.length AS INT) AS length, CAST(c.pos AS INT) AS pos, """
-    + ", ".join(f"CAST(CAST(COALESCE(k.{c}, 0) AS FLOAT) AS DOUBLE) AS {c}" for c in NUMERIC)
+    + ", ".join(f"ROUND(CAST(CAST(COALESCE(k.{c}, 0) AS FLOAT) AS DOUBLE), 4) AS {c}" for c in SEQ_COLUMNS)
     + """ FROM (SELECT customer_ID, length, UNNEST(range(0, 13)) AS pos FROM (SELECT DISTINCT customer_ID, length FROM k)) c
       LEFT JOIN k ON k.customer_ID = c.customer_ID AND k.pos = c.pos""",
     "score_portfolio": f"WITH {ST},{_features()} {_scored('features', 'customer_ID AS customer_id')}",
@@ -395,10 +413,13 @@ ORACLES: dict[str, str] = {
     + " " + " UNION ALL ".join(_scored(f"f_{n}", f"'{n}' AS scenario, customer_ID AS customer_id") for n in SCENARIOS),
     "skew_check": f"""WITH {ST}, cut AS (SELECT * EXCLUDE (rn, n) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY S_2, seq) AS rn,
       COUNT(*) OVER (PARTITION BY customer_ID) AS n FROM statements) WHERE rn > n - 13),{_features()},{_features('cut', 'fcut')}
-      SELECT feature, null_mismatches, max_abs_diff, null_mismatches = 0 AND COALESCE(max_abs_diff, 0) < {dbl(1e-3)} AS matches FROM ("""
+      SELECT feature, null_mismatches, ROUND(max_abs_diff, 4) AS max_abs_diff,
+        null_mismatches = 0 AND COALESCE(max_abs_diff, 0) < {dbl(1e-3)} AS matches FROM ("""
     + " UNION ALL ".join(
-        f"SELECT '{f}' AS feature, COUNT(CASE WHEN (a.{f} IS NULL) <> (b.{f} IS NULL) THEN 1 END) AS null_mismatches, CAST(MAX(ABS(a.{f} - b.{f})) AS DOUBLE) AS max_abs_diff FROM features a JOIN fcut b USING (customer_ID)"
-        for f in [f"{c}_{k}" for c in NUMERIC for k in ("min", "max", "first", "last")] + ["statement_count"]
+        f"SELECT '{f}' AS feature, COUNT(CASE WHEN (a.{f} IS NULL) <> (b.{f} IS NULL) THEN 1 END) AS null_mismatches, "
+        + (f"MAX(CASE WHEN a.{f} <> b.{f} THEN 1e0 WHEN a.{f} = b.{f} THEN 0e0 END)" if f in TEXT_FEATURES else f"CAST(MAX(ABS(a.{f} - b.{f})) AS DOUBLE)")
+        + " AS max_abs_diff FROM features a JOIN fcut b USING (customer_ID)"
+        for f in FEATURES
     ) + ")",
     "blend2_search": _blend(["p_a", "p_b"], GRID2, "ROUND(w0, 3) AS w_p_a, ROUND(w1, 3) AS w_p_b"),
     "blend3_search": _blend(["p_a", "p_b", "p_c"], GRID3, "ROUND(w0, 3) AS w_p_a, ROUND(w1, 3) AS w_p_b, ROUND(w2, 3) AS w_p_c"),

@@ -35,7 +35,9 @@ ROLES = V.ROLES
 KEY = ROLES.key
 NUMERIC, CATEGORICAL = V.NUMERIC, V.CATEGORICAL
 FEATURES = FT.feature_names(NUMERIC, CATEGORICAL)
-PSI_FEATURES = [f for f in FEATURES if not any(f == f"{c}_last" for c in CATEGORICAL)]
+# columns of the sequences; the text columns among them are coded
+TEXTS = ["D_63", "D_64"]
+SEQ_COLUMNS = [*NUMERIC, *CATEGORICAL]
 
 # A fixed-coefficient logistic score and a calibration curve for the checks.
 COEFFICIENTS = {
@@ -148,7 +150,10 @@ def risk_bands(spark, sf_dir):
 
 @query
 def psi_status(spark, sf_dir):
-    return D.status_shares(_psi_table(spark, sf_dir))
+    """Shares over all features; the verdict also takes the drift of the scores."""
+    p = _predictions(spark, sf_dir)
+    score_psi = D.psi_score(p.select("p_a"), p.select(F.col("p_c").alias("p_a")), "p_a").first()["score_psi"]
+    return D.status_shares(_psi_table(spark, sf_dir), score_psi)
 
 
 @query
@@ -291,12 +296,18 @@ def fit_category_map(spark, sf_dir):
 
 @query
 def fit_seq_map(spark, sf_dir):
-    return E.fit_dictionary(V.train_statements(spark, sf_dir), ["D_63", "D_64"])
+    return E.fit_dictionary(V.train_statements(spark, sf_dir), TEXTS)
+
+
+def _coded(spark, sf_dir):
+    """Train and all statements with codes of the training period in place of texts."""
+    dictionary = materialize(fit_seq_map(spark, sf_dir), "dictionary")
+    return [E.apply_dictionary(s(spark, sf_dir), dictionary, TEXTS) for s in (V.train_statements, V.statements)]
 
 
 @query
 def norm_stats(spark, sf_dir):
-    out = SQ.norm_stats(V.train_statements(spark, sf_dir), NUMERIC)
+    out = SQ.norm_stats(_coded(spark, sf_dir)[0], SEQ_COLUMNS)
     return out.select("feature", "mean", F.round("std", 4).alias("std"))
 
 
@@ -394,9 +405,12 @@ def psi_feature(spark, sf_dir):
 
 
 def _psi_table(spark, sf_dir):
-    train = _features(V.train_statements(spark, sf_dir))
+    """All features; categories as codes fitted on the training period."""
+    train = materialize(_features(V.train_statements(spark, sf_dir)), "train")
+    dictionary = materialize(E.fit_last_dictionary(train, CATEGORICAL), "dictionary")
     test = _features(V.test_statements(spark, sf_dir))
-    return D.psi_features(materialize(train, "train"), materialize(test, "test"), PSI_FEATURES)
+    coded = [materialize(E.encode_last(f, dictionary, CATEGORICAL), "coded") for f in (train, test)]
+    return D.psi_features(*coded, FEATURES)
 
 
 @query
@@ -613,15 +627,15 @@ def logit_to_pd(spark, sf_dir):
 
 
 def _standardized(spark, sf_dir):
-    stats = SQ.stats_as_dict(SQ.norm_stats(V.train_statements(spark, sf_dir), NUMERIC))
-    keep = [KEY, "S_2", "seq"]
-    return SQ.standardize_rows(V.statements(spark, sf_dir), stats, keep)
+    train, every = _coded(spark, sf_dir)
+    stats = SQ.stats_as_dict(SQ.norm_stats(train, SEQ_COLUMNS))
+    return SQ.standardize_rows(every, stats, [KEY, "S_2", "seq"])
 
 
 @query
 def standardize_rows(spark, sf_dir):
     out = _standardized(spark, sf_dir)
-    return out.select(KEY, "seq", *[F.round(c, 7).alias(c) for c in NUMERIC])
+    return out.select(KEY, "seq", *[F.round(c, 7).alias(c) for c in SEQ_COLUMNS])
 
 
 @query
@@ -631,12 +645,11 @@ def trajectory(spark, sf_dir):
 
 @query
 def padded_sequences(spark, sf_dir):
-    """Every cell of the padded sequences of the raw columns."""
-    s = V.statements(spark, sf_dir).na.fill(0.0, NUMERIC)
-    out = SQ.padded_sequences(s, ROLES, NUMERIC)
+    """Every cell of the padded sequences of coded, standardized columns."""
+    out = SQ.padded_sequences(_standardized(spark, sf_dir), ROLES, SEQ_COLUMNS)
     each = out.select(KEY, "length", F.posexplode("seq").alias("pos", "x"))
     return each.select(
-        KEY, "length", "pos", *[F.col("x")[i].cast("double").alias(c) for i, c in enumerate(NUMERIC)]
+        KEY, "length", "pos", *[F.round(F.col("x")[i].cast("double"), 4).alias(c) for i, c in enumerate(SEQ_COLUMNS)]
     )
 
 
@@ -658,8 +671,8 @@ def skew_check(spark, sf_dir):
     """All features against those of the last 13 statements only."""
     s = V.statements(spark, sf_dir)
     cut = SQ.sequence_positions(s, ROLES).select(*s.columns)
-    names = [f"{c}_{k}" for c in NUMERIC for k in ("min", "max", "first", "last")] + ["statement_count"]
-    return FT.skew_check(FT.customer_features(s, ROLES), FT.customer_features(cut, ROLES), KEY, names)
+    out = FT.skew_check(_features(s), _features(cut), KEY, FEATURES)
+    return out.withColumn("max_abs_diff", F.round("max_abs_diff", 4))
 
 
 @query

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators.joins import lookup_join
-
 UNSEEN = -1
 DICTIONARY_SCHEMA = "col string, value string, code int"
 
@@ -49,7 +47,10 @@ def fit_last_dictionary(features: DataFrame, categoricals: Sequence[str]) -> Dat
 def apply_dictionary(
     df: DataFrame, dictionary: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None
 ) -> DataFrame:
-    """Replace values by their codes. NULL and values unseen in training become -1."""
+    """Replace values by their codes. NULL and values unseen in training become -1.
+
+    Keep ``dictionary`` as a stored table: Spark then knows its bytes and broadcasts it or not. No job runs here.
+    """
     names = list(names or columns)
     order = df.columns
     out = df
@@ -57,7 +58,7 @@ def apply_dictionary(
         codes = dictionary.where(F.col("col") == name).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
-        out = lookup_join(out.withColumn("_value", value_text(out, c)), codes, ["_value"], "left")
+        out = out.withColumn("_value", value_text(out, c)).join(codes, "_value", "left")
         out = out.withColumn(c, F.coalesce("_code", F.lit(UNSEEN)).cast("int")).drop("_value", "_code")
     return out.select(*order)
 

@@ -199,8 +199,9 @@ def skew_check(left: DataFrame, right: DataFrame, key: str, columns: Sequence[st
 
     The wide rows are joined once by customer and reduced in a single aggregation,
     so no (customer, feature) pair is ever shuffled. Customers found on one side
-    only count as a mismatch of every feature.
+    only count as a mismatch of every feature. Texts differ by 1 or by 0.
     """
+    types = dict(left.dtypes)
     both = left.select(key, *columns, F.lit(1).alias("_l")).alias("l").join(
         right.select(key, *columns, F.lit(1).alias("_r")).alias("r"), key, "full_outer"
     )
@@ -209,7 +210,8 @@ def skew_check(left: DataFrame, right: DataFrame, key: str, columns: Sequence[st
         a, b = f"l.{quoted(c)}", f"r.{quoted(c)}"
         differ = f"_l IS NULL OR _r IS NULL OR ({a} IS NULL) <> ({b} IS NULL)"
         aggs.append(F.expr(f"count_if({differ}) AS n{i}"))
-        aggs.append(F.expr(f"max(abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE))) AS d{i}"))
+        apart = f"CAST({a} <> {b} AS DOUBLE)" if types[c] == "string" else f"abs(CAST({a} AS DOUBLE) - CAST({b} AS DOUBLE))"
+        aggs.append(F.expr(f"max({apart}) AS d{i}"))
     ok = (F.col("null_mismatches") == 0) & (F.coalesce("max_abs_diff", F.lit(0.0)) < tolerance)
     return both.agg(*aggs).select(
         rows_from(columns, {"null_mismatches": "n", "max_abs_diff": "d"})

@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.session import materialize
 
-BROADCAST_ROWS = 200_000
 HOT_SHARE = 2_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own upper estimate of the size of ``df``; no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's threshold for automatic broadcasts, in bytes."""
+    return int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
@@ -32,18 +36,19 @@ def lookup_join(
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int | None = None,
     share: int = HOT_SHARE,
 ) -> DataFrame:
     """Join a large, possibly skewed ``left`` to a lookup with one row per key.
 
-    A lookup of checked size is broadcast, so ``left`` is not moved at all. Beyond
-    that size, the few keys that are frequent in ``left`` meet their lookup rows by
+    A lookup that Spark's statistics put within ``max_bytes`` (by default the session's
+    broadcast threshold) is broadcast, so ``left`` is not moved at all. Beyond that size, the few keys that are frequent in ``left`` meet their lookup rows by
     broadcast, and only the evenly spread rest is shuffled. Rows with a NULL key match
     nothing and are not shuffled either. ``how``: inner, left, left_semi, left_anti.
     """
     on = list(on)
-    if fits_broadcast(lookup, max_rows):
+    limit = broadcast_limit(left.sparkSession) if max_bytes is None else max_bytes
+    if estimated_bytes(lookup) <= limit:
         return left.join(F.broadcast(lookup), on, how)
     hot = F.broadcast(hot_keys(left, on, share))
     present = left.where(_complete(on))
