@@ -292,6 +292,10 @@ ORACLES: dict[str, str] = {
     "oof_align": f"WITH {PD} SELECT customer_ID, target, p_a, p_b, p_c FROM predictions",
     "oof_misaligned": f"""WITH {PD} SELECT COUNT(*) AS n_keys, COUNT(CASE WHEN p_b < {dbl(0.05)} THEN 1 END) AS n_unmatched,
       COUNT(CASE WHEN p_b > {dbl(0.95)} THEN 1 END) AS n_label_conflicts FROM predictions""",
+    "oof_duplicates": f"""WITH {PD} SELECT COUNT(*) AS n_keys, COUNT(CASE WHEN p_a > {dbl(0.9)} THEN 1 END) AS n_unmatched,
+      CAST(0 AS BIGINT) AS n_label_conflicts FROM predictions""",
+    "encode_integer_codes": f"WITH {_TT}, dict AS (" + _dictionary("train", {"B_30": "B_30"})
+    + ") SELECT seq, COALESCE((SELECT code FROM dict WHERE value = CAST(B_30 AS VARCHAR)), -1) AS B_30 FROM test",
     "label_lookup": f"WITH {PD} SELECT customer_ID, p_a, target FROM predictions",
     "encode_last": f"WITH {_TT},{_features('train', 'ftrain')},{_features('test', 'ftest')}, dict AS ("
     + _dictionary("ftrain", {c: f"{c}_last" for c in CATEGORICAL}) + ") SELECT customer_ID, "

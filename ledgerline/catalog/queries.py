@@ -211,6 +211,15 @@ def oof_align(spark, sf_dir):
     return J.check_aligned(J.align_predictions(tables), list(tables))
 
 
+@query
+def oof_duplicates(spark, sf_dir):
+    """Every key of one model whose score is high comes twice."""
+    p = _predictions(spark, sf_dir)
+    one = p.select(KEY, "target", F.col("p_a").alias("oof_pred"))
+    tables = {"a": one, "b": one.unionByName(one.where("oof_pred > 0.9"))}
+    return J.misaligned(J.align_predictions(tables), ["a", "b"])
+
+
 @query
 def oof_misaligned(spark, sf_dir):
     """Two tables that do not match: one lacks some customers, some labels are flipped."""
@@ -236,6 +245,14 @@ def encode_last(spark, sf_dir):
     return E.encode_last(test, dictionary, CATEGORICAL)
 
 
+@query
+def encode_integer_codes(spark, sf_dir):
+    """A category stored as a float when the dictionary was fitted, as an integer later."""
+    dictionary = materialize(E.fit_dictionary(V.train_statements(spark, sf_dir), ["B_30"]), "dictionary")
+    later = V.test_statements(spark, sf_dir).select("seq", F.col("B_30").cast("int").alias("B_30"))
+    return E.apply_dictionary(later, dictionary, ["B_30"])
+
+
 @query
 def customer_features(spark, sf_dir):
     return _features(V.statements(spark, sf_dir))

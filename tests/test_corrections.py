@@ -71,3 +71,23 @@ def test_large_ties_fall_back_to_a_struct(spark):
 def test_quantiles_with_minus_infinity(spark):
     df = spark.createDataFrame([(float("-inf"),)] * 3 + [(float(i),) for i in range(4)], "v double")
     assert exact_quantiles(df, "v", [0.0, 1.0]).first()["q"] == [-math.inf, 3.0]
+
+
+def test_lookup_join_runs_no_job_for_a_small_stored_lookup(spark, tmp_path):
+    """The size comes from the statistics of the stored table, not from a count."""
+    spark.range(100).selectExpr("id AS k").write.parquet(str(tmp_path / "keys"))
+    spark.range(1_000).selectExpr("id % 200 AS k", "id").write.parquet(str(tmp_path / "rows"))
+    keys = spark.read.schema("k long").parquet(str(tmp_path / "keys"))
+    rows = spark.read.schema("k long, id long").parquet(str(tmp_path / "rows"))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    joined = J.lookup_join(rows, keys, ["k"], "left_semi")
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert joined.count() == 500
+
+
+def test_skew_check_compares_texts(spark):
+    left = spark.createDataFrame([("a", "x", 1.0), ("b", None, 2.0)], "k string, t string, v double")
+    right = spark.createDataFrame([("a", "y", 1.0), ("b", None, 2.0)], "k string, t string, v double")
+    got = {r["feature"]: tuple(r)[1:] for r in FT.skew_check(left, right, "k", ["t", "v"]).collect()}
+    assert got == {"t": (0, 1.0, False), "v": (0, 0.0, True)}
