@@ -406,3 +406,16 @@ def test_empty_tables(spark):
     assert url_filter.judge_urls(spark, pages, spark.createDataFrame([], "canonical string"), URL_RULES).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert learned_ann.search(vectors, vectors).count() == 0
+
+
+def test_fine_registers_part_pairs_at_the_threshold_from_those_below():
+    """Pairs at 85 % pass the second estimate, pairs at 70 % do not."""
+    rng = np.random.default_rng(3)
+    for n in (150, 2_000):
+        for ratio, wanted in ((0.85, True), (0.70, False)):
+            for _ in range(50):
+                common = int(np.ceil(2 * n * ratio / (1 + ratio)))
+                x = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+                a, b = (np.unique(p) for p in (x[:n], x[n - common :]))
+                fine = [near_dedup.registers_of(p, near_dedup.FINE_BITS)[None] for p in (a, b)]
+                assert near_dedup.near_enough(*fine, np.array([n]), n, 85)[0] == wanted
