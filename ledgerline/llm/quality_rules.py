@@ -6,8 +6,16 @@ language, and as common words all words that make up at least ``COMMON_SHARE`` o
 COMMON_SHARE of them). A document is rejected if the Jensen-Shannon distance (base 2, so between 0 and 1) to
 a reference is above its threshold; a histogram with fewer than its minimum of characters or words is not judged.
 
+A text without any common word lies at a distance that depends on how much the common words hold, so
+the word distance counts in units of that distance as well: beyond ``LACKING`` of it, and with less than ``FEW`` of the
+common words due, a text lacks the words of its language, and a text nearer to another language's reference by ``NEARER`` is in the wrong one. Both need
+``EXPECTED`` common words to be due at the text's length: where common words are rare (scripts without spaces, say), a text
+may lack them by chance.
+
 References are small (languages with at least ``LANGUAGE_SHARE`` of the words, so at most 1 / LANGUAGE_SHARE
-of them). A document whose language is NULL or has no reference is compared with that of the whole corpus.
+of them). A document whose language is NULL or has no reference is compared with that of the whole corpus. That one
+mixes languages, so lacking its words says nothing: without a language a text goes if it lacks the words of every
+language, and with one that has no reference only the thresholds hold.
 
 Edge cases: NULL and empty texts have zero counts and fail the base rule. Every row is judged by itself, so
 repeated rows and ids do no harm. An empty table gives no rows. Columns besides id, text and
@@ -18,7 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +40,10 @@ COMMON_SHARE = 0.004
 LANGUAGE_SHARE = 0.001
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.4
+LACKING = 0.8
+FEW = 0.6
+NEARER = 0.05
+EXPECTED = 16
 MIN_CHARS = 200
 MIN_WORDS = 80
 PARTIAL_WORDS = 200_000
@@ -96,12 +108,34 @@ class Reference:
     classes: np.ndarray
     words: Mapping[bytes, int]  # common word -> bin
     shares: np.ndarray  # of the common words, then of all others
+    bare: float  # distance of a text without common words
 
     @classmethod
     def of(cls, classes: np.ndarray, counts: Mapping[bytes, int], total: int) -> Reference:
         ordered = sorted(counts)
         shares = [counts[w] / total for w in ordered]
-        return cls(classes, {w: i for i, w in enumerate(ordered)}, np.array([*shares, max(0.0, 1 - sum(shares))]))
+        shares = np.array([*shares, max(0.0, 1 - sum(shares))])
+        none = np.zeros(len(shares))
+        none[-1] = 1
+        return cls(classes, {w: i for i, w in enumerate(ordered)}, shares, js_distance(none, shares))
+
+    def expects(self, n_words: int) -> bool:
+        """Enough common words are due in a text of this length."""
+        return n_words * (1 - self.shares[-1]) >= EXPECTED
+
+    def lacks(self, distance: float, found: Mapping[bytes, int], n_words: int) -> bool:
+        """Too far, and not only because a short text has the common words in other shares."""
+        common = sum(found[w] for w in found.keys() & self.words.keys())
+        return distance > LACKING * self.bare and common < FEW * n_words * (1 - self.shares[-1])
+
+    def word_distance(self, found: Mapping[bytes, int], n_words: int) -> float:
+        counts = np.zeros(len(self.shares))
+        for word, n in found.items():
+            at = self.words.get(word)
+            if at is not None:
+                counts[at] = n
+        counts[-1] = n_words - counts.sum()
+        return js_distance(counts, self.shares)
 
 
 def fit_references(docs: DataFrame, common_share: float = COMMON_SHARE) -> dict[str, Reference]:
@@ -132,7 +166,8 @@ def fit_references(docs: DataFrame, common_share: float = COMMON_SHARE) -> dict[
     words = totals.where("kind = 0")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("total"))
     everything = sizes.agg(F.sum("total")).first()[0] or 0
-    kept = materialize(sizes.where(F.col("total") >= LANGUAGE_SHARE * everything), "languages")
+    # rows without a language are no language, however many
+    kept = materialize(sizes.where((F.col("lang") != "") & (F.col("total") >= LANGUAGE_SHARE * everything)), "languages")
     found = words.join(F.broadcast(kept), "lang").where(F.col("n") >= common_share * F.col("total"))
     pooled = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= common_share * everything)
     per_class = totals.where("kind = 1").join(F.broadcast(kept), "lang").select("lang", "word", "n")
@@ -201,8 +236,23 @@ class Limits:
     min_words: int = MIN_WORDS
 
 
-def judge(text: bytes, reference: Reference, limits: Limits) -> tuple:
+def lacks_words(by_word: float, found: Mapping[bytes, int], n_words: int, own: Reference | None, others: Sequence[Reference]) -> bool:
+    """The text has too few of its language's common words, or another language's rather.
+
+    Without an own reference: too few of every language's."""
+    if own is not None:
+        if not own.expects(n_words):
+            return False
+        mine = by_word / own.bare
+        rivals = (r for r in others if r is not own and r.expects(n_words) and not found.keys().isdisjoint(r.words))
+        return own.lacks(by_word, found, n_words) or any(r.word_distance(found, n_words) / r.bare < mine - NEARER for r in rivals)
+    return bool(others) and all(r.expects(n_words) and r.lacks(r.word_distance(found, n_words), found, n_words) for r in others)
+
+
+def judge(text: bytes, lang: str | None, references: Mapping[str, Reference], limits: Limits) -> tuple:
     """Counts, base verdict, both distances (None below their minimum) and the final verdict."""
+    own = references.get(lang) if lang else None
+    reference = own or references[ALL]
     words = text.split()
     repeated = repeated_words(words)
     word_chars = len(b"".join(words).decode())
@@ -210,12 +260,15 @@ def judge(text: bytes, reference: Reference, limits: Limits) -> tuple:
     failed = len(words) < 50 or 100 * repeated > 50 * len(words)
     classes = class_counts(text)
     by_class = by_word = None
+    lacking = False
     if classes.sum() >= max(1, limits.min_chars) and reference.classes.sum():
         by_class = js_distance(classes, reference.classes)
     if len(words) >= max(1, limits.min_words) and len(reference.words):
-        found = [reference.words.get(common_form(w), -1) for w in words]
-        by_word = js_distance(np.bincount(np.array(found) % len(reference.shares), minlength=len(reference.shares)), reference.shares)
-    diverges = (by_class or 0) > limits.max_class_distance or (by_word or 0) > limits.max_word_distance
+        found = Counter(map(common_form, words))
+        by_word = reference.word_distance(found, len(words))
+        if own or not lang:
+            lacking = lacks_words(by_word, found, len(words), own, [r for g, r in references.items() if g != ALL])
+    diverges = (by_class or 0) > limits.max_class_distance or (by_word or 0) > limits.max_word_distance or lacking
     return len(words), word_chars, symbols, duplicate_lines(text), repeated, failed, not failed and not diverges, by_class, by_word
 
 
@@ -236,7 +289,7 @@ def judge_documents(docs: DataFrame, limits: Limits = Limits(), columns: tuple[s
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, texts = batch.column(len(columns)).to_pylist(), texts_of(batch.column(len(columns) + 1))
-        rows = [judge(t, references.get("" if g is None else g, references[ALL]), limits) for g, t in zip(langs, texts, strict=True)]
+        rows = [judge(t, g, references, limits) for g, t in zip(langs, texts, strict=True)]
         made = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), OUT, strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, *[n for n, _ in OUT]])
 

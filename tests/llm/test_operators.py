@@ -312,6 +312,36 @@ def test_divergent_documents_go(spark):
     assert quality_rules.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
 
 
+def test_texts_without_the_words_of_their_language_go(spark):
+    rng = random.Random(11)
+    stop = {
+        "en": "the of and to a in is that it for was on with be by as this are at from".split(),
+        "de": "der die und in den von zu das mit sich auf des für ist nicht dem im ein eine als".split(),
+        "fr": "de la le et les des en un du une que pour est qui par dans sur au pas avec".split(),
+    }
+
+    def prose(lang, n, share=0.27):
+        weights = [1 / (i + 2) for i in range(20)]
+        return " ".join(rng.choices(stop[lang], weights)[0] if rng.random() < share else "".join(rng.choices("aeinrstl", k=7)) for _ in range(n))
+
+    # language, text, kept
+    rows = [(lang, prose(lang, rng.choice([80, 120, 200, 800])), True) for lang in stop for _ in range(120)]
+    rows += [(lang, prose(other, n), False) for lang in stop for other in stop if lang != other for n in (150, 400)]
+    rows += [(lang, prose("en", n, share=0), False) for lang in [*stop, None] for n in (80, 150, 400)]
+    rows += [(None, prose(lang, 200), True) for lang in stop] + [("xx", prose("fr", 200), True)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (lang, t, _) in enumerate(rows)], DOCS).repartition(3)
+    got = {r.doc_id: r for r in quality_rules.judge_documents(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(lang, len(t.split())) for i, (lang, t, kept) in enumerate(rows) if got[i].kept != kept] == []
+
+
+def test_rare_common_words_may_be_missing():
+    counts = {b"x": 5}
+    sparse = quality_rules.Reference.of(np.zeros(8), counts, 1_000)
+    found = Counter([b"w%d" % i for i in range(100)])
+    assert not quality_rules.lacks_words(sparse.bare, found, 100, sparse, [sparse])
+
+
 def test_classifier_on_held_out_rows(spark):
     rng = random.Random(8)
     good, bad = [f"g{i}" for i in range(40)], [f"b{i}###" for i in range(40)]
