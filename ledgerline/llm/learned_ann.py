@@ -4,7 +4,9 @@ On a bounded sample (``SAMPLE`` vectors, by a hash of the id) a neighbour graph
 parts. A small network learns which parts a vector's neighbours lie in. It then places every row of the whole
 table, and routes each query to its most probable parts; all rows there are reranked by
 exact inner products in double precision. How many parts a query visits is set on the sample: the
-fewest that find ``TARGET`` of the true neighbours of sample queries.
+fewest that find ``TARGET`` of the true neighbours, both of sample queries and of distinct ones (copies find each
+other in one part, whatever the others need). A query whose parts hold fewer than ``k`` other rows goes on in the
+router's order until they do or no part is left.
 
 Parts of any size are searched in units of at most about ``UNIT_ROWS`` rows by ``UNIT_QUERIES`` queries.
 
@@ -157,7 +159,12 @@ def _probes(router: Router, vectors: np.ndarray, parts: int, k: int, rng: np.ran
     """Fewest parts a query must visit to find ``TARGET`` of its true neighbours in the sample."""
     if len(vectors) < 2:
         return parts
-    own = rng.permutation(len(vectors))[:512]
+    distinct = np.unique(vectors, axis=0, return_index=True)[1]
+    return max(_reach(router, vectors, rng.permutation(own)[:512], parts, k) for own in (len(vectors), distinct))
+
+
+def _reach(router: Router, vectors: np.ndarray, own: np.ndarray, parts: int, k: int) -> int:
+    """Parts that hold ``TARGET`` of the neighbours of the rows ``own``."""
     truth = router.part(vectors)[top_neighbours(vectors, vectors[own], own, k)]
     order = router.best(vectors[own], parts)
     rank = np.empty_like(order)
@@ -203,17 +210,26 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["vec_id", "embedding", "part"])
 
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
-        best = router.value.best(_matrix(batch.column(1), dims), router.value.probes)
-        probes = pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([*batch.columns, probes], ["vec_id", "embedding", "parts"])
+        best = router.value.best(_matrix(batch.column(1), dims), parts)
+        # rows with the query's id are no candidates of it, wherever they are
+        wanted = k + batch.column(2).to_numpy()
+        needed = 1 + (np.cumsum(held[best], axis=1) < wanted[:, None]).sum(axis=1)
+        visited = [b[:n] for b, n in zip(best.astype(np.int32).tolist(), np.maximum(needed, router.value.probes), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(visited, pa.list_(pa.int32()))], ["vec_id", "embedding", "parts"])
 
     kind = rows.schema["embedding"].dataType.simpleString()
     placed = materialize(arrow(rows, place, f"vec_id long, embedding {kind}, part int"), "placed")
-    asked = usable(queries).where(F.size("embedding") == dims)
+    # at most MAX_PARTS parts
+    counted = materialize(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part_sizes")
+    held = np.zeros(parts, np.int64)
+    for r in counted.collect():
+        held[r["part"]] = r["n"]
+    repeated = materialize(placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same")).where("same > 1"), "repeated_ids")
+    asked = usable(queries).where(F.size("embedding") == dims).join(repeated, "vec_id", "left")
+    asked = asked.select("vec_id", "embedding", F.coalesce("same", F.lit(1)).alias("same"))
     routed = arrow(asked, route, f"vec_id long, embedding {kind}, parts array<int>")
     routed = materialize(routed.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode("parts").alias("part")), "routed")
-    # sizes of at most MAX_PARTS parts
-    sizes = placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / UNIT_ROWS).cast("int").alias("tall"))
+    sizes = counted.select("part", F.ceil(F.col("n") / UNIT_ROWS).cast("int").alias("tall"))
     loads = routed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / UNIT_QUERIES).cast("int").alias("wide"))
     units = F.broadcast(materialize(sizes.join(loads, "part"), "units"))
     left = placed.join(units, "part").select(

@@ -383,6 +383,50 @@ def test_neighbours(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+def neighbours_by_force(rows, queries, k):
+    ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(np.float64)
+    out = {}
+    for q in queries:
+        score = (vectors * vectors[ids == q][0]).sum(axis=1)
+        order = np.lexsort((ids, -score))
+        out[q] = ids[order][ids[order] != q][:k].tolist()
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 15, 21])
+def test_small_tables_come_back_whole(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(list)
+    for r in learned_ann.search(table, table, 20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert {q: got[q] for q in range(n)} == neighbours_by_force(rows, range(n), 20)
+
+
+def test_queries_go_on_until_they_have_enough_rows(spark):
+    """One id is held by most rows, which are no candidates of its query and fill the part it is sent to."""
+    rng = np.random.default_rng(5)
+    rows = [(7, rng.normal(size=8).astype(np.float32).tolist())] * 400
+    rows += [(1_000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 8)).astype(np.float32))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    queries = table.where("vec_id >= 1000").unionByName(spark.createDataFrame(rows[:1], table.schema))
+    got = Counter(r.query_id for r in learned_ann.search(table, queries, 20).collect())
+    assert got == {q: 20 for q in [7, *range(1_000, 1_040)]}
+
+
+def test_copies_do_not_set_the_probes():
+    """With most of the sample copies, the others' neighbours are found as well."""
+    rng = np.random.default_rng(9)
+    vectors = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 1_500, axis=0), rng.normal(size=(500, 16))])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    router = learned_ann.fit_router(vectors, 16, 20)
+    own = np.arange(1_500, 2_000)
+    truth = router.part(vectors)[learned_ann.top_neighbours(vectors, vectors[own], own, 20)]
+    visited = router.best(vectors[own], router.probes)
+    assert (truth[:, :, None] == visited[:, None, :]).any(axis=2).mean() >= 0.95
+
+
 # --- SentencePiece ---------------------------------------------------------------------------------------
 
 
