@@ -43,11 +43,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that earlier documents hold. A character cut in half goes
-    as a whole."""
-    kept = suffix_dedup.remove_repeats(docs, texts=True).select("doc_id", "n_removed", "kept")
-    cut = kept.where("n_removed > 0 AND doc_id IS NOT NULL").mapInArrow(_decoded, "doc_id long, _text string")
-    joined = docs.join(materialize(cut, "cut_texts"), "doc_id", "left")
+    """Texts without the 50-byte strings that earlier documents hold, those of rows without an id
+    included. A character cut in half goes as a whole."""
+    kept = suffix_dedup.remove_repeats(docs, texts=True).select("doc_id", "input_hash", "kept", "n_removed")
+    cut = kept.where("n_removed > 0").mapInArrow(_decoded, "_id long, _hash long, _text string")
+    # rows equal in id and text are cut alike, so one cut text serves them all
+    cut = materialize(cut.dropDuplicates(["_id", "_hash"]), "cut_texts")
+    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_hash"]), "left")
     text = F.coalesce("_text", "text")
     n_chars = F.when(F.col("_text").isNotNull(), F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))
     return joined.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -56,7 +58,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t.decode("utf-8", errors="ignore") for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "_text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["_id", "_hash", "_text"])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

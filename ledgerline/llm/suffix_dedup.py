@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -461,8 +462,8 @@ def cut_documents(blocks: DataFrame, masks: DataFrame, replies: DataFrame, bucke
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if texts:
-        fields.append(("kept", pa.binary()))
-        schema += ", kept binary"
+        fields += [("kept", pa.binary()), ("input_hash", pa.int64())]
+        schema += ", kept binary, input_hash long"
     both = masks.withColumn("reply", F.lit(0)).unionByName(replies.withColumn("reply", F.lit(1)))
     left = blocks.select("block", "ids", "sizes", "text")
     return left.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(run, schema)
@@ -477,12 +478,19 @@ def _cut(block: Block, gone: np.ndarray, texts: bool) -> Iterator[tuple]:
         kept = data[low:high][~cut].tobytes() if removed else block.text[low:high]
         spans = int(np.count_nonzero(cut[1:] & ~cut[:-1]) + bool(len(cut) and cut[0])) if removed else 0
         row = (None if doc == LAST else doc, high - low, removed, spans, hashlib.sha256(kept).hexdigest())
-        yield (*row, kept) if texts else row
+        yield (*row, kept, _spark_hash(block.text[low:high])) if texts else row
         low = high
 
 
+def _spark_hash(text: bytes) -> int:
+    """The value of Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(text, seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def remove_repeats(docs: DataFrame, span: int = SPAN, texts: bool = False) -> DataFrame:
-    """Counts and digest of what is kept of every document; with ``texts``, its bytes as well."""
+    """Counts and digest of what is kept of every document; with ``texts``, its bytes as well, and
+    Spark's xxhash64 of the input text: with the id it tells which rows a cut belongs to."""
     spark = docs.sparkSession
     blocks = to_blocks(docs)
     total = blocks.agg(F.sum("bytes")).first()[0] or 0

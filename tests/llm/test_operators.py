@@ -13,6 +13,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from ledgerline.llm import (
     learned_ann,
     near_dedup,
@@ -138,6 +139,17 @@ def test_suffix_dedup(spark):
     assert sorted(map(tuple, got.collect())) == cut_by_force(rows)
 
 
+def test_pipeline_cuts_every_row_by_itself(spark):
+    rng = random.Random(13)
+    a, b, c, d = ("".join(rng.choices("abcdefgh é", k=90)) for _ in range(4))
+    rows = [(1, a), (2, b + a), (2, c + a), (3, d), (None, b + d), (None, b + d), (None, c), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)
+    got = corpus_pipeline.suffix_dedup_stage(spark, docs, "").collect()
+    assert all(r.n_chars == len(r.text or "") for r in got)
+    want = [(1, a), (2, b), (2, c), (3, d), (None, ""), (None, ""), (None, ""), (4, None)]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def test_blind_trie_orders_and_merges():
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)]
