@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm import near_dedup, packing, quality_classifier, quality_rules, suffix_dedup
@@ -35,10 +35,16 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    kept = near_dedup.near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    # rows that share an id are one document to the operator: one of them stays
-    single = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8): that of the smallest id, then of
+    the smallest text hash. Different texts stay, also under one id; of rows equal in id and text the first by
+    language, source and length stays. Rows without an id all stay."""
+    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+    kept = near_dedup.near_duplicates(marked, size=5, percent=80, carried=("_hash",)).where("kept AND doc_id IS NOT NULL")
+    grouped = kept.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "_hash")).alias("r")).select("r.*")
+    chosen = grouped.unionByName(kept.where("root IS NULL").select("doc_id", "_hash").distinct())
+    first = Window.partitionBy("doc_id", "_hash").orderBy("lang", "source", "n_chars")
+    rows = marked.where("doc_id IS NOT NULL").join(chosen, ["doc_id", "_hash"], "left_semi")
+    single = rows.withColumn("_at", F.row_number().over(first)).where("_at = 1").select(*COLUMNS)
     return single.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -145,8 +145,8 @@ def near_enough(mine: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarra
 # --- classes of equal sets ---------------------------------------------------------------------
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, class id (NULL without shingles), registers."""
+def signatures(docs: DataFrame, size: int, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, class id (NULL without shingles), registers, and the columns ``carried``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cols = ([], [], [])
@@ -156,10 +156,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             cols[1].append(_class_id(found) if len(found) else None)
             cols[2].append(registers_of(found).tobytes() if len(found) else None)
         arrays = [batch.column(0).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "cid", "registers"])
+        return pa.RecordBatch.from_arrays([*arrays, *batch.columns[2:]], ["doc_id", "n_shingles", "cid", "registers", *carried])
 
     words = WordHashes()
-    return arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, cid long, registers binary")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long, n_shingles long, cid long, registers binary", *[f"`{c}` {kinds[c]}" for c in carried]])
+    return arrow(docs.select("doc_id", "text", *carried), run, schema)
 
 
 def _class_id(found: np.ndarray) -> int:
@@ -380,10 +382,13 @@ def _first_shared(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
     return ((others == mine).all(axis=2) & (mine != EMPTY).any(axis=1)).argmax(axis=1)
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    With ``carried``, these columns as well and ``root``, the component's smallest class (NULL for a row
+    linked with nothing): unlike ids, it never stands for texts of two components."""
     spark = docs.sparkSession
-    sig = materialize(signatures(docs, size), "signatures")
+    sig = materialize(signatures(docs, size, carried), "signatures")
     linkable = sig.where("cid IS NOT NULL AND doc_id IS NOT NULL")
     classes = linkable.groupBy("cid").agg(
         F.min("doc_id").alias("doc_min"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
@@ -415,7 +420,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     placed = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "doc_min", F.coalesce("root", "cid").alias("root"))
     placed = materialize(placed, "placed_classes")
     smallest = placed.groupBy("root").agg(F.min("doc_min").alias("component_id"))
-    by_class = placed.join(smallest, "root").select("cid", "component_id")
-    joined = linkable.join(by_class, "cid").select("doc_id", "n_shingles", "component_id")
-    alone = sig.where("cid IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    more = [*carried, "root"] if carried else []
+    by_class = placed.join(smallest, "root").select("cid", "component_id", *more[-1:])
+    joined = linkable.join(by_class, "cid").select("doc_id", "n_shingles", "component_id", *more)
+    alone = sig.where("cid IS NULL OR doc_id IS NULL").withColumn("root", F.lit(None).cast("long"))
+    alone = alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *more)
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -105,6 +105,21 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(1, 41)} | {100: 90}
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=60)) for _ in range(5))
+    near_a, near_c = a + " end", c + " end"
+    rows = [(1, a), (2, near_a), (2, b), (2, b), (3, near_a), (4, c), (4, near_c), (5, None), (5, None), (6, ""), (None, a), (None, a), (7, d), (7, e)]
+    docs = spark.createDataFrame([(d, t, "en", f"s{i}", len(t or "")) for i, (d, t) in enumerate(rows)], DOCS).repartition(3)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, "").collect()
+    assert all(r.n_chars == len(r.text or "") for r in got)
+    found = Counter((r.doc_id, r.text) for r in got)
+    # either text of id 4 may stand for its group, but only one
+    assert (found.pop((4, c), 0), found.pop((4, near_c), 0)) in {(0, 1), (1, 0)}
+    assert found == {(1, a): 1, (2, b): 1, (5, None): 1, (6, ""): 1, (None, a): 2, (7, d): 1, (7, e): 1}
+    assert next(r.source for r in got if r.text == b) == "s2"
+
+
 # --- suffix-array dedup ------------------------------------------------------------------------
 
 
