@@ -80,7 +80,7 @@ STAGES = [
     ("suffix_dedup", suffix_dedup_stage),
     ("packing", packing_stage),
 ]
-# shares, network scores and the suffix order are not SQL: tested against brute force
+# shares, network scores and the suffix order are not SQL; tests hold single stages and operators, not the whole run
 ORACLE_SQL = None
 
 
