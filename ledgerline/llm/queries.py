@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
+    group_matrix_join,
     learned_ann,
     near_dedup,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sentence_pieces,
     sharding,
     suffix_dedup,
+    token_alignment,
     url_filter,
     warc,
 )
@@ -112,7 +115,69 @@ def op10_sentencepiece(spark, sf_dir):
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), model)
 
 
+@query
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_token_alignment(spark, sf_dir):
+    with open(BYTE_BPE) as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return token_alignment.align_documents(table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
+@query
+def op13_group_matrix_join(spark, sf_dir):
+    return group_matrix_join.similarity_join(table(spark, sf_dir, "documents"), 3, 90)
+
+
+def _linked_sets_sql(percent: int) -> str:
+    """doc_id, number of shingles and smallest document reached, for sets of three-word shingles."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y
+      ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2)
+    JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION
+    SELECT r.doc_id, b FROM reach r JOIN both_ways ON a = r.seen),
+c AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+
+# CRC-32 of a decimal number: its characters, each followed by eight shifts
+_CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+    string_split(conv_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
 LLM_ORACLES: dict[str, str] = {
+    "op13_group_matrix_join": _linked_sets_sql(90),
+    "op11_prefix_trie": rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, md5(length(role) || ':' || role || text) AS id, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS pos FROM t),
+c AS (SELECT conv_id, {_CRC32_SQL} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, id, words FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND pos <= h
+    UNION ALL SELECT c.conv_id, pos, id, words FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+s AS (SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS d FROM r),
+p AS (SELECT conv_id, d, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix FROM s
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+l AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n, max(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = last), '')) AS ends FROM l GROUP BY prefix, d),
+up AS (SELECT n.prefix, p.prefix AS above FROM n JOIN p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+kids AS (SELECT above AS prefix, count(*) AS kids FROM up GROUP BY above),
+sums AS (SELECT p.prefix, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (WHERE k.kids IS NULL) AS leaves
+    FROM n LEFT JOIN kids k ON k.prefix = n.prefix JOIN p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.prefix)
+SELECT n.conv_id, n.d AS depth, a.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.kids, 0) AS n_children, leaves AS n_leaves,
+    saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM n JOIN sums USING (prefix) LEFT JOIN kids k USING (prefix) LEFT JOIN up USING (prefix) LEFT JOIN n a ON a.prefix = up.above""",
     "op9_near_dedup": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
