@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.near_dedup import WordHashes, _class_id, components, rebuilt_sets, shingle_set
 from ledgerline.llm.stages import arrow, materialize, partitions, texts_of
 
-GROUP = 64
-GROUP_TOKENS = 100_000
+GROUP = 128
+GROUP_TOKENS = 150_000
 BATCH = 32  # rows that carry groups are handed over in batches of so many
 _MIX, _STEP, _PART = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -326,12 +326,7 @@ def similarity_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     roots = components(links)
 
     rooted = marks.join(roots, marks["cid"] == roots["node"], "left").select("mark", "gid", F.coalesce("root", "cid").alias("root"))
-    per_root = materialize(rooted.groupBy("mark", "gid", "root").agg(F.count(F.lit(1)).alias("n")), "rooted_marks")
-    mixed = per_root.groupBy("mark", "root").agg(F.sum("n").alias("n")).groupBy("mark").agg(
-        F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root"))["root"].alias("main")).where("roots > 1")
-    others = per_root.join(mixed, "mark").where("root <> main").select("mark", F.col("gid").alias("y"), F.col("root").alias("y_root"))
-    cross = per_root.join(others, "mark").where("gid <> y AND root <> y_root")
-    cross = cross.select(F.least("gid", "y").alias("x"), F.greatest("gid", "y").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
+    cross = _mixed_pairs(materialize(rooted, "rooted_marks")).join(first, ["x", "y"], "left_anti")
     cross = materialize(cross, "cross_pairs")
     more = _links(spark, cross, groups, percent)
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "all_links")
@@ -345,6 +340,25 @@ def similarity_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     return joined.unionByName(alone)
 
 
+def _mixed_pairs(rooted: DataFrame) -> DataFrame:
+    """Pairs of groups (x, y) that share a signature and are not known to be one component.
+
+    Groups that hold only the largest component of a signature do not meet each other there. Of signatures held by the
+    same groups one is enough.
+    """
+    cells = rooted.groupBy("mark", "gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    sums = [F.sum(F.xxhash64("gid", "low", "high", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)]
+    marks = cells.groupBy("mark").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"), *sums)
+    marks = materialize(marks.where("low <> high AND n > 1").groupBy("n", "h0", "h1").agg(F.min("mark").alias("mark")).select("mark"), "mixed_marks")
+    held = rooted.join(marks, "mark").groupBy("mark", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = held.groupBy("mark").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    cells = cells.join(main, "mark").withColumn("other", (F.col("low") != F.col("main")) | (F.col("high") != F.col("main"))).drop("main")
+    cells = materialize(cells, "mixed_groups")
+    others = cells.where("other").select("mark", F.col("gid").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
+    both = cells.join(others, "mark").where("gid < y OR (gid > y AND NOT other)").where("low <> high OR y_low <> y_high OR low <> y_low")
+    return both.select(F.least("gid", "y").alias("x"), F.greatest("gid", "y").alias("y")).distinct()
+
+
 def _links(spark: SparkSession, pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     with small_batches(spark):
         return materialize(compared(pairs, groups, percent), "links")
