@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.ordered import ROWS_PER_BUCKET, ordered_prefix
@@ -83,6 +83,48 @@ def rank_metric(
     )
 
 
+def metric_bounds_of(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Lower and upper bound (``lo``, ``hi``) of the metric per group, from positives ``p`` and negatives ``g``
+    per cell ``_bin`` of the score.
+
+    Only the order inside a cell is unknown: defaults first is the best case, defaults last the worst.
+    """
+    # as many rows per group as it has bins
+    down = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    w = F.col("p") + GOOD_WEIGHT * F.col("g")
+    cells = cells.select(
+        *by, "p", "g",
+        F.coalesce(F.sum("p").over(down), F.lit(0)).alias("p0"),
+        F.coalesce(F.sum(w).over(down), F.lit(0)).alias("w0"),
+        F.sum("p").over(whole).alias("pos"),
+        F.sum("g").over(whole).alias("neg"),
+    )
+    p, g, p0, w0 = (F.col(c).cast("double") for c in ("p", "g", "p0", "w0"))
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    weight = pos + GOOD_WEIGHT * neg
+    climb = p0 * p + p * (p + 1) / 2
+    room = TOP_SHARE * weight - w0
+    taken = {
+        "hi": F.least(p, F.greatest(F.lit(0.0), F.floor(room))),
+        "lo": F.least(p, F.greatest(F.lit(0.0), F.floor(room - GOOD_WEIGHT * g))),
+    }
+    area = {"hi": climb + GOOD_WEIGHT * g * (p0 + p), "lo": climb + GOOD_WEIGHT * g * p0}
+    sums = cells.groupBy(*by).agg(
+        F.first(pos).alias("pos"), F.first(neg).alias("neg"),
+        *[F.sum(area[e]).alias(f"area_{e}") for e in area],
+        *[F.sum(taken[e]).alias(f"taken_{e}") for e in taken],
+    )
+    pos, neg = F.col("pos"), F.col("neg")
+    weight = pos + GOOD_WEIGHT * neg
+    # the sum of running weight times row weight does not depend on the order
+    area_w = (weight * weight + pos + GOOD_WEIGHT**2 * neg) / 2
+    bounds = {
+        e: gini_and_capture(F.col(f"area_{e}"), area_w, F.col(f"taken_{e}"), pos, neg)[2].alias(e) for e in area
+    }
+    return sums.select(*by, bounds["lo"], bounds["hi"])
+
+
 def by_distinct_score(
     df: DataFrame, target: str, score: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

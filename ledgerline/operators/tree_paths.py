@@ -1,4 +1,4 @@
-"""Boosted-tree internals as vectorized batches: staged margins and path contributions.
+"""Path contributions of boosted trees, in vectorized batches.
 
 The fitted trees are a model of bounded size (trees x nodes), broadcast to the tasks.
 Each Arrow batch walks all its rows down a tree at once with NumPy.
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,28 +28,23 @@ class FlatTree:
     weight: float
 
 
-def flatten_trees(model) -> list[FlatTree]:
-    """The trees of a fitted boosted classifier with continuous splits."""
+def flatten_trees(spark: SparkSession, path: str) -> list[FlatTree]:
+    """The trees of a saved boosted classifier with continuous splits, from its node table."""
+    n = F.col("nodeData")
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", n["id"].alias("id"), n["split"]["featureIndex"].alias("feature"), n["split"]["leftCategoriesOrThreshold"].alias("threshold"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["prediction"].alias("value"))
+    weights = spark.read.parquet(f"{path}/treesMetadata").toDF("treeID", "_meta", "weight").drop("_meta")
+    found = nodes.join(weights, "treeID").orderBy("treeID", "id").toPandas()  # as many rows as the model has nodes
     trees = []
-    for tree, weight in zip(model.trees, model.treeWeights):
-        feature, threshold, left, right, value = [], [], [], [], []
-
-        def visit(node) -> int:
-            at = len(feature)
-            for column, start in ((feature, -1), (threshold, 0.0), (left, at), (right, at)):
-                column.append(start)
-            value.append(node.prediction())
-            if node.subtreeDepth() > 0:
-                split = node.split()
-                feature[at], threshold[at] = split.featureIndex(), split.threshold()
-                left[at] = visit(node.leftChild())
-                right[at] = visit(node.rightChild())
-            return at
-
-        visit(tree._java_obj.rootNode())
-        trees.append(
-            FlatTree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value), float(weight))
-        )
+    for _, t in found.groupby("treeID"):
+        leaf = t["left"].to_numpy() < 0
+        at = np.arange(len(t))
+        threshold = np.array([0.0 if not len(x) else x[0] for x in t["threshold"]])
+        # node numbers are places in the table
+        trees.append(FlatTree(
+            np.where(leaf, -1, t["feature"]), threshold, np.where(leaf, at, t["left"]), np.where(leaf, at, t["right"]),
+            t["value"].to_numpy(), float(t["weight"].iloc[0])))
     return trees
 
 
@@ -73,27 +68,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.empty((0, 0))
 
 
-def staged_margins(df: DataFrame, model, features: str = "features", out: str = "margins") -> DataFrame:
-    """Adds the margin after 1, 2, ... trees as an array."""
-    trees = df.sparkSession.sparkContext.broadcast(flatten_trees(model))
-
-    @F.pandas_udf("array<double>")
-    def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for column in batches:
-            x = _matrix(column)
-            steps = np.cumsum([t.weight * _walk(t, x) for t in trees.value], axis=0).T
-            yield pd.Series(list(steps), index=column.index)
-
-    return df.withColumn(out, margins(vector_to_array(F.col(features))))
-
-
-def path_contributions(df: DataFrame, model, n_features: int, features: str = "features", out: str = "paths") -> DataFrame:
+def path_contributions(df: DataFrame, flat: Sequence[FlatTree], n_features: int, features: str = "features", out: str = "paths") -> DataFrame:
     """Adds each feature's additive share of the margin, plus the base value at the end.
 
     A split hands the change of node value to its feature, so base plus shares give
     the margin exactly.
     """
-    trees = df.sparkSession.sparkContext.broadcast(flatten_trees(model))
+    trees = df.sparkSession.sparkContext.broadcast(list(flat))
 
     @F.pandas_udf("array<double>")
     def shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,7 +91,3 @@ def path_contributions(df: DataFrame, model, n_features: int, features: str = "f
 
 def named_paths(names: Sequence[str], paths: str = "paths") -> dict[str, Column]:
     return {n: F.col(paths)[i] for i, n in enumerate(names)}
-
-
-def margin_to_pd(margin: Column) -> Column:
-    return 1 / (1 + F.exp(-2 * margin))

@@ -11,24 +11,23 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.contributions import REASONS, reason_codes
 from ledgerline.operators.folds import random_halves, stratified_folds, stratified_holdout
 from ledgerline.operators.rank_metrics import rank_metric
 from ledgerline.operators.sequences import MAX_STATEMENTS
-from ledgerline.operators.tree_paths import (
-    margin_to_pd, named_paths, path_contributions, staged_margins,
-)
+from ledgerline.operators.tree_paths import flatten_trees, named_paths, path_contributions
+from ledgerline.operators.tree_stages import LEAVES, LeafValues, best_stage, read_leaf_values, with_leaves
 from ledgerline.roles import FOLDS, SEED
-from ledgerline.session import materialize
+from ledgerline.session import materialize, scratch_path
 
 KEY, TARGET = "customer_ID", "target"
 # The settings of the two tree models, as far as the library has them.
@@ -87,81 +86,58 @@ def positive_probability(df: DataFrame, out: str) -> DataFrame:
 # --- boosted trees with early stopping on the rank metric --------------------------------
 
 
-def stage_metrics(valid: DataFrame, model: GBTClassificationModel) -> list[float | None]:
-    """Rank metric on the validation rows after 1, 2, ... trees.
-
-    Only the margins of each stage are exploded. Their order is all that counts.
-    """
-    staged = staged_margins(valid.select(KEY, TARGET, "features"), model)
-    long = staged.select(KEY, TARGET, F.posexplode("margins").alias("stage", "margin"))
-    rows = rank_metric(materialize(long, "stages"), TARGET, "margin", KEY, ["stage"]).collect()  # one row per tree
-    found = {r["stage"]: r["metric"] for r in rows}
-    return [found.get(i) for i in range(len(model.trees))]
-
-
-def best_iteration(metrics: Sequence[float | None], patience: int = PATIENCE) -> int:
-    """Trees to keep: the best stage seen before ``patience`` stages without progress."""
-    best, at = -math.inf, 0
-    for i, m in enumerate(metrics):
-        if m is not None and m > best:
-            best, at = m, i
-        elif i - at >= patience:
-            break
-    return at + 1
-
-
 @dataclass(frozen=True)
 class TreeScorer:
-    """A boosted model cut to its best iteration, usable by the scoring plan."""
+    """A saved tree ensemble cut to its best number of trees, usable by the scoring plan.
 
-    model: GBTClassificationModel
+    ``path`` holds the library's own form of the model; ``values`` are its leaves.
+    """
+
+    model: Model
     inputs: Inputs
     trees: int
-
-    def _margin(self, features: DataFrame) -> DataFrame:
-        ready = self.inputs.assemble(features)
-        return staged_margins(ready, self.model).withColumn("_margin", F.col("margins")[self.trees - 1])
+    values: LeafValues
+    path: str
 
     def transform(self, features: DataFrame, out: str = "raw") -> DataFrame:
-        if self.trees == len(self.model.trees):
-            ready = self.model.transform(self.inputs.assemble(features))
-            scored = positive_probability(ready, out)
-            return scored.drop("features", "rawPrediction", "probability", "prediction")
-        scored = self._margin(features).withColumn(out, margin_to_pd(F.col("_margin")))
-        return scored.drop("features", "margins", "_margin")
+        leafed = with_leaves(self.model, self.inputs.assemble(features))
+        return leafed.withColumn(out, self.values.probability(F.col(LEAVES), self.trees)).drop("features", LEAVES)
 
     def explain(self, features: DataFrame, n: int = REASONS) -> DataFrame:
-        """Adds ``contributions``: the top reasons, from the path shares of all trees."""
+        """Adds ``contributions``: the top reasons, from the path shares of the boosted trees kept."""
         names = self.inputs.names
-        ready = path_contributions(self.inputs.assemble(features), self.model, len(names))
+        trees = flatten_trees(features.sparkSession, self.path)[: self.trees]
+        ready = path_contributions(self.inputs.assemble(features), trees, len(names))
         return ready.withColumn("contributions", reason_codes(named_paths(names), n)).drop("features", "paths")
 
 
-def fit_boosted(train: DataFrame, valid: DataFrame, inputs: Inputs, params: Mapping, rounds: int, patience: int = PATIENCE, seed: int = SEED) -> TreeScorer:
-    settings = {**MODEL_A, "maxIter": rounds, "seed": seed, **params}
-    estimator = GBTClassifier(featuresCol="features", labelCol=TARGET, **settings)
-    model = estimator.fit(inputs.assemble(train).select("features", TARGET))
-    kept = best_iteration(stage_metrics(inputs.assemble(valid), model), patience)
-    return TreeScorer(model, inputs, kept)
+def saved_scorer(model, inputs: Inputs, valid: DataFrame | None, patience: int, path: str | None = None) -> TreeScorer:
+    """Writes the fitted ensemble and picks its number of trees on the validation rows (all of them without any)."""
+    path = path or scratch_path(model_session(), "model")
+    model.write().overwrite().save(path)
+    values = read_leaf_values(model_session(), path, isinstance(model, RandomForestClassificationModel))
+    kept = len(values.values)
+    if valid is not None:
+        kept = best_stage(model, values, inputs.assemble(valid).select(KEY, TARGET, "features"), KEY, TARGET, patience)
+    return TreeScorer(model, inputs, kept, values, path)
 
 
-@dataclass(frozen=True)
-class ModelScorer:
-    """Any fitted probabilistic classifier on assembled features."""
+def model_session() -> SparkSession:
+    return SparkSession.active()
 
-    model: Model
-    inputs: Inputs
 
-    def transform(self, features: DataFrame, out: str = "raw") -> DataFrame:
-        scored = positive_probability(self.model.transform(self.inputs.assemble(features)), out)
-        return scored.drop("features", "rawPrediction", "probability", "prediction")
+def fit_boosted(train: DataFrame, valid: DataFrame, inputs: Inputs, params: Mapping, rounds: int, patience: int = PATIENCE, seed: int = SEED) -> TreeScorer:
+    """Boosted trees, ``rounds`` at most, cut where the rank metric of ``valid`` stops rising."""
+    settings = {**MODEL_A, "maxIter": rounds, "seed": seed, **params}
+    estimator = GBTClassifier(featuresCol="features", labelCol=TARGET, **settings)
+    return saved_scorer(estimator.fit(inputs.assemble(train).select("features", TARGET)), inputs, valid, patience)
 
 
-def fit_forest(train: DataFrame, valid: DataFrame, inputs: Inputs, params: Mapping, rounds: int, patience: int = PATIENCE, seed: int = SEED) -> ModelScorer:
-    """A second tree family on the same folds; ``rounds`` is the number of trees."""
+def fit_forest(train: DataFrame, valid: DataFrame, inputs: Inputs, params: Mapping, rounds: int, patience: int = PATIENCE, seed: int = SEED) -> TreeScorer:
+    """A second tree family on the same folds, ``rounds`` trees at most, cut the same way."""
     settings = {**MODEL_B, "numTrees": rounds, "seed": seed, **params}
     estimator = RandomForestClassifier(featuresCol="features", labelCol=TARGET, **settings)
-    return ModelScorer(estimator.fit(inputs.assemble(train).select("features", TARGET)), inputs)
+    return saved_scorer(estimator.fit(inputs.assemble(train).select("features", TARGET)), inputs, valid, patience)
 
 
 # --- the sequence model ------------------------------------------------------------------
@@ -231,6 +207,34 @@ def out_of_fold(folded: DataFrame, scorers: Sequence) -> DataFrame:
     return out
 
 
+MANIFEST = "fold int, family string, trees int, seed int, metric double, params string, inputs array<struct<name: string, mean: double>>"
+
+
+def save_folds(cv: CrossValidation, spark: SparkSession, path: str, seed: int = SEED) -> None:
+    """Fold models with a manifest: fold, family, trees kept, seed, metric, parameters, and the inputs in their order."""
+    metrics = {r["fold"]: r["metric"] for r in cv.fold_metrics.collect()}  # one row per fold
+    rows = []
+    for fold, scorer in enumerate(cv.scorers):
+        scorer.model.write().overwrite().save(f"{path}/fold-{fold}")
+        inputs = [(c, float(scorer.inputs.means[c])) for c in scorer.inputs.columns]
+        family = "forest" if scorer.values.averaged else "boosted"
+        rows.append((fold, family, scorer.trees, seed, metrics.get(fold), json.dumps(dict(cv.metadata), sort_keys=True), inputs))
+    # written last: a folder with a manifest is complete
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def load_folds(spark: SparkSession, path: str) -> list[TreeScorer]:
+    """The fold models of a folder, fold 0 first."""
+    scorers = []
+    for row in spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy("fold").collect():  # one row per fold
+        place = f"{path}/fold-{row['fold']}"
+        averaged = row["family"] == "forest"
+        model = (RandomForestClassificationModel if averaged else GBTClassificationModel).load(place)
+        inputs = Inputs([i["name"] for i in row["inputs"]], {i["name"]: i["mean"] for i in row["inputs"]})
+        scorers.append(TreeScorer(model, inputs, row["trees"], read_leaf_values(spark, place, averaged), place))
+    return scorers
+
+
 def predict_mean(features: DataFrame, scorers: Sequence, key: str = KEY) -> DataFrame:
     """Average prediction of the fold models: one pass, one column per model."""
     scored = features
@@ -370,12 +374,13 @@ def train_serving(labelled: DataFrame, columns: Sequence[str], params: Mapping,
     final = GBTClassifier(featuresCol="features", labelCol=TARGET, **settings).fit(
         inputs.assemble(split).select("features", TARGET)
     )
+    scorer = saved_scorer(final, inputs, None, patience)
     totals = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(TARGET).cast("double")).alias("rate")).first()
     metadata = {
         "n_features": len(columns), "best_iteration": first.trees, "holdout_metric": metric,
         "default_rate": totals["rate"], "trained_rows": totals["n"],
     }
-    return ServingModel(TreeScorer(final, inputs, first.trees), knots, metadata)
+    return ServingModel(scorer, knots, metadata)
 
 
 def save_serving(model: ServingModel, spark, path: str) -> None:
@@ -393,8 +398,9 @@ def load_serving(spark, path: str) -> ServingModel:
     knots = spark.read.schema("x double, y double").json(f"{path}/calibrator").orderBy("x").collect()
     metadata = json.loads(spark.read.text(f"{path}/metadata").first()[0])
     fitted = Inputs([r["feature"] for r in inputs], {r["feature"]: r["mean"] for r in inputs})
+    values = read_leaf_values(spark, f"{path}/model", False)
     return ServingModel(
-        TreeScorer(model, fitted, len(model.trees)), ([k["x"] for k in knots], [k["y"] for k in knots]), metadata
+        TreeScorer(model, fitted, len(values.values), values, f"{path}/model"), ([k["x"] for k in knots], [k["y"] for k in knots]), metadata
     )
 
 

@@ -5,7 +5,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ledgerline.operators import tree_paths as TP
+from ledgerline.operators import tree_stages as TS
 from ledgerline.operators.folds import stratified_folds
+from ledgerline.operators.rank_metrics import metric_bounds_of
 from ledgerline.plans import scoring as SC
 from ledgerline.plans import training as TR
 from ledgerline.session import materialize
@@ -40,21 +42,96 @@ def test_missing_values_are_filled_and_flagged(folded):
     assert all(r["v"][1] == pytest.approx(inputs.means["y"]) for r in rows if r["y"] is None)
 
 
-def test_staged_margins_and_paths_equal_the_model(folded, fitted):
+def test_stage_scores_and_paths_equal_the_model(folded, fitted):
     ready = fitted.inputs.assemble(folded.where("fold = 0"))
-    own = TP.path_contributions(TP.staged_margins(ready, fitted.model), fitted.model, 4)
-    out = fitted.model.transform(own).select("margins", "paths", vector_to_array("probability").alias("p")).collect()
+    flat = TP.flatten_trees(folded.sparkSession, fitted.path)
+    assert [len(t.value[t.feature < 0]) for t in flat] == [len(v) for v in fitted.values.values]
+    own = TS.with_leaves(fitted.model, TP.path_contributions(ready, flat, 4))
+    scores = [fitted.values.score(F.col(TS.LEAVES), n).alias(f"m{n}") for n in (1, 3, 6)]
+    plain = fitted.model.setLeafCol("")
+    out = plain.transform(own).select("paths", *scores, vector_to_array("probability").alias("p")).collect()
     for r in out:
-        assert len(r["margins"]) == 6
-        assert 1 / (1 + np.exp(-2 * r["margins"][-1])) == pytest.approx(r["p"][1], abs=1e-9)
-        assert sum(r["paths"]) == pytest.approx(r["margins"][-1], abs=1e-9)
-
-
-def test_best_iteration_and_patience():
-    assert TR.best_iteration([0.1, 0.3, 0.2, 0.25, 0.9], patience=2) == 2
-    assert TR.best_iteration([0.1, 0.3, 0.2, 0.25, 0.9], patience=10) == 5
-    assert TR.best_iteration([0.3, 0.3]) == 1
-    assert TR.best_iteration([None, None]) == 1
+        assert 1 / (1 + np.exp(-2 * r["m6"])) == pytest.approx(r["p"][1], abs=1e-9)
+        assert sum(r["paths"]) == pytest.approx(r["m6"], abs=1e-9)
+    # one tree alone: its leaves are the only margins
+    assert {round(r["m1"], 12) for r in out} <= {round(v, 12) for v in fitted.values.values[0]}
+
+
+def stopped(metrics, patience):
+    """Best stage seen before ``patience`` stages without progress, one metric after the other."""
+    best, at = -np.inf, 0
+    for i, m in enumerate(metrics):
+        if m > best:
+            best, at = m, i
+        elif i - at >= patience:
+            break
+    return at + 1
+
+
+def test_bounds_settle_the_search_like_all_metrics():
+    rng = np.random.default_rng(2)
+    assert TS.settled_best({i: (m, m) for i, m in enumerate([0.1, 0.3, 0.2, 0.25, 0.9])}, 2, None) == 2
+    assert TS.settled_best({i: (m, m) for i, m in enumerate([0.1, 0.3, 0.2, 0.25, 0.9])}, 10, None) == 5
+    assert TS.settled_best({0: (0.3, 0.3), 1: (0.3, 0.3)}, 10, None) == 1
+    ranked = 0
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        metrics = np.round(np.cumsum(rng.normal(0.005, 0.02, n)), 3)
+        slack = rng.choice([0, 0.001, 0.01, 0.2], size=(2, n))
+        asked = []
+
+        def exact(stages):
+            asked.extend(stages)
+            return {i: float(metrics[i]) for i in stages}
+
+        bounds = {i: (metrics[i] - slack[0, i], metrics[i] + slack[1, i]) for i in range(n)}
+        patience = int(rng.integers(1, 12))
+        assert TS.settled_best(bounds, patience, exact, batch=int(rng.integers(1, 9))) == stopped(metrics, patience)
+        assert len(asked) == len(set(asked))
+        ranked += len(asked)
+    assert ranked < 300 * 15
+
+
+@pytest.mark.parametrize("family", ["boosted", "forest"])
+def test_best_number_of_trees_equals_ranking_every_stage(spark, folded, family):
+    """Few and many cells: the bounds change what is ranked, never the result."""
+    inputs = TR.fit_inputs(folded, COLUMNS)
+    params = PARAMS if family == "boosted" else {"maxDepth": 3}
+    fit = TR.fit_boosted if family == "boosted" else TR.fit_forest
+    train, valid = folded.where("fold != 0"), folded.where("fold = 0")
+    scorer = fit(train, valid, inputs, params, 14, patience=3)
+    leafed = TS.with_leaves(scorer.model, inputs.assemble(valid))
+    every = TS.exact_metrics(leafed, scorer.values, "customer_ID", "target", range(14))
+    metrics = [every[i] for i in range(14)]
+    assert scorer.trees == stopped(metrics, 3)
+    ready = inputs.assemble(valid)
+    for bins in (8, 4_096):
+        assert TS.best_stage(scorer.model, scorer.values, ready, "customer_ID", "target", 3, bins) == stopped(metrics, 3)
+    bounds = {r["stage"]: r for r in metric_bounds_of(TS.stage_counts(leafed, scorer.values, "target", range(14), 64), ["stage"]).collect()}
+    assert all(bounds[i]["lo"] - 1e-9 <= m <= bounds[i]["hi"] + 1e-9 for i, m in enumerate(metrics))
+
+
+def test_planted_best_stage_is_found(spark, folded, fitted):
+    """Trees whose first two order the rows by the label, and whose later ones undo it."""
+    rows = spark.createDataFrame(
+        [(f"c{i}", i % 2, [float(i % 2), float(i % 4 // 2), float(i % 2), float(i % 2)]) for i in range(200)], "customer_ID string, target int, leaves array<double>")
+    values = TS.LeafValues(((-1.0, 1.0), (-0.1, 0.1), (5.0, -5.0), (5.0, -5.0)), False)
+    bounds = {r["stage"]: (r["lo"], r["hi"]) for r in metric_bounds_of(TS.stage_counts(rows, values, "target", range(4)), ["stage"]).collect()}
+    exact = lambda stages: TS.exact_metrics(rows, values, "customer_ID", "target", stages)
+    assert TS.settled_best(bounds, 10, exact) == stopped([exact(range(4))[i] for i in range(4)], 10) <= 2
+
+
+def test_fold_models_come_back_from_files(spark, folded, tmp_path):
+    inputs = TR.fit_inputs(folded, ["y", "x"])
+    cv = TR.cross_validate(folded, lambda t, v: TR.fit_boosted(t, v, inputs, PARAMS, 5, patience=2), k=2, metadata={"k": 2})
+    TR.save_folds(cv, spark, str(tmp_path / "folds"))
+    back = TR.load_folds(spark, str(tmp_path / "folds"))
+    assert [(s.trees, s.inputs.columns, s.values) for s in back] == [(s.trees, s.inputs.columns, s.values) for s in cv.scorers]
+    again = TR.out_of_fold(folded, back).orderBy("customer_ID").collect()
+    assert again == cv.oof.orderBy("customer_ID").collect()
+    assert TR.predict_mean(folded, back).orderBy("customer_ID").collect() == TR.predict_mean(folded, cv.scorers).orderBy("customer_ID").collect()
+    row = spark.read.schema(TR.MANIFEST).json(str(tmp_path / "folds" / "manifest")).orderBy("fold").first()
+    assert row["seed"] == TR.SEED and row["family"] == "boosted" and [i["name"] for i in row["inputs"]] == ["y", "x"]
 
 
 def test_out_of_fold_is_rebuilt_from_the_models(folded):
