@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ledgerline.catalog import views as V
@@ -11,6 +13,7 @@ from ledgerline.operators import drift as D
 from ledgerline.operators import encode as E
 from ledgerline.operators import features as FT
 from ledgerline.operators import sequences as SQ
+from ledgerline.operators import tree_stages as TS
 from ledgerline.plans import scoring as SC
 from ledgerline.plans import training as TR
 from ledgerline.session import materialize, scratch_path
@@ -19,8 +22,12 @@ from ledgerline.streaming import scoring_stream as ST
 ROLES = V.ROLES
 KEY = ROLES.key
 COLUMNS = FEATURES
-ROUNDS = 5
+# patience lies below the rounds, so that early stopping can end a search
+ROUNDS, PATIENCE = 16, 4
 PARAMS = {"maxDepth": 3, "stepSize": 0.1}
+FOREST_PARAMS = {"maxDepth": 4}
+# folder of the fold models trained in this application, by tables and family
+_STORES: dict[tuple[str, str, str], str] = {}
 
 
 def _encoded(spark, sf_dir, which="train"):
@@ -36,31 +43,81 @@ def _training(spark, sf_dir):
     return TR.folded_training_set(_encoded(spark, sf_dir), V.stmt_labels(spark, sf_dir))
 
 
-def _boosted(folded):
-    inputs = TR.fit_inputs(folded, COLUMNS)
-    return TR.cross_validate(
-        folded, lambda t, v: TR.fit_boosted(t, v, inputs, PARAMS, ROUNDS), parallelism=5, metadata={**PARAMS, "maxIter": ROUNDS}
-    )
+def _fold_models(spark, sf_dir, family="boosted"):
+    """Folder with the training table, the fold models, their manifest and out-of-fold predictions.
+
+    Trained by the first query that asks; every query works on the files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, family)
+    if key not in _STORES:
+        path = scratch_path(spark, f"{family}-folds")
+        _training(spark, sf_dir).write.parquet(f"{path}/training")
+        folded = spark.read.parquet(f"{path}/training")
+        inputs = TR.fit_inputs(folded, COLUMNS)
+        fit, params = (TR.fit_boosted, PARAMS) if family == "boosted" else (TR.fit_forest, FOREST_PARAMS)
+        cv = TR.cross_validate(
+            folded, lambda t, v: fit(t, v, inputs, params, ROUNDS, PATIENCE), parallelism=5, metadata={**params, "rounds": ROUNDS, "patience": PATIENCE})
+        cv.oof.write.parquet(f"{path}/oof")
+        TR.save_folds(cv, spark, path)
+        _STORES[key] = path
+    return _STORES[key]
+
+
+def _oof_check(spark, path):
+    """Out-of-fold predictions rebuilt from the files next to those of the training run."""
+    rebuilt = TR.out_of_fold(spark.read.parquet(f"{path}/training"), TR.load_folds(spark, path))
+    trained = spark.read.parquet(f"{path}/oof").select(KEY, F.col("oof_pred").alias("trained"))
+    return rebuilt.join(trained, KEY, "full_outer").select(
+        KEY, "target", "fold", F.col("oof_pred").between(0, 1).alias("in_range"),
+        F.coalesce(F.abs(F.col("oof_pred") - F.col("trained")) <= 1e-12, F.lit(False)).alias("same_from_files"))
 
 
 @query
 def cv_oof(spark, sf_dir):
     """Boosted trees: every labelled customer with its out-of-fold prediction."""
-    return _boosted(_training(spark, sf_dir)).oof
+    return spark.read.parquet(f"{_fold_models(spark, sf_dir)}/oof")
+
+
+@query
+def cv_oof_check(spark, sf_dir):
+    """Every labelled customer is predicted once, by the saved model of its fold, as in the training run."""
+    return _oof_check(spark, _fold_models(spark, sf_dir))
 
 
 @query
 def cv_summary(spark, sf_dir):
-    return TR.run_summary(_boosted(_training(spark, sf_dir)))
+    path = _fold_models(spark, sf_dir)
+    oof = spark.read.parquet(f"{path}/oof")
+    metrics = TR.rank_metric(oof, "target", "oof_pred", KEY, ["fold"])
+    params = spark.read.schema(TR.MANIFEST).json(f"{path}/manifest").first()["params"]
+    return TR.run_summary(TR.CrossValidation(oof, (), metrics, json.loads(params)))
+
+
+@query
+def cv_stages_check(spark, sf_dir):
+    """Per fold: the number of trees kept is the one that ranking after every tree gives, and its metric is the manifest's."""
+    path = _fold_models(spark, sf_dir)
+    folded = spark.read.parquet(f"{path}/training")
+    manifest = {r["fold"]: r for r in spark.read.schema(TR.MANIFEST).json(f"{path}/manifest").collect()}  # one row per fold
+    rows = []
+    for fold, scorer in enumerate(TR.load_folds(spark, path)):
+        leafed = materialize(TS.with_leaves(scorer.model, scorer.inputs.assemble(folded.where(F.col("fold") == fold))).select(KEY, "target", TS.LEAVES), "leaves")
+        metrics = TS.exact_metrics(leafed, scorer.values, KEY, "target", range(len(scorer.values.values)))
+        kept = TS.settled_best({i: (m, m) for i, m in metrics.items()}, PATIENCE, None)
+        known = manifest[fold]["metric"]
+        rows.append((fold, len(metrics), kept == scorer.trees, abs(metrics[scorer.trees - 1] - known) < 1e-9))
+    return spark.createDataFrame(rows, "fold int, trees int, kept_is_best boolean, metric_matches boolean")
 
 
 @query
 def cv_oof_forest(spark, sf_dir):
     """The second model family on the same folds."""
-    folded = _training(spark, sf_dir)
-    inputs = TR.fit_inputs(folded, COLUMNS)
-    params = {"maxDepth": 4}
-    return TR.cross_validate(folded, lambda t, v: TR.fit_forest(t, v, inputs, params, 8), parallelism=5).oof
+    return spark.read.parquet(f"{_fold_models(spark, sf_dir, 'forest')}/oof")
+
+
+@query
+def cv_oof_forest_check(spark, sf_dir):
+    return _oof_check(spark, _fold_models(spark, sf_dir, "forest"))
 
 
 @query
@@ -72,25 +129,53 @@ def cv_oof_sequence(spark, sf_dir):
     return TR.cross_validate(folded, fit, parallelism=5).oof
 
 
+@query
+def cv_oof_sequence_check(spark, sf_dir):
+    """The same customers, labels and folds as the other families, probabilities in range."""
+    return cv_oof_sequence(spark, sf_dir).select(KEY, "target", "fold", F.col("oof_pred").between(0, 1).alias("in_range"))
+
+
 @query
 def tune_best(spark, sf_dir):
     """Random search on one split; the trials, best first."""
     folded = _training(spark, sf_dir)
-    trials = TR.tune(folded, TR.fit_inputs(folded, COLUMNS), 3, ROUNDS, parallelism=3)
+    trials = TR.tune(folded, TR.fit_inputs(folded, COLUMNS), 3, 5, parallelism=3)
     rows = [(i, str(sorted(p.items())), float(s)) for i, (p, s) in enumerate(trials)]
     return spark.createDataFrame(rows, "place int, params string, metric double")
 
 
 @query
 def batch_inference(spark, sf_dir):
-    """The later period scored by the average of the fold models."""
-    cv = _boosted(_training(spark, sf_dir))
-    return TR.predict_mean(_encoded(spark, sf_dir, "test"), cv.scorers)
+    """The later period scored by the average of the saved fold models."""
+    return TR.predict_mean(_encoded(spark, sf_dir, "test"), TR.load_folds(spark, _fold_models(spark, sf_dir)))
+
+
+@query
+def batch_inference_check(spark, sf_dir):
+    """One pass over all fold models gives each customer the mean of the models run one by one."""
+    scorers = TR.load_folds(spark, _fold_models(spark, sf_dir))
+    features = materialize(_encoded(spark, sf_dir, "test"), "later_features")
+    alone = None
+    for scorer in scorers:
+        part = scorer.transform(features, "p").select(KEY, "p")
+        alone = part if alone is None else alone.unionByName(part)
+    mean = alone.groupBy(KEY).agg(F.count("p").alias("models"), F.avg("p").alias("mean"), F.min("p").alias("low"), F.max("p").alias("high"))
+    return TR.predict_mean(features, scorers).join(mean, KEY).select(
+        KEY, "models", (F.abs(F.col("prediction") - F.col("mean")) <= 1e-12).alias("is_mean"),
+        ((F.col("low") >= 0) & (F.col("high") <= 1) & F.col("prediction").between(0, 1)).alias("in_range"))
 
 
 @query
 def feature_importance(spark, sf_dir):
-    return TR.feature_importance(spark, _boosted(_training(spark, sf_dir)).scorers)
+    return TR.feature_importance(spark, TR.load_folds(spark, _fold_models(spark, sf_dir)))
+
+
+@query
+def importance_check(spark, sf_dir):
+    """Every input has one mean gain, none below zero, and they add up to one."""
+    gains = feature_importance(spark, sf_dir)
+    return gains.agg(
+        F.count_distinct("feature").alias("inputs"), (F.min("gain") >= 0).alias("none_negative"), (F.abs(F.sum("gain") - 1) < 1e-9).alias("sums_to_one"))
 
 
 @query
@@ -99,19 +184,38 @@ def cross_calibrate(spark, sf_dir):
     return TR.cross_calibrate(p, "p_a").withColumn("calibrated", F.round("calibrated", 8))
 
 
+def _served(spark, sf_dir):
+    """The serving model as trained, and as loaded from its files."""
+    labelled = _encoded(spark, sf_dir).join(V.stmt_labels(spark, sf_dir), KEY)
+    path = scratch_path(spark, "serving")
+    trained = TR.train_serving(labelled, COLUMNS, PARAMS, ROUNDS, PATIENCE)
+    TR.save_serving(trained, spark, path)
+    return trained, TR.load_serving(spark, path)
+
+
 @query
 def serving_model(spark, sf_dir):
     """Train, save, load, and score the whole portfolio with the loaded model and reasons."""
-    labelled = _encoded(spark, sf_dir).join(V.stmt_labels(spark, sf_dir), KEY)
-    path = scratch_path(spark, "serving")
-    TR.save_serving(TR.train_serving(labelled, COLUMNS, PARAMS, ROUNDS), spark, path)
-    served = TR.load_serving(spark, path)
+    _, served = _served(spark, sf_dir)
     explained = served.scorer.explain(_encoded(spark, sf_dir, "test"))
     model = SC.ScoringModel(served.scorer, served.knots)
     out = SC.score_features(explained, KEY, model, with_reasons=True)
     return out.withColumn("top_reason_codes", F.to_json("top_reason_codes"))
 
 
+@query
+def serving_check(spark, sf_dir):
+    """Trained and loaded model give each customer the same row: a probability, and the band it lies in."""
+    features = materialize(_encoded(spark, sf_dir, "test"), "later_features")
+    a, b = (SC.score_features(features, KEY, SC.ScoringModel(m.scorer, m.knots)) for m in _served(spark, sf_dir))
+    pd = F.col("a.probability_of_default")
+    # the band is that of the unrounded probability
+    near = [S.risk_band(pd + step) == F.col("a.risk_band") for step in (-5e-7, 0.0, 5e-7)]
+    return a.alias("a").join(b.alias("b"), "customer_id").select(
+        F.col("customer_id"), pd.between(0, 1).alias("in_range"), (near[0] | near[1] | near[2]).alias("band_fits"),
+        ((pd == F.col("b.probability_of_default")) & (F.col("a.raw_score") == F.col("b.raw_score")) & (F.col("a.risk_band") == F.col("b.risk_band"))).alias("same_from_files"))
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 

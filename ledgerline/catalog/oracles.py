@@ -167,6 +167,12 @@ def _shuffled(source: str, by: str | None) -> str:
 
 FOLDS = f"SELECT *, CAST((r - 1) % 5 AS INT) AS fold FROM ({_shuffled('predictions', 'target')})"
 
+# customers with statements in the training period and a label, in their folds
+TRAINED = f"""{V.TRAIN_TEST_SQL},{LB},
+known AS (SELECT DISTINCT customer_ID, target FROM train JOIN stmt_labels USING (customer_ID)),
+folded AS (SELECT customer_ID, target, CAST((r - 1) % 5 AS INT) AS fold FROM ({_shuffled('known', 'target')}))"""
+OOF_CHECK = f"WITH {TRAINED} SELECT customer_ID, target, fold, TRUE AS in_range, TRUE AS same_from_files FROM folded"
+
 
 def _missing(source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
@@ -464,4 +470,13 @@ FROM halves h LEFT JOIN steps s ON s.half = 1 - h.half AND s.x <= p_a AND (s.x2
         COUNT(*) OVER w AS n FROM long_pd WINDOW w AS (PARTITION BY model))
       SELECT model, bin, COUNT(*) AS rows, ROUND(COUNT(*) / (n * w), 6) AS density FROM (
         SELECT *, CAST(LEAST(FLOOR((v - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, (hi - lo) / 50 AS w FROM x) GROUP BY model, bin, w, n""",
+    "cv_oof_check": OOF_CHECK,
+    "cv_oof_forest_check": OOF_CHECK,
+    "cv_oof_sequence_check": f"WITH {TRAINED.replace("FROM train JOIN", "FROM statements JOIN")} SELECT customer_ID, target, fold, TRUE AS in_range FROM folded",
+    "cv_stages_check": "SELECT CAST(i AS INT) AS fold, CAST(16 AS INT) AS trees, TRUE AS kept_is_best, TRUE AS metric_matches FROM range(5) t(i)",
+    "batch_inference_check": f"""WITH {V.TRAIN_TEST_SQL}
+      SELECT DISTINCT customer_ID, CAST(5 AS BIGINT) AS models, TRUE AS is_mean, TRUE AS in_range FROM test""",
+    "importance_check": f"SELECT CAST({2 * len(FEATURES)} AS BIGINT) AS inputs, TRUE AS none_negative, TRUE AS sums_to_one",
+    "serving_check": f"""WITH {V.TRAIN_TEST_SQL}
+      SELECT DISTINCT customer_ID AS customer_id, TRUE AS in_range, TRUE AS band_fits, TRUE AS same_from_files FROM test""",
 }
