@@ -6,6 +6,7 @@ from __future__ import annotations
 from ledgerline.catalog import views as V
 from ledgerline.catalog.queries import (
     CATEGORICAL, COEFFICIENTS, FEATURES, KNOTS_X, KNOTS_Y, LOGIT, MEANS, NUMERIC, SCENARIOS, SEQ_COLUMNS, TEXTS,
+    WIDE_COEFFICIENTS, WIDE_MEANS, WIDE_SCALE,
 )
 from ledgerline.functions.describe import describe_name
 from ledgerline.functions.scores import PD_LIMITS, RISK_BANDS, TOP_BAND
@@ -38,6 +39,9 @@ def _term(f: str) -> str:
 LOGIT_SQL = dbl(LOGIT.intercept) + "".join(f" + {_term(f)}" for f in COEFFICIENTS)
 RAW_SQL = f"1e0 / (1e0 + EXP(-({LOGIT_SQL})))"
 
+WIDE_LOGIT_SQL = dbl(-0.4) + "".join(
+    f" + COALESCE({dbl(w / WIDE_SCALE)} * ({f} - {dbl(WIDE_MEANS[f])}), 0e0)" for f, w in WIDE_COEFFICIENTS.items())
+
 
 def _interp(p: str) -> str:
     cases = [f"WHEN {p} < {dbl(KNOTS_X[0])} THEN {dbl(KNOTS_Y[0])}"]
@@ -479,4 +483,8 @@ FROM halves h LEFT JOIN steps s ON s.half = 1 - h.half AND s.x <= p_a AND (s.x2
     "importance_check": f"SELECT CAST({2 * len(FEATURES)} AS BIGINT) AS inputs, TRUE AS none_negative, TRUE AS sums_to_one",
     "serving_check": f"""WITH {V.TRAIN_TEST_SQL}
       SELECT DISTINCT customer_ID AS customer_id, TRUE AS in_range, TRUE AS band_fits, TRUE AS same_from_files FROM test""",
+    "wide_features": f"WITH {V.wide_sql()}, {V.features_sql('wide', 'features', V.WIDE_NUMERIC, V.WIDE_CATEGORICAL)} SELECT * FROM features",
+    "wide_portfolio": f"""WITH {V.wide_sql()}, {V.features_sql('wide', 'features', V.WIDE_NUMERIC, V.WIDE_CATEGORICAL)}
+      SELECT customer_ID AS customer_id, ROUND(pd, 6) AS probability_of_default, ROUND(raw, 6) AS raw_score, {_band('pd')} AS risk_band
+      FROM (SELECT *, {_interp('raw')} AS pd FROM (SELECT *, 1e0 / (1e0 + EXP(-({WIDE_LOGIT_SQL}))) AS raw FROM features))""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from ledgerline.operators import presets as P
 from ledgerline.operators import profile as PR
 from ledgerline.operators import rank_metrics as R
 from ledgerline.operators import sequences as SQ
+from ledgerline.operators import wide_features as WF
 from ledgerline.plans import blending as B
 from ledgerline.plans import scoring as SC
 from ledgerline.session import materialize
@@ -702,3 +704,30 @@ def blend2_search(spark, sf_dir):
 def blend3_search(spark, sf_dir):
     out = B.blend_search(_predictions(spark, sf_dir), ["p_a", "p_b", "p_c"], B.three_way_grid())
     return out.withColumn("metric", F.round("metric", 9))
+
+
+WIDE_FEATURES = FT.feature_names(V.WIDE_NUMERIC, V.WIDE_CATEGORICAL)
+# every numeric feature carries a little weight, so a score reads the full width
+WIDE_COEFFICIENTS = {f"{c}_{s}": 0.01 for c in V.WIDE_NUMERIC for s in ("mean", "last_mean_diff", "range")}
+WIDE_MEANS = {f"{c}_{s}": m + (3.0 * i if s == "mean" else 0.0) for i, c in enumerate(V.WIDE_NUMERIC) for s, m in (("mean", 100.0), ("last_mean_diff", 0.0), ("range", 50.0))}
+WIDE_SCALE = 1e5
+
+
+def wide_table(spark, sf_dir):
+    return WF.wide_features(V.wide_statements(spark, sf_dir), V.WIDE_ROLES)
+
+
+@query
+def wide_features(spark, sf_dir):
+    """All 1,628 features of a portfolio at full width: 177 numeric and 11 categorical columns."""
+    f = wide_table(spark, sf_dir)
+    rounded = {f"{c}_std" for c in V.WIDE_NUMERIC}
+    return f.select(KEY, *[F.round(c, 4).alias(c) if c in rounded else F.col(c) for c in WIDE_FEATURES])
+
+
+@query
+def wide_portfolio(spark, sf_dir):
+    """The portfolio scored at full width by a linear model over 531 of its features."""
+    logit = C.LinearScore({f: w / WIDE_SCALE for f, w in WIDE_COEFFICIENTS.items()}, WIDE_MEANS, -0.4)
+    model = SC.ScoringModel(logit, (KNOTS_X, KNOTS_Y))
+    return SC.score_portfolio(V.wide_statements(spark, sf_dir), V.WIDE_ROLES, model, build=partial(WF.wide_features, only=logit.features))

@@ -85,6 +85,26 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WIDE_NUMERIC = [f"N_{i}" for i in range(177)]
+WIDE_CATEGORICAL = [f"C_{i}" for i in range(11)]
+WIDE_ROLES = Roles(tie="seq", day_grain=True, tie_bits=42, categoricals=tuple(WIDE_CATEGORICAL))
+
+
+def _wide_columns() -> list[str]:
+    """177 numeric and 11 categorical columns from the narrow ones, with gaps; the same text in both engines."""
+    out = [f"CASE WHEN (seq + {i}) % 7 <> 0 THEN {NUMERIC[i % 5]} + {3 * i} END AS {c}" for i, c in enumerate(WIDE_NUMERIC)]
+    return out + [f"CASE WHEN (seq + {i}) % 5 <> 0 THEN CAST((seq + {i}) % {i + 2} AS STRING) END AS {c}" for i, c in enumerate(WIDE_CATEGORICAL)]
+
+
+def wide_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements at the full width of a card portfolio, a customer's rows together as in such tables.
+
+    The narrow rows are moved, before they are widened.
+    """
+    narrow = statements(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "customer_ID")
+    return narrow.selectExpr("customer_ID", "S_2", "seq", *_wide_columns())
+
+
 # --- the same in SQL -------------------------------------------------------------
 
 STATEMENTS_SQL = """
@@ -118,10 +138,15 @@ predictions AS (
   JOIN stmt_labels USING (customer_ID))"""
 
 
-def features_sql(source: str, name: str = "features") -> str:
+def wide_sql() -> str:
+    columns = ", ".join(_wide_columns()).replace("AS STRING", "AS VARCHAR")
+    return f"{STATEMENTS_SQL}, wide AS (SELECT customer_ID, S_2, seq, {columns} FROM statements)"
+
+
+def features_sql(source: str, name: str = "features", numeric: list[str] = NUMERIC, categorical: list[str] = CATEGORICAL) -> str:
     """CTE with every feature of a statement CTE, categorical last values raw."""
     num = []
-    for c in NUMERIC:
+    for c in numeric:
         present = f"FILTER (WHERE {c} IS NOT NULL)"
         num += [
             f"AVG({c}) AS {c}_mean", f"ROUND(STDDEV_SAMP({c}), 4) AS {c}_std", f"MIN({c}) AS {c}_min",
@@ -129,13 +154,13 @@ def features_sql(source: str, name: str = "features") -> str:
             f"ARG_MAX({c}, ord) {present} AS {c}_last",
         ]
     cat = []
-    for c in CATEGORICAL:
+    for c in categorical:
         cat += [
             f"ARG_MAX({c}, ord) FILTER (WHERE {c} IS NOT NULL) AS {c}_last",
             f"COUNT(DISTINCT {c}) AS {c}_nunique", f"COUNT({c}) AS {c}_count",
         ]
     trend = []
-    for c in NUMERIC:
+    for c in numeric:
         trend += [
             f"{c}_last - {c}_mean AS {c}_last_mean_diff", f"{c}_last - {c}_first AS {c}_last_first_diff",
             f"{c}_max - {c}_min AS {c}_range",

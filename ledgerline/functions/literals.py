@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _double(x: float) -> str:
+def double_text(x: float) -> str:
     x = float(x)
     if x != x or x in (float("inf"), float("-inf")):
         return f"double('{x}')"
@@ -24,11 +24,11 @@ def _array(items: Iterable[str], kind: str) -> str:
 
 
 def double_array(xs: Sequence[float]) -> Column:
-    return F.expr(_array((_double(x) for x in xs), "double"))
+    return F.expr(_array((double_text(x) for x in xs), "double"))
 
 
 def double_matrix(rows: Sequence[Sequence[float]]) -> Column:
-    return F.expr(_array((_array((_double(x) for x in r), "double") for r in rows), "array<double>"))
+    return F.expr(_array((_array((double_text(x) for x in r), "double") for r in rows), "array<double>"))
 
 
 def int_array(xs: Sequence[int]) -> Column:

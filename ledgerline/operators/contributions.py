@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.describe import describe_name
-from ledgerline.functions.literals import rows_from
+from ledgerline.functions.literals import double_text, quoted, rows_from
 from ledgerline.functions.scores import finite_or, sigmoid
 
 REASONS = 4
+TERMS = 32
 
 
 @dataclass(frozen=True)
@@ -38,10 +39,13 @@ class LinearScore:
         return {f: self.contribution(f) for f in self.coefficients}
 
     def logit(self) -> Column:
-        total = F.lit(float(self.intercept))
-        for f in self.coefficients:
-            total = total + self.contribution(f)
-        return total
+        # as text: one parse instead of several driver calls per feature; sums of sums, since one long
+        # chain of additions is too deep for the analyser at full width
+        parts = [double_text(self.intercept), *[
+            f"coalesce({double_text(w)} * (CAST({quoted(f)} AS DOUBLE) - {double_text(self.means.get(f, 0.0))}), 0D)" for f, w in self.coefficients.items()]]
+        while len(parts) > 1:
+            parts = [f"({' + '.join(parts[i : i + TERMS])})" for i in range(0, len(parts), TERMS)]
+        return F.expr(parts[0])
 
     def transform(self, features: DataFrame, out: str = "raw") -> DataFrame:
         return features.withColumn(out, sigmoid(self.logit()))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Protocol
 
@@ -22,6 +22,9 @@ class Scorer(Protocol):
     def transform(self, features: DataFrame, out: str = "raw") -> DataFrame: ...
 
 
+Features = Callable[[DataFrame, Roles], DataFrame]
+
+
 @dataclass(frozen=True)
 class ScoringModel:
     """What a scoring run needs: model, calibration knots, and the fitted inputs."""
@@ -32,9 +35,9 @@ class ScoringModel:
     feature_order: Sequence[str] | None = None
 
 
-def model_features(statements: DataFrame, roles: Roles, model: ScoringModel) -> DataFrame:
-    """The feature row per customer, exactly as in training."""
-    features = customer_features(statements, roles)
+def model_features(statements: DataFrame, roles: Roles, model: ScoringModel, build: Features = customer_features) -> DataFrame:
+    """The feature row per customer, exactly as in training; ``build`` may be ``wide_features`` for wide tables."""
+    features = build(statements, roles)
     cats = roles.categorical_columns(statements)
     if model.dictionary is not None and cats:
         features = encode_last(features, model.dictionary, cats)
@@ -51,6 +54,8 @@ def score_features(
     The band is taken from the unrounded probability. Non-finite values become 0.
     """
     scored = model.scorer.transform(features, "raw")
+    if not with_reasons:
+        scored = scored.select(key, "raw")
     if model.knots:
         scored = calibrate(scored, "raw", *model.knots, "_pd")
     else:
@@ -71,10 +76,11 @@ def score_features(
 
 
 def score_portfolio(
-    statements: DataFrame, roles: Roles, model: ScoringModel, with_reasons: bool = False, n_reasons: int = REASONS
+    statements: DataFrame, roles: Roles, model: ScoringModel, with_reasons: bool = False, n_reasons: int = REASONS,
+    build: Features = customer_features,
 ) -> DataFrame:
     """One output row per customer, wherever its statements lie in the input."""
-    features = model_features(statements, roles, model)
+    features = model_features(statements, roles, model, build)
     return score_features(features, roles.key, model, with_reasons, n_reasons)
 
 

@@ -11,6 +11,7 @@ from ledgerline.operators import encode as E
 from ledgerline.operators import features as FT
 from ledgerline.operators import joins as J
 from ledgerline.operators import sequences as SQ
+from ledgerline.operators import wide_features as WF
 from ledgerline.roles import Roles
 
 PACKED = Roles(tie="seq", day_grain=True, tie_bits=42, categoricals=("B_30", "D_63"))
@@ -205,3 +206,41 @@ def test_skew_check_finds_differences(spark):
     assert got["x"]["null_mismatches"] == 1 and not got["x"]["matches"]
     assert got["y"]["max_abs_diff"] == 0.5 and not got["y"]["matches"]
     assert all(r["matches"] for r in FT.skew_check(a, a, "customer_ID", ["x", "y"]).collect())
+
+
+def test_wide_features_equal_the_aggregates(spark):
+    """Gaps, one-statement and undated customers, a customer over many batches, narrow types."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        who = "big" if i % 3 == 0 else None if i % 50 == 1 else f"c{rng.integers(0, 120)}"
+        value = lambda: None if rng.random() < 0.3 else float(rng.integers(0, 1000))
+        date = None if rng.random() < 0.05 else datetime(2020, 1, 1) + timedelta(days=int(rng.integers(0, 90)))
+        rows.append((who, date, i, value(), value(), int(rng.integers(0, 9)), None if rng.random() < 0.2 else str(rng.integers(0, 4))))
+    rows.append(("empty", None, 2_000, None, float("nan"), None, None))
+    df = spark.createDataFrame(rows, "customer_ID string, S_2 timestamp_ntz, seq long, w double, f float, k int, D_63 string")
+    df = FT.missing_to_null(df.repartition(4))
+    roles = Roles(tie="seq", day_grain=True, tie_bits=42, categoricals=("D_63",))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        wide = WF.wide_features(df, roles)
+        got = wide.orderBy("customer_ID").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plain = FT.customer_features(df, roles)
+    assert wide.dtypes == plain.dtypes
+    want = plain.orderBy("customer_ID").collect()
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        for name, x, y in zip(wide.columns, a, b, strict=True):
+            assert x == y or (isinstance(x, float) and x == pytest.approx(y, rel=1e-6)), (a[0], name, x, y)
+    some = ["D_63_last", "f_last", "statement_count", "w_std"]
+    part = WF.wide_features(df, roles, some)
+    assert part.columns == ["customer_ID", "w_std", "f_last", "D_63_last", "statement_count"]
+    kept = [c for c in part.columns if c != "w_std"]
+    assert part.select(kept).orderBy("customer_ID").collect() == plain.select(kept).orderBy("customer_ID").collect()
+    assert WF.wide_features(df, roles, ["k_max"]).columns == ["customer_ID", "k_max"]
+    assert WF.wide_features(df.limit(0), roles).collect() == []
+    with pytest.raises(ValueError):
+        WF.wide_features(df, Roles(tie="seq", categoricals=("D_63",)))
