@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.literals import quoted
 from ledgerline.operators.joins import lookup_join
 from ledgerline.operators.ordered import exact_quantiles
+from ledgerline.operators.wide_quantiles import bin_counts, exact_column_quantiles
 from ledgerline.session import materialize, spread
 
 # Smallest share, status thresholds and the verdict's tolerance.
@@ -76,9 +77,22 @@ def _present(df: DataFrame, by: Sequence[str], value: str, side: int) -> DataFra
 
 
 def psi_features(expected: DataFrame, actual: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """PSI of every feature in one job, as (feature, psi) rows. Both sides are stored tables."""
-    long = [stack_values(spread(df), columns) for df in (expected, actual)]
-    return psi(*long, ["feature"], "value", bins)
+    """PSI of every feature, as (feature, psi) rows, from the wide rows of both sides (stored tables).
+
+    Two passes over ``expected`` find the edges, one over each side counts. A feature that lacks
+    one side has no PSI (NULL).
+    """
+    expected, actual = spread(expected), spread(actual)
+    probs = np.linspace(0, 1, bins + 1).tolist()[1:-1] or [0.5]
+    edges = exact_column_quantiles(expected, columns, probs)
+    edges = [e[: bins - 1] if e else [float("inf")] * (bins - 1) for e in edges]
+    sides = [bin_counts(df, columns, edges).withColumn("side", F.lit(i)) for i, df in enumerate((expected, actual))]
+    counts = sides[0].unionByName(sides[1]).groupBy("column").agg(*[
+        F.coalesce(F.sum(F.when((F.col("side") == side) & (F.col("bin") == i), F.col("n"))), F.lit(0)).alias(f"{name}{i}")
+        for side, name in ((0, "e"), (1, "a")) for i in range(bins)])
+    names = expected.sparkSession.createDataFrame(list(enumerate(columns)), "column int, feature string")
+    index = psi_of_counts([F.col(f"e{i}") for i in range(bins)], [F.col(f"a{i}") for i in range(bins)])
+    return names.join(counts, "column", "left").select("feature", index.alias("psi"))
 
 
 def psi_score(expected: DataFrame, actual: DataFrame, score: str, bins: int = 10) -> DataFrame:

@@ -21,8 +21,6 @@ def build_session(app_name: str = "ledgerline", master: str | None = None, **con
         # outside whole-stage code than inside one such method (25 s against 41 s for
         # 1,605 features here)
         "spark.sql.codegen.hugeMethodLimit": "8000",
-        # sketches are grouped by feature: more groups than the default of 128
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         **conf,
     }
     for name, value in settings.items():

@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.operators import drift as D
 from ledgerline.operators import folds as FO
+from ledgerline.operators import wide_quantiles as WQ
 
 
 def numpy_psi(e, a, bins=10):
@@ -77,3 +79,41 @@ def test_holdout_and_halves(spark):
         assert part.is_holdout.sum() == int(np.ceil(0.1 * len(part)))
     halves = FO.random_halves(df).groupBy("half").count().toPandas().set_index("half")["count"]
     assert halves[0] == 501 and halves[1] == 502
+
+
+@pytest.mark.parametrize("margin", [WQ.MARGIN, 0.04, 0.6])
+def test_column_quantiles_are_exact(spark, margin):
+    """Gaps, ties, constants, infinities, signed zeros, an empty column; brackets narrow, wide and overlapping."""
+    rng = np.random.default_rng(7)
+    n = 5_000
+    pdf = pd.DataFrame({
+        "a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "c": np.full(n, 3.0), "d": np.full(n, np.nan),
+        "e": np.where(rng.random(n) < 0.2, np.inf, rng.normal(size=n)), "f f": np.where(rng.random(n) < 0.9, np.nan, rng.lognormal(size=n)),
+        "g": np.where(rng.random(n) < 0.5, -0.0, 0.0)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = WQ.exact_column_quantiles(df, list(pdf.columns), probs, 8_192, margin)
+    for name, values in zip(pdf.columns, got, strict=True):
+        x = pdf[name].dropna().to_numpy()
+        with np.errstate(invalid="ignore"):
+            want = np.quantile(x, probs) if len(x) else np.zeros(0)
+        want[np.isnan(want)] = np.inf  # between two infinities
+        assert np.allclose(values, want, rtol=1e-12, atol=0), name
+
+
+def test_rank_outside_its_bracket_fails(spark):
+    df = spark.range(20_000).select(F.rand(1).alias("x"))
+    with pytest.raises(ValueError, match="outside its bracket"):
+        WQ.exact_column_quantiles(df, ["x"], [0.3, 0.6, 0.8], 8, 1e-9)
+
+
+def test_wide_psi_equals_the_long_one(spark):
+    rng = np.random.default_rng(5)
+    frames = [spark.createDataFrame(pd.DataFrame({
+        "a": rng.normal(shift, 1, 900), "b": np.where(rng.random(900) < 0.4, np.nan, rng.integers(0, 6, 900)), "c": np.full(900, 1.0),
+        "only": rng.random(900) if shift else np.full(900, np.nan)})) for shift in (0.0, 0.3)]
+    wide = {r["feature"]: r["psi"] for r in D.psi_features(*frames, ["a", "b", "c", "only"]).collect()}
+    long = {r["feature"]: r["psi"] for r in D.psi(*(D.stack_values(f, ["a", "b", "c", "only"]) for f in frames), ["feature"]).collect()}
+    assert wide["only"] is None and long.get("only") is None
+    assert {k: round(v, 12) for k, v in wide.items() if v is not None} == {k: round(v, 12) for k, v in long.items() if v is not None}
+    assert {r["psi"] for r in D.psi_features(frames[0].limit(0), frames[1], ["a", "b"]).collect()} == {None}
