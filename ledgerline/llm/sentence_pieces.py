@@ -4,7 +4,7 @@ The model protobuf is read field by field; normaliser, metaspace marker, pieces
 rebuilt. A unigram model keeps its scores; of a BPE model the merges are derived from them (a merge is as early as the
 score of what it makes is high). Texts are cut before the markers no piece can contain inside,
 and each distinct stretch is encoded once per worker, in multithreaded batches, and compared with the SentencePiece library: the
-``parity`` of a text says that all its stretches agree.
+``parity`` of a text says that all its stretches agree. A model whose pieces hold a marker inside encodes and compares whole texts.
 
 Edge cases: NULL and empty texts have no ids, and agree. A text that holds the marker character itself
 encodes like a space and so does not come back from decoding: ``round_trip`` is false. Repeated rows are encoded each on its
@@ -153,26 +153,33 @@ class PieceEncoder:
         self.normal = rebuild(self.model).normalizer
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.plain = not self.model.charsmap and not self.model.remove_extra and self.model.escape and self.model.dummy_prefix
+        self.by_mark = self.plain and self.model.splits_at_mark
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})").split
+        # two generations: a full one is set aside, and what is still met comes back from it
         self.stretches: dict[str, tuple[bytes, bool, bool, int]] = {}
+        self.before: dict[str, tuple[bytes, bool, bool, int]] = {}
 
     def cuts(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.plain and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+        if self.by_mark and MARK not in text and "  " not in text and text[0] != " " and text[-1] != " ":
             return [MARK + w for w in text.split(" ")]
         whole = MARK + text.replace(" ", MARK) if self.plain else self.normal.normalize_str(text)
         return self.cut(whole) if self.model.splits_at_mark else [whole]
 
     def learn(self, wanted: Iterable[str]) -> None:
         """Encodes the stretches not known yet, in one batch, and compares."""
-        wanted = list(dict.fromkeys(wanted))
-        new = [s for s in wanted if s not in self.stretches]
+        if len(self.stretches) > KEPT_STRETCHES // 2:
+            self.before, self.stretches = self.stretches, {}
+        new = []
+        for s in dict.fromkeys(wanted):
+            if s not in self.stretches:
+                if s in self.before:
+                    self.stretches[s] = self.before[s]
+                else:
+                    new.append(s)
         if not new:
             return
-        if len(self.stretches) + len(new) > KEPT_STRETCHES:
-            self.stretches.clear()
-            new = wanted
         encoded = self.inner.encode_batch_fast(new, add_special_tokens=False)
         ids = [e.ids for e in encoded]
         decoded = self.inner.decode_batch(ids, skip_special_tokens=False)

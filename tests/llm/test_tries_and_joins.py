@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from ledgerline.llm import group_matrix_join, prefix_trie, token_alignment
+from ledgerline.llm import group_matrix_join, prefix_trie, sentence_pieces, token_alignment
 from ledgerline.llm.near_dedup import WordHashes, shingle_set
 
 TURNS = "conv_id long, turn long, role string, text string, depth string, path long"
@@ -297,3 +298,46 @@ def test_groups_not_opened_hold_no_link():
     near = {(i, j) for i in range(half) for j in range(half, len(sets))
             if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - c)}
     assert set(links) <= near and {i for i, _ in links} | {j for _, j in links} == {x for p in near for x in p}
+
+
+# --- SentencePiece models with markers inside pieces ---------------------------------------------------
+
+
+def _message(*parts):
+    """A protobuf message from (number, bytes, float or int)."""
+    out = b""
+    for number, value in parts:
+        if isinstance(value, bytes):
+            out += bytes([number << 3 | 2, len(value)]) + value
+        elif isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        else:
+            out += bytes([number << 3 & 127 | (128 if number > 15 else 0), *([number >> 4] if number > 15 else []), value])
+    return out
+
+
+def test_pieces_with_inner_markers_are_encoded_whole(monkeypatch):
+    names = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("a▁b", -0.5, 1), ("▁a", -3.0, 1), ("▁b", -3.0, 1), ("a", -4.0, 1), ("▁", -1.0, 1), ("b", -4.0, 1)]
+    pieces = [(1, _message((1, n.encode()), (2, score), (3, kind))) for n, score, kind in names]
+    model = _message(*pieces, (2, _message((3, 1))), (3, _message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
+    known = sentencepiece.SentencePieceProcessor(model_proto=model)
+    encoder = sentence_pieces.PieceEncoder(model)
+    texts = ["a b", "a b a b", "b a", "ab", "a"]
+    for (ids, parity, *_), text in zip(encoder.encode(texts), texts, strict=True):
+        same = np.frombuffer(ids, "<u4").tolist() == known.encode(text)
+        assert parity == same
+    assert known.encode("a b") == [7, 3] and not encoder.by_mark
+
+
+def test_stretches_come_back_from_the_generation_before(monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "KEPT_STRETCHES", 8)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    encoder, known = sentence_pieces.PieceEncoder(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(30)]
+    for _ in range(40):
+        text = " ".join(rng.choices(words, k=rng.randrange(1, 12)))
+        (ids, parity, back, _), = encoder.encode([text])
+        assert np.frombuffer(ids, "<u4").tolist() == known.encode(text) and parity and back
+        assert len(encoder.stretches) + len(encoder.before) <= 40
