@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.stages import arrow, materialize, texts_of
+from ledgerline.llm.stages import SLICE, arrow, materialize, texts_of
 
 BUCKETS = 1 << 13
 DIMS = 64
@@ -249,16 +249,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", max
     return QualityModel(vectors, fit_network(x, np.array([r["y"] for r in found], np.int64)))
 
 
-def score_documents(docs: DataFrame, model: QualityModel, threshold: float = 0.3, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns``, ``score`` and ``predicted`` of every document."""
+def score_documents(
+    docs: DataFrame, model: QualityModel, threshold: float = 0.3, columns: tuple[str, ...] = ("doc_id",), kept_only: bool = False
+) -> DataFrame:
+    """``columns``, ``score`` and ``predicted`` of every document; with ``kept_only`` of those predicted 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [*columns, *(c for c in ("text",) if c not in columns)]
+    text_at = sent.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = shared.value.score(texts_of(batch.column(len(columns))), words)
+        score = shared.value.score(texts_of(batch.column(text_at)), words)
         made = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, "score", "predicted"])
+        out = pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, "score", "predicted"])
+        return out.filter(pa.array(score >= threshold)) if kept_only else out
 
     words = WordBuckets()
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], "score double, predicted int"])
-    return arrow(docs.select(*columns, F.col("text").alias("_text")), run, schema)
+    return arrow(docs.select(*sent), run, schema, rows=SLICE if "text" in columns else None)

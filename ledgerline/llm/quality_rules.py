@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.stages import arrow, materialize, texts_of
+from ledgerline.llm.stages import SLICE, arrow, materialize, texts_of
 
 COMMON_SHARE = 0.004
 LANGUAGE_SHARE = 0.001
@@ -283,16 +283,20 @@ OUT_SCHEMA = (
 )
 
 
-def judge_documents(docs: DataFrame, limits: Limits = Limits(), columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every document, its counts, distances and verdict."""
+def judge_documents(docs: DataFrame, limits: Limits = Limits(), columns: tuple[str, ...] = ("doc_id",), kept_only: bool = False) -> DataFrame:
+    """``columns`` of every document, its counts, distances and verdict; with ``kept_only`` of the kept ones."""
     references = fit_references(docs)
+    # language and text travel once, also where they are among ``columns``
+    sent = [*columns, *(c for c in ("lang", "text") if c not in columns)]
+    lang_at, text_at = sent.index("lang"), sent.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, texts = batch.column(len(columns)).to_pylist(), texts_of(batch.column(len(columns) + 1))
+        langs, texts = batch.column(lang_at).to_pylist(), texts_of(batch.column(text_at))
         rows = [judge(t, g, references, limits) for g, t in zip(langs, texts, strict=True)]
         made = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), OUT, strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, *[n for n, _ in OUT]])
+        out = pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], [*columns, *[n for n, _ in OUT]])
+        return out.filter(out.column("kept")) if kept_only else out
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], OUT_SCHEMA])
-    return arrow(docs.select(*columns, F.col("lang").alias("_lang"), F.col("text").alias("_text")), run, schema)
+    return arrow(docs.select(*sent), run, schema, rows=SLICE if "text" in columns else None)

@@ -13,6 +13,10 @@ from ledgerline.session import materialize, scratch_path
 __all__ = ["arrow", "materialize", "partitions", "scratch_path", "table", "text_bytes", "texts_of"]
 
 
+# rows handled at a time where texts are returned: the copies made on the way stay small
+SLICE = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,13 +25,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``; None adds no rows."""
+def arrow(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str, rows: int | None = None
+) -> DataFrame:
+    """``fn`` over every Arrow batch of ``df``, cut into slices of ``rows`` if given; None adds no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for low in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                out = fn(batch.slice(low, rows) if rows else batch)
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
                 elif out is not None:

@@ -520,3 +520,24 @@ def test_fine_registers_part_pairs_at_the_threshold_from_those_below():
                 a, b = (np.unique(p) for p in (x[:n], x[n - common :]))
                 fine = [near_dedup.registers_of(p, near_dedup.FINE_BITS)[None] for p in (a, b)]
                 assert near_dedup.near_enough(*fine, np.array([n]), n, 85)[0] == wanted
+
+
+def test_kept_only_gives_the_kept_rows_with_their_texts(spark):
+    """Language and text among the carried columns, more rows than a slice, NULLs, empty input."""
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    at = max(r["doc_id"] for r in given) + 1
+    data = [(r["doc_id"] + at * k, r["text"], r["lang"]) for k in range(1 + 1100 // len(given)) for r in given]
+    data += [(at * 2000, None, "en"), (at * 2000 + 1, "", None), (at * 2000 + 2, "buy now " * 60, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").coalesce(1)
+    judged = quality_rules.judge_documents(docs)
+    kept = quality_rules.judge_documents(docs, columns=("doc_id", "text", "lang"), kept_only=True)
+    wanted = {r["doc_id"] for r in judged.where("kept").collect()}
+    got = kept.select("doc_id", "text", "lang").collect()
+    assert 0 < len(wanted) < len(data) and len(got) == len(wanted) and len(data) > 1000
+    assert {tuple(r) for r in got} == {d for d in data if d[0] in wanted}
+    assert quality_rules.judge_documents(docs.limit(0), columns=("doc_id", "text", "lang"), kept_only=True).count() == 0
+    labels = spark.createDataFrame([(d[0], int(d[0] in wanted)) for d in data], "doc_id long, quality int")
+    model = quality_classifier.fit_quality(docs, labels)
+    scored = quality_classifier.score_documents(docs, model)
+    kept = quality_classifier.score_documents(docs, model, columns=("doc_id", "text", "lang"), kept_only=True)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in scored.where("predicted = 1").collect())
