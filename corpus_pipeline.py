@@ -21,8 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the divergence rules."""
-    judged = quality_rules.judge_documents(docs, columns=COLUMNS)
-    return judged.where("kept").select(*COLUMNS)
+    return quality_rules.judge_documents(docs, columns=COLUMNS, kept_only=True).select(*COLUMNS)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +29,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     the rules have removed most bad examples; word vectors come from the raw table as well."""
     raw = table(spark, sf_dir, "documents")
     model = quality_classifier.fit_quality(raw, table(spark, sf_dir, "labels"))
-    scored = quality_classifier.score_documents(docs, model, columns=COLUMNS)
-    return scored.where("predicted = 1").select(*COLUMNS)
+    return quality_classifier.score_documents(docs, model, columns=COLUMNS, kept_only=True).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
