@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.describe import describe_name
+from ledgerline.functions.describe import describe_feature
 from ledgerline.functions.literals import double_text, quoted, rows_from
 from ledgerline.functions.scores import finite_or, sigmoid
 
@@ -68,7 +68,7 @@ def reason_codes(contributions: Mapping[str, Column], n: int = REASONS, positive
             F.struct(
                 (-finite_or(c, 0.0)).alias("minus"),
                 F.lit(f).alias("feature"),
-                F.lit(describe_name(f)).alias("description"),
+                describe_feature(F.lit(f)).alias("description"),
             )
             for f, c in contributions.items()
         ]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.calibrate import calibrate
@@ -115,13 +115,82 @@ def what_if_statements(
     return each.select("scenario", *replaced)
 
 
+def what_if_features(
+    statements: DataFrame, roles: Roles, scenarios: Mapping[str, Mapping[str, float]]
+) -> DataFrame:
+    """Feature row of every customer under every scenario; numeric columns only.
+
+    Statements are read once, not once per scenario: each customer's statistics without the latest
+    statement meet the new values, and only the finished row is repeated. A customer whose latest
+    statement has no date or tie keeps its features, as in ``what_if_statements``.
+    """
+    touched = sorted({c for values in scenarios.values() for c in values})
+    types = dict(statements.dtypes)
+    known = statements.where(F.col(roles.key).isNotNull())
+    marked = mark_latest(known, roles, "_is_latest")
+    aggs = [F.count_if("_is_latest").alias("_latest")]
+    for i, c in enumerate(touched):
+        x = F.when(~F.col("_is_latest"), F.col(c))
+        at = F.when(x.isNotNull(), F.col("_ord"))
+        aggs += [
+            F.count(x).alias(f"_n{i}"), F.avg(x).alias(f"_mean{i}"), F.var_pop(x).alias(f"_var{i}"),
+            F.min(x).alias(f"_min{i}"), F.max(x).alias(f"_max{i}"), F.min_by(x, at).alias(f"_first{i}"),
+        ]
+    rest = marked.withColumn("_ord", roles.order_key(marked)).groupBy(roles.key).agg(*aggs)
+    options = F.array(
+        *[
+            F.struct(F.lit(name).alias("scenario"), *[F.lit(values.get(c)).cast(types[c]).alias(f"_new{i}") for i, c in enumerate(touched)])
+            for name, values in scenarios.items()
+        ]
+    )
+    features = customer_features(known, roles)
+    each = features.join(rest, roles.key).select("*", F.inline(options))
+    changed = {}
+    for i, c in enumerate(touched):
+        new = _with_latest(i)
+        for stat, value in new.items():
+            name = f"{c}_{stat}"
+            applies = (F.col("_latest") > 0) & F.col(f"_new{i}").isNotNull()
+            changed[name] = F.when(applies, value).otherwise(F.col(name)).alias(name)
+    return each.select("scenario", *[changed.get(c, F.col(c)) for c in features.columns])
+
+
+def _with_latest(i: int) -> dict[str, Column]:
+    """Statistics of touched column ``i`` once its latest value is the new one."""
+    new = F.col(f"_new{i}")
+    v, k = new.cast("double"), F.col("_latest")
+    n, mean, var, low, high, first = (F.col(f"_{s}{i}") for s in ("n", "mean", "var", "min", "max", "first"))
+    old = F.coalesce(mean, F.lit(0.0))
+    total = n + k
+    average = (n * old + k * v) / total
+    apart = n * F.coalesce(var, F.lit(0.0)) + n * k / total * (v - old) * (v - old)
+    out = {
+        "mean": average,
+        "std": F.when(total > 1, F.sqrt(apart / F.nullif(total - 1, F.lit(0)))),
+        "min": F.least(low, new), "max": F.greatest(high, new),
+        "first": F.coalesce(first, new), "last": new,
+    }
+    return out | {
+        "last_mean_diff": new - average, "last_first_diff": new - out["first"], "range": out["max"] - out["min"],
+    }
+
+
 def what_if_scores(
     statements: DataFrame, roles: Roles, model: ScoringModel, scenarios: Mapping[str, Mapping[str, float]]
 ) -> DataFrame:
-    """Scores of every customer under every scenario, in one aggregation."""
-    each = what_if_statements(statements, roles, scenarios)
-    both = each.withColumn("_who", F.struct("scenario", roles.key)).drop("scenario", roles.key)
-    scored = score_portfolio(both, replace(roles, key="_who"), model)
+    """Scores of every customer under every scenario.
+
+    Overrides of numeric columns multiply one row per customer; others multiply its statements.
+    """
+    who, keyed = F.struct("scenario", roles.key), replace(roles, key="_who")
+    if {c for values in scenarios.values() for c in values} <= set(roles.numeric_columns(statements)):
+        def build(rows: DataFrame, _: Roles) -> DataFrame:
+            return what_if_features(rows, roles, scenarios).withColumn("_who", who).drop("scenario", roles.key)
+
+        scored = score_portfolio(statements, keyed, model, build=build)
+    else:
+        each = what_if_statements(statements, roles, scenarios)
+        scored = score_portfolio(each.withColumn("_who", who).drop("scenario", roles.key), keyed, model)
     return scored.select(
         F.col("customer_id.scenario").alias("scenario"),
         F.col(f"customer_id.{roles.key}").alias("customer_id"),

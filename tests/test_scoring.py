@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scores as S
 from ledgerline.functions.calibrate import LITERAL_KNOTS, calibrate
-from ledgerline.functions.describe import describe_feature, describe_name
+from ledgerline.functions.describe import describe_feature
 from ledgerline.operators.contributions import LinearScore, reason_codes
+from ledgerline.operators.features import customer_features
 from ledgerline.operators.presets import pick_presets
 from ledgerline.operators.rank_metrics import rank_metric
 from ledgerline.plans import blending as B
@@ -93,7 +94,6 @@ def test_descriptions(spark):
              "Z_1_weird": "weird account (Z_1)", "statement_count": "statement count", "history_days": "length of history"}
     df = spark.createDataFrame([(n,) for n in names], "f string")
     assert {r[0]: r[1] for r in df.select("f", describe_feature(F.col("f"))).collect()} == names
-    assert {n: describe_name(n) for n in names} == names
 
 
 def test_presets_without_replacement(spark):
@@ -153,3 +153,22 @@ def test_constant_class_histogram(spark):
     want = np.histogram([2.0] * 4, 10, density=True)
     assert got[("a", 5)] == (pytest.approx(2.0), 4, pytest.approx(want[0][5]))
     assert got[("b", 0)] == (0.0, 1, 0.5) and got[("b", 9)] == (9.0, 1, 0.5)
+
+
+def test_what_if_features_equal_those_of_overridden_statements(spark):
+    """One statement only, gaps, equal rows, no date, an override that brings a new extreme."""
+    data = [("a", datetime(2018, 1, 1), 0.5, 3.0, "x"), ("a", datetime(2018, 2, 1), None, 1.0, None), ("a", datetime(2018, 3, 1), 0.7, None, "y"),
+            ("b", datetime(2018, 1, 1), None, 2.0, "x"), ("c", datetime(2018, 1, 1), 0.1, 1.0, "x"),
+            ("c", datetime(2018, 2, 1), 0.4, 9.0, "z"), ("c", datetime(2018, 2, 1), 0.4, 9.0, "z"), ("d", None, 0.3, 0.3, "x"),
+            (None, datetime(2018, 1, 1), 0.2, 1.0, "x")]
+    source = spark.createDataFrame(data, "customer_ID string, S_2 timestamp_ntz, P_2 double, B_1 float, D_63 string")
+    roles = Roles(categoricals=("D_63",))
+    scenarios = {"as_is": {}, "low": {"P_2": -1.0}, "both": {"P_2": 0.45, "B_1": 50.0}}
+    got = SC.what_if_features(source, roles, scenarios).toPandas()
+    each = SC.what_if_statements(source, roles, scenarios)
+    for name in scenarios:
+        want = customer_features(each.where(F.col("scenario") == name).drop("scenario"), roles).toPandas()
+        mine = got[got["scenario"] == name].drop(columns="scenario")
+        pd.testing.assert_frame_equal(
+            mine.sort_values("customer_ID", ignore_index=True), want.sort_values("customer_ID", ignore_index=True), rtol=1e-9)
+    assert SC.what_if_features(source.limit(0), roles, scenarios).count() == 0
