@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerline.catalog import views as V
-from ledgerline.catalog.queries import FEATURES, MODEL, SEQ_COLUMNS, _predictions, _standardized, query
+from ledgerline.catalog.queries import FEATURES, MODEL, NUMERIC, SEQ_COLUMNS, _predictions, _standardized, query
 from ledgerline.functions import scores as S
 from ledgerline.operators import drift as D
 from ledgerline.operators import encode as E
@@ -17,6 +17,7 @@ from ledgerline.operators import tree_stages as TS
 from ledgerline.plans import scoring as SC
 from ledgerline.plans import training as TR
 from ledgerline.session import materialize, scratch_path
+from ledgerline.streaming import customer_state as CS
 from ledgerline.streaming import scoring_stream as ST
 
 ROLES = V.ROLES
@@ -229,7 +230,9 @@ def stream_score(spark, sf_dir):
     """Orders arrive as a stream of statements; the prediction log is the result."""
 
     def score(batch):
-        lineitem = V.table(batch.sparkSession, sf_dir, "lineitem")
+        # only the line items of the batch's orders are read further
+        lineitem = V.table(batch.sparkSession, sf_dir, "lineitem").join(
+            batch.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
         return SC.score_portfolio(V.statements_from(batch, lineitem), ROLES, MODEL)
 
     log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "stream")
@@ -238,6 +241,20 @@ def stream_score(spark, sf_dir):
     return logged.select("customer_id", "probability_of_default", "raw_score", "risk_band")
 
 
+@query
+def stream_running_scores(spark, sf_dir):
+    """Statements arrive in batches by date, a customer's over several of them; the newest score of each customer."""
+    arrived = scratch_path(spark, "arrived")
+    V.statements(spark, sf_dir).repartitionByRange(4, "S_2").write.parquet(arrived)
+    source = spark.read.parquet(arrived)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "stream")
+    features = CS.running_features(stream, ROLES, NUMERIC)
+    ST.finish(ST.score_stream(features, lambda f: SC.score_features(f, KEY, MODEL), log, checkpoint, output_mode="update"))
+    newest = CS.latest_rows(spark.read.parquet(log), "customer_id")
+    return newest.select("customer_id", "probability_of_default", "raw_score", "risk_band")
+
+
 def _event_scores(events):
     pd = F.col("value") / (F.col("value") + 50.0)
     return events.select(F.col("user_id").cast("string").alias(KEY), pd.alias("pd"), F.col("ts"))
@@ -262,6 +279,18 @@ def windowed_psi(spark, sf_dir):
     return out.select("day", F.round("psi", 8).alias("psi"))
 
 
+@query
+def stream_windowed_psi(spark, sf_dir):
+    """The same drift from bin counters that a stream of scores keeps per day."""
+    scored = _event_scores(V.table(spark, sf_dir, "events"))
+    edges, base = D.reference_bins(scored.where(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-08"))), "pd")
+    counters = ST.drift_counters(_event_scores(_stream(spark, sf_dir, "events")), "pd", "ts", edges)
+    path, checkpoint = scratch_path(spark, "drift"), scratch_path(spark, "stream")
+    last = ST.finish(ST.replace_counters(counters, path, checkpoint))
+    out = D.psi_of_counters(spark.read.parquet(f"{path}/state={last}"), "window_start", base)
+    return out.select(F.col("window_start").alias("day"), F.round("psi", 8).alias("psi"))
+
+
 @query
 def stream_late_counters(spark, sf_dir):
     """The production form: closed windows only, in append mode."""

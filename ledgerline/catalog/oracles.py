@@ -8,13 +8,26 @@ from ledgerline.catalog.queries import (
     CATEGORICAL, COEFFICIENTS, FEATURES, KNOTS_X, KNOTS_Y, LOGIT, MEANS, NUMERIC, SCENARIOS, SEQ_COLUMNS, TEXTS,
     WIDE_COEFFICIENTS, WIDE_MEANS, WIDE_SCALE,
 )
-from ledgerline.functions.describe import describe_name
 from ledgerline.functions.scores import PD_LIMITS, RISK_BANDS, TOP_BAND
 from ledgerline.operators.presets import PRESETS
 from ledgerline.operators.profile import GROUP_NAMES, MISSING_BUCKETS
 
 ST, LB, PD = V.STATEMENTS_SQL, V.LABELS_SQL, V.PREDICTIONS_SQL
 COLUMNS = [*NUMERIC, *CATEGORICAL]
+# expected descriptions, written out per column and per statistic
+_MEANS_OF = {
+    "P_2": "payment", "D_39": "delinquency", "B_1": "balance", "R_1": "risk", "S_3": "spend",
+    "B_30": "balance", "D_63": "delinquency", "D_64": "delinquency",
+}
+_NUMBER_TEXTS = {
+    "mean": "average {} ({})", "std": "volatility of {} ({})", "min": "lowest {} ({})", "max": "highest {} ({})",
+    "first": "earliest {} ({})", "last": "most recent {} ({})", "last_mean_diff": "recent deviation in {} ({})",
+    "last_first_diff": "trend in {} ({})", "range": "range of {} ({})",
+}
+_CATEGORY_TEXTS = {"last": "most recent {} ({})", "nunique": "number of distinct {} ({})", "count": "number of {} ({})"}
+DESCRIPTIONS = {f"{c}_{s}": t.format(_MEANS_OF[c], c) for c in NUMERIC for s, t in _NUMBER_TEXTS.items()}
+DESCRIPTIONS |= {f"{c}_{s}": t.format(_MEANS_OF[c], c) for c in CATEGORICAL for s, t in _CATEGORY_TEXTS.items()}
+DESCRIPTIONS |= {"statement_count": "statement count", "history_days": "length of history"}
 TEXT_FEATURES = [f"{c}_last" for c in TEXTS]
 TIE = "md5(customer_ID), customer_ID"
 
@@ -293,7 +306,7 @@ ORACLES: dict[str, str] = {
       SELECT *, {dbl(0.86)} * p_a + {dbl(1 - 0.86)} * p_b AS b FROM predictions)""",
     "blend_apply": f"WITH {PD} SELECT customer_ID, {dbl(0.6)} * p_a + {dbl(0.08)} * p_b + {dbl(0.32)} * p_c AS prediction FROM predictions",
     "describe_features": f"WITH {ST},{_features()} SELECT feature, CASE feature "
-    + " ".join(f"WHEN '{f}' THEN '{describe_name(f)}'" for f in FEATURES)
+    + " ".join(f"WHEN '{f}' THEN '{DESCRIPTIONS[f]}'" for f in FEATURES)
     + f" END AS description, missing_rate FROM ({_missing('features', FEATURES)})",
     "features_labels": f"""WITH {ST},{LB},{_features()} SELECT customer_ID, target, P_2_last, B_1_max, P_2_mean
       FROM features JOIN stmt_labels USING (customer_ID)""",
@@ -400,7 +413,7 @@ ORACLES: dict[str, str] = {
       SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY S_2, seq) AS rn, COUNT(*) OVER (PARTITION BY customer_ID) AS n FROM statements)
       WHERE rn > n - 13""",
     "reason_codes": f"WITH {ST},{_features()}, c AS ("
-    + " UNION ALL ".join(f"SELECT customer_ID, '{f}' AS feature, '{describe_name(f)}' AS description, {_term(f)} AS v FROM features" for f in COEFFICIENTS)
+    + " UNION ALL ".join(f"SELECT customer_ID, '{f}' AS feature, '{DESCRIPTIONS[f]}' AS description, {_term(f)} AS v FROM features" for f in COEFFICIENTS)
     + """) SELECT customer_ID, CAST(rn AS INT) AS position, feature, description, ROUND(v, 4) AS contribution FROM (
       SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY v DESC, feature) AS rn FROM c WHERE v > 0) WHERE rn <= 4""",
     "what_if_rows": f"WITH {ST} SELECT customer_ID, S_2, seq, P_2, D_39 FROM ({_latest_override({'P_2': 1000.0, 'D_39': 90.0})})",
@@ -488,3 +501,5 @@ FROM halves h LEFT JOIN steps s ON s.half = 1 - h.half AND s.x <= p_a AND (s.x2
       SELECT customer_ID AS customer_id, ROUND(pd, 6) AS probability_of_default, ROUND(raw, 6) AS raw_score, {_band('pd')} AS risk_band
       FROM (SELECT *, {_interp('raw')} AS pd FROM (SELECT *, 1e0 / (1e0 + EXP(-({WIDE_LOGIT_SQL}))) AS raw FROM features))""",
 }
+ORACLES["stream_running_scores"] = ORACLES["stream_score"]
+ORACLES["stream_windowed_psi"] = ORACLES["windowed_psi"]

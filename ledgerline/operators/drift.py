@@ -107,21 +107,33 @@ def psi_score(expected: DataFrame, actual: DataFrame, score: str, bins: int = 10
 
 def windowed_psi(expected: DataFrame, actual: DataFrame, score: str, window: str, bins: int = 10) -> DataFrame:
     """PSI of logged scores against one training reference, per time window."""
-    reference = exact_quantiles(expected, score, np.linspace(0, 1, bins + 1).tolist()[1:-1] or [0.5]).first()
+    reference = reference_bins(expected, score, bins)
     if reference is None:
         return actual.groupBy(window).agg(F.lit(None).cast("double").alias("psi"))
-    edges = [F.lit(float(q)) for q in reference["q"][: bins - 1]]
-
-    def counted(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        bin_ = bin_index(F.col("_v"), edges)
-        return _present(df, by, score, 0).groupBy(*by).agg(
-            *[F.count(F.when(bin_ == i, 1)).alias(f"b{i}") for i in range(bins)]
-        )
-
-    # one row: the reference counts
-    base = counted(expected, []).first()
-    index = psi_of_counts([F.lit(base[f"b{i}"]) for i in range(bins)], [F.col(f"b{i}") for i in range(bins)])
-    return counted(actual, [window]).select(window, index.alias("psi"))
+    edges, base = reference
+    return psi_of_counters(_counted(actual, [window], score, edges), window, base)
+
+
+def reference_bins(expected: DataFrame, score: str, bins: int = 10) -> tuple[list[float], list[int]] | None:
+    """Inner edges at the quantiles of a training reference, and its rows per bin; None without scores."""
+    found = exact_quantiles(expected, score, np.linspace(0, 1, bins + 1).tolist()[1:-1] or [0.5]).first()
+    if found is None:
+        return None
+    edges = [float(q) for q in found["q"][: bins - 1]]
+    return edges, [int(n) for n in _counted(expected, [], score, edges).first()]
+
+
+def _counted(df: DataFrame, by: Sequence[str], score: str, edges: Sequence[float]) -> DataFrame:
+    bin_ = bin_index(F.col("_v"), [F.lit(e) for e in edges])
+    return _present(df, by, score, 0).groupBy(*by).agg(
+        *[F.count(F.when(bin_ == i, 1)).alias(f"b{i}") for i in range(len(edges) + 1)]
+    )
+
+
+def psi_of_counters(counters: DataFrame, window: str, base: Sequence[int]) -> DataFrame:
+    """PSI per window from bin counters b0, b1, ... against the reference's rows per bin."""
+    index = psi_of_counts([F.lit(n) for n in base], [F.col(f"b{i}") for i in range(len(base))])
+    return counters.select(window, index.alias("psi"))
 
 
 def psi_status(value: Column) -> Column:

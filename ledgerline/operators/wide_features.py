@@ -132,7 +132,7 @@ def partial_states(df: DataFrame, roles: Roles, numeric: Sequence[str]) -> DataF
     return read.mapInArrow(run, schema)
 
 
-def _outputs(states: np.ndarray, width: int, wanted: Sequence[tuple[str, int]]) -> list[pa.Array]:
+def features_of(states: np.ndarray, width: int, wanted: Sequence[tuple[str, int]]) -> list[pa.Array]:
     """The wanted (statistic, column) pairs, or (date feature, -1)."""
     f = {name: states[:, k * width : (k + 1) * width] for k, name in enumerate(FIELDS)}
     count, low, high = states.view(np.int64)[:, -DATES:].T
@@ -194,7 +194,7 @@ def wide_features(df: DataFrame, roles: Roles, only: Sequence[str] | None = None
                     for k in range(1, int(sizes.max())):
                         more = np.flatnonzero(sizes > k)
                         whole[more] = merged(whole[more], flat[at[more] + k], width)
-                    found = _outputs(whole, width, wanted)
+                    found = features_of(whole, width, wanted)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(low, 1_000) for c in carried), *found], [*carried, *ours])
 
     fields = [f for f in states.schema.fields if f.name != "_states"]

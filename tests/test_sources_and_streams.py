@@ -1,8 +1,10 @@
 from datetime import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators import drift as D
 from ledgerline.operators import features as FT
 from ledgerline.operators.contributions import LinearScore
 from ledgerline.plans import scoring as SC
@@ -10,6 +12,7 @@ from ledgerline.roles import Roles
 from ledgerline.session import materialize, scratch_dir
 from ledgerline.sources import ingest as I
 from ledgerline.sources import statement_json as SJ
+from ledgerline.streaming import customer_state as CS
 from ledgerline.streaming import scoring_stream as ST
 
 ROLES = Roles(categoricals=("D_63",))
@@ -113,3 +116,48 @@ def test_train_and_serve_agree(spark):
     b = FT.customer_features(some, ROLES)
     names = [c for c in a.columns if c not in ("customer_ID", "D_63_last")]
     assert all(r["matches"] for r in FT.skew_check(a, b, "customer_ID", names).collect())
+
+
+def test_state_carries_customers_over_batches(spark, tmp_path):
+    """Three batches in an order that is not that of the dates; customers lie in all of them."""
+    roles = Roles(categoricals=())
+    source = rows(spark).drop("D_63").withColumn("B_1", F.when(F.col("P_2") > 0.5, F.col("P_2") * 3))
+    source = source.unionByName(spark.createDataFrame([(None, datetime(2018, 2, 1), 0.1, 0.2), ("c0", None, 0.7, None)], source.schema))
+    src = tmp_path / "src"
+    for i in (2, 0, 1):
+        source.where(F.coalesce(F.month("S_2") % 3, F.lit(1)) == i).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    log, check = str(tmp_path / "log"), str(tmp_path / "check")
+    features = CS.running_features(stream, roles)
+    last = ST.finish(ST.score_stream(features, lambda f: f, log, check, output_mode="update"))
+    assert last == 2
+    got = CS.latest_rows(spark.read.parquet(log).drop("scored_at"), "customer_ID").toPandas().sort_values("customer_ID", ignore_index=True)
+    want = FT.customer_features(source, roles).toPandas().sort_values("customer_ID", ignore_index=True)
+    pd.testing.assert_frame_equal(got[want.columns], want, check_exact=False, rtol=1e-12)
+    ST.finish(ST.score_stream(features, lambda f: f, log, check, output_mode="update"))  # nothing new
+    assert spark.read.parquet(log).select("batch").distinct().count() == 3
+
+
+def test_drift_counters_equal_the_batch_result_and_late_rows_are_counted(spark, tmp_path):
+    def scores(day, values):
+        return [(v, datetime(2024, 1, day, 5)) for v in values]
+
+    schema = "pd double, at timestamp_ntz"
+    reference = spark.createDataFrame(scores(1, [i / 50 for i in range(50)]), schema)
+    # a batch's late rows are judged by the watermark the batch before it worked with
+    batches = [scores(2, [i / 100 for i in range(50)]) + scores(3, [None, 0.5]), scores(9, [0.9]), scores(9, [0.8])]
+    later = spark.createDataFrame(sum(batches, []), schema)
+    for part in (*batches, scores(2, [0.99]) + scores(10, [0.2])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    edges, base = D.reference_bins(reference, "pd")
+    assert sum(base) == 50 and len(edges) == 9
+    stream = spark.readStream.schema(reference.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    counters = ST.drift_counters(stream, "pd", "at", edges)
+    query = ST.append_counters(counters, str(tmp_path / "out"), str(tmp_path / "check"))
+    ST.finish(query)
+    assert ST.late_rows(query) == 1
+    got = {r[0].day: r[1] for r in D.psi_of_counters(spark.read.parquet(str(tmp_path / "out")), "window_start", base).collect()}
+    want = D.windowed_psi(reference, later.withColumn("day", F.dayofmonth("at")), "pd", "day")
+    # the windows that the watermark has closed
+    assert got == pytest.approx({r[0]: r[1] for r in want.collect() if r[0] in (2, 3, 9)})
+    assert D.reference_bins(reference.limit(0), "pd") is None
