@@ -267,6 +267,42 @@ def _presets() -> str:
 JOIN (SELECT customer_ID, COUNT(*) AS statements FROM statements GROUP BY customer_ID) USING (customer_ID)"""
 
 
+def _bands_of(p: str) -> str:
+    """Ten bands by rank of a score."""
+    return f"""WITH {PD}, b AS (SELECT 11 - CAST(GREATEST(1, CEIL((r - 1) * 10 / CAST(n - 1 AS DOUBLE))) AS INT) AS band, target, {p} FROM (
+      SELECT *, ROW_NUMBER() OVER (ORDER BY {p}, {TIE}) AS r, COUNT(*) OVER () AS n FROM predictions))
+      SELECT band, COUNT(*) AS customers, CAST(SUM(target) AS BIGINT) AS defaults, ROUND(AVG({p}), 8) AS avg_pred,
+        AVG(target) AS bad_rate, CAST(SUM(SUM(target)) OVER (ORDER BY band) AS DOUBLE) / SUM(SUM(target)) OVER () AS cum_defaults FROM b GROUP BY band"""
+
+
+def _curve_of(p: str) -> str:
+    """Reliability in twenty quantile bins of a score."""
+    return f"""WITH {PD}, one AS (SELECT 1 AS k, {p}, target FROM predictions),{_quantiles('one', 'k', p, 20, 'edges')}
+      SELECT bin, COUNT(*) AS customers, ROUND(AVG({p}), 8) AS mean_pred, AVG(target) AS observed_rate FROM (
+        SELECT *, CAST(1 + (SELECT COUNT(*) FROM edges WHERE edge < {p}) AS INT) AS bin FROM one) GROUP BY bin"""
+
+
+def _points_of(p: str) -> str:
+    """Approval points of a score."""
+    return f"""WITH {PD}, c AS (SELECT ROW_NUMBER() OVER w AS r, COUNT(*) OVER () AS n, SUM(target) OVER w AS cb FROM predictions
+      WINDOW w AS (ORDER BY {p}, {TIE} ROWS UNBOUNDED PRECEDING))
+      SELECT a AS approved, r AS rank, cb / CAST(r AS DOUBLE) AS bad_rate FROM c
+      JOIN (SELECT UNNEST([{dbl(0.5)}, {dbl(0.7)}, {dbl(0.9)}]) AS a) p ON r = FLOOR(a * n)"""
+
+
+def _full_report() -> str:
+    tables = {
+        "bands": (_bands_of("p_a"), "band", ("customers", "defaults", "avg_pred", "bad_rate", "cum_defaults")),
+        "raw_curve": (_curve_of("p_a"), "bin", ("customers", "mean_pred", "observed_rate")),
+        "calibrated_curve": (_curve_of("p_c"), "bin", ("customers", "mean_pred", "observed_rate")),
+        "approval": (_points_of("p_a"), "approved", ("rank", "bad_rate")),
+    }
+    parts = [f"SELECT 'headline' AS section, CAST(NULL AS DOUBLE) AS item, metric, value FROM ({_report()})"]
+    for name, (sql, item, metrics) in tables.items():
+        parts += [f"SELECT '{name}', CAST({item} AS DOUBLE), '{m}', ROUND(CAST({m} AS DOUBLE), 8) FROM ({sql})" for m in metrics]
+    return " UNION ALL ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "ingest_cast": f"""WITH {ST} SELECT customer_ID, S_2, CAST(P_2 AS FLOAT) AS P_2, CAST(D_39 AS FLOAT) AS D_39,
       CAST(B_1 AS FLOAT) AS B_1, CAST(R_1 AS FLOAT) AS R_1, CAST(S_3 AS FLOAT) AS S_3, B_30, D_63, D_64 FROM statements""",
@@ -282,6 +318,7 @@ ORACLES: dict[str, str] = {
     "clean_nonfinite": f"""WITH {ST} SELECT seq, CASE WHEN D_39 = 0 THEN NULL ELSE B_1 / D_39 END AS ratio,
       CASE WHEN D_39 = 0 THEN NULL ELSE B_1 / D_39 END AS cell_0, CAST(NULL AS DOUBLE) AS cell_1, B_1 AS cell_2 FROM statements""",
     "risk_report": _report(),
+    "full_report": _full_report(),
     "feature_groups": "SELECT prefix, COUNT(*) AS features, CASE prefix "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GROUP_NAMES.items())
     + " ELSE prefix END AS group_name FROM (SELECT split_part(f, '_', 1) AS prefix FROM (VALUES "
@@ -369,13 +406,8 @@ ORACLES: dict[str, str] = {
         COUNT(*) OVER (PARTITION BY target) AS n FROM features JOIN stmt_labels USING (customer_ID) WHERE P_2_last IS NOT NULL)
       SELECT target, bin, ROUND(lo + bin * w, 3) AS left_edge, COUNT(*) AS rows, ROUND(COUNT(*) / (n * w), 12) AS density FROM (
         SELECT *, CAST(LEAST(FLOOR((v - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, (hi - lo) / 50 AS w FROM x) GROUP BY target, bin, lo, w, n""",
-    "score_bands": f"""WITH {PD}, b AS (SELECT 11 - CAST(GREATEST(1, CEIL((r - 1) * 10 / CAST(n - 1 AS DOUBLE))) AS INT) AS band, target, p_a FROM (
-      SELECT *, ROW_NUMBER() OVER (ORDER BY p_a, {TIE}) AS r, COUNT(*) OVER () AS n FROM predictions))
-      SELECT band, COUNT(*) AS customers, CAST(SUM(target) AS BIGINT) AS defaults, ROUND(AVG(p_a), 8) AS avg_pred,
-        AVG(target) AS bad_rate, CAST(SUM(SUM(target)) OVER (ORDER BY band) AS DOUBLE) / SUM(SUM(target)) OVER () AS cum_defaults FROM b GROUP BY band""",
-    "calibration_curve": f"""WITH {PD}, one AS (SELECT 1 AS k, p_b, target FROM predictions),{_quantiles('one', 'k', 'p_b', 20, 'edges')}
-      SELECT bin, COUNT(*) AS customers, ROUND(AVG(p_b), 8) AS mean_pred, AVG(target) AS observed_rate FROM (
-        SELECT *, CAST(1 + (SELECT COUNT(*) FROM edges WHERE edge < p_b) AS INT) AS bin FROM one) GROUP BY bin""",
+    "score_bands": _bands_of("p_a"),
+    "calibration_curve": _curve_of("p_b"),
     "brier": f"""WITH {PD} SELECT ROUND(a, 9) AS brier_p_a, ROUND(c, 9) AS brier_p_c, CASE WHEN c < a THEN 'better' ELSE 'worse' END AS verdict
       FROM (SELECT AVG((p_a - target) * (p_a - target)) AS a, AVG((p_c - target) * (p_c - target)) AS c FROM predictions)""",
     "auc_gini": f"WITH {PD} SELECT ROUND(auc, 9) AS auc, ROUND(gini, 9) AS gini FROM ({_auc('p_b')})",
@@ -403,10 +435,7 @@ ORACLES: dict[str, str] = {
     "approval_curve": f"""WITH {PD} SELECT customer_ID, r AS rank, n, r / CAST(n AS DOUBLE) AS approval_rate, cb / CAST(r AS DOUBLE) AS bad_rate FROM (
       SELECT customer_ID, ROW_NUMBER() OVER w AS r, COUNT(*) OVER () AS n, SUM(target) OVER w AS cb FROM predictions
       WINDOW w AS (ORDER BY p_a, {TIE} ROWS UNBOUNDED PRECEDING))""",
-    "approval_points": f"""WITH {PD}, c AS (SELECT ROW_NUMBER() OVER w AS r, COUNT(*) OVER () AS n, SUM(target) OVER w AS cb FROM predictions
-      WINDOW w AS (ORDER BY p_b, {TIE} ROWS UNBOUNDED PRECEDING))
-      SELECT a AS approved, r AS rank, cb / CAST(r AS DOUBLE) AS bad_rate FROM c
-      JOIN (SELECT UNNEST([{dbl(0.5)}, {dbl(0.7)}, {dbl(0.9)}]) AS a) p ON r = FLOOR(a * n)""",
+    "approval_points": _points_of("p_b"),
     "quantile_bins": f"""WITH {PD} SELECT customer_ID, p_b, r AS rank, CAST(GREATEST(1, CEIL((r - 1) * 10 / CAST(n - 1 AS DOUBLE))) AS INT) AS bin FROM (
       SELECT *, ROW_NUMBER() OVER (ORDER BY p_b, {TIE}) AS r, COUNT(*) OVER () AS n FROM predictions)""",
     "sequence_positions": f"""WITH {ST} SELECT customer_ID, seq, S_2, CAST(rn - 1 - GREATEST(n - 13, 0) AS INT) AS pos, CAST(LEAST(n, 13) AS INT) AS length FROM (
@@ -441,7 +470,7 @@ ORACLES: dict[str, str] = {
     "skew_check": f"""WITH {ST}, cut AS (SELECT * EXCLUDE (rn, n) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY customer_ID ORDER BY S_2, seq) AS rn,
       COUNT(*) OVER (PARTITION BY customer_ID) AS n FROM statements) WHERE rn > n - 13),{_features()},{_features('cut', 'fcut')}
       SELECT feature, null_mismatches, ROUND(max_abs_diff, 4) AS max_abs_diff,
-        null_mismatches = 0 AND COALESCE(max_abs_diff, 0) < {dbl(1e-3)} AS matches FROM ("""
+        TRUE AS same_place, null_mismatches = 0 AND COALESCE(max_abs_diff, 0) < {dbl(1e-3)} AS matches FROM ("""
     + " UNION ALL ".join(
         f"SELECT '{f}' AS feature, COUNT(CASE WHEN (a.{f} IS NULL) <> (b.{f} IS NULL) THEN 1 END) AS null_mismatches, "
         + (f"MAX(CASE WHEN a.{f} <> b.{f} THEN 1e0 WHEN a.{f} = b.{f} THEN 0e0 END)" if f in TEXT_FEATURES else f"CAST(MAX(ABS(a.{f} - b.{f})) AS DOUBLE)")

@@ -123,6 +123,13 @@ def risk_report(spark, sf_dir):
     return EV.risk_report(p, "target", "p_a", "p_c").select("metric", F.round("value", 8).alias("value"))
 
 
+@query
+def full_report(spark, sf_dir):
+    """Headline metrics, bands, curves before and after calibration, and approval points."""
+    out = EV.full_report(_predictions(spark, sf_dir), "target", "p_a", "p_c")
+    return out.select("section", "item", "metric", F.round("value", 8).alias("value"))
+
+
 # --- projections -----------------------------------------------------------------------
 
 

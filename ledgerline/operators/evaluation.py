@@ -135,3 +135,34 @@ def risk_report(
     for r in rows[1:]:
         report = report.unionByName(r)
     return report
+
+
+def full_report(
+    df: DataFrame,
+    target: str = "target",
+    score: str = "prediction",
+    calibrated: str = "calibrated",
+    key: str = "customer_ID",
+    bins: int = 10,
+    curve_bins: int = 20,
+    rates: Sequence[float] = (0.5, 0.7, 0.9),
+) -> DataFrame:
+    """Everything a model review reads, as (section, item, metric, value) rows; ``df`` should be a stored table.
+
+    Sections: ``headline`` (no item), ``bands`` by band, ``raw_curve`` and ``calibrated_curve`` by bin, ``approval`` by
+    approval rate. Each table is made distributed and small before it is turned into rows.
+    """
+    tables = {
+        "bands": (score_bands(df, target, score, key, bins), "band"),
+        "raw_curve": (calibration_curve(df, target, score, curve_bins), "bin"),
+        "calibrated_curve": (calibration_curve(df, target, calibrated, curve_bins), "bin"),
+        "approval": (approval_points(approval_curve(df, target, score, key), rates), "approved"),
+    }
+    headline = risk_report(df, target, score, calibrated, key)
+    report = headline.select(F.lit("headline").alias("section"), F.lit(None).cast("double").alias("item"), "metric", "value")
+    for name, (table, item) in tables.items():
+        metrics = [c for c in table.columns if c != item]
+        numbers = table.select(F.col(item).cast("double").alias("item"), *[F.col(c).cast("double").alias(c) for c in metrics])
+        rows = numbers.unpivot(["item"], metrics, "metric", "value")
+        report = report.unionByName(rows.withColumn("section", F.lit(name)))
+    return report

@@ -199,8 +199,11 @@ def skew_check(left: DataFrame, right: DataFrame, key: str, columns: Sequence[st
 
     The wide rows are joined once by customer and reduced in a single aggregation,
     so no (customer, feature) pair is ever shuffled. Customers found on one side
-    only count as a mismatch of every feature. Texts differ by 1 or by 0.
+    only count as a mismatch of every feature. Texts differ by 1 or by 0. ``same_place`` tells whether the
+    column stands at the same position in both tables: a model fed by position would read it wrongly otherwise.
     """
+    places = [{c: i for i, c in enumerate(c for c in df.columns if c != key)} for df in (left, right)]
+    moved = [c for c in columns if places[0][c] != places[1][c]]
     types = dict(left.dtypes)
     both = left.select(key, *columns, F.lit(1).alias("_l")).alias("l").join(
         right.select(key, *columns, F.lit(1).alias("_r")).alias("r"), key, "full_outer"
@@ -215,5 +218,5 @@ def skew_check(left: DataFrame, right: DataFrame, key: str, columns: Sequence[st
     ok = (F.col("null_mismatches") == 0) & (F.coalesce("max_abs_diff", F.lit(0.0)) < tolerance)
     return both.agg(*aggs).select(
         rows_from(columns, {"null_mismatches": "n", "max_abs_diff": "d"})
-    ).withColumn("matches", ok)
+    ).withColumn("same_place", ~F.col("feature").isin(moved)).withColumn("matches", ok & F.col("same_place"))
 

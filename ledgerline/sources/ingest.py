@@ -44,9 +44,19 @@ def csv_to_parquet(spark: SparkSession, csv_path: str, parquet_path: str, roles:
 
 
 def convert_splits(spark: SparkSession, paths: dict[str, tuple[str, str]], roles: Roles = Roles(), mode: str = "errorifexists") -> None:
-    """Convert the named splits (train, test) one after the other."""
-    for csv_path, parquet_path in paths.values():
-        csv_to_parquet(spark, csv_path, parquet_path, roles, mode)
+    """Convert the named splits, train first whatever the order given.
+
+    The later splits must have the columns of train, in its order: what is fitted on train is applied to them.
+    """
+    if "train" not in paths:
+        raise ValueError("no split named train")
+    names = ["train", *(n for n in paths if n != "train")]
+    headers = {n: csv_header(spark, paths[n][0]) for n in names}
+    other = [n for n in names if headers[n] != headers["train"]]
+    if other:
+        raise ValueError(f"columns differ from those of train: {', '.join(other)}")
+    for name in names:
+        csv_to_parquet(spark, *paths[name], roles, mode)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -73,6 +83,25 @@ def report_lines(report: DataFrame) -> str:
     return f"| metric | value |\n|---|---|\n{body}\n"
 
 
+def report_document(report: DataFrame) -> str:
+    """A full report (section, item, metric, value) as one Markdown table per section: items down, metrics across.
+
+    The report is small whatever its input: bands, bins and approval rates.
+    """
+    sections: dict[str, dict[float | None, dict[str, float]]] = {}
+    for r in report.orderBy("section", "item", "metric").collect():
+        sections.setdefault(r["section"], {}).setdefault(r["item"], {})[r["metric"]] = r["value"]
+    out = []
+    for name, items in sections.items():
+        metrics = sorted({m for values in items.values() for m in values})
+        out += [f"## {name}", "", "| item | " + " | ".join(metrics) + " |", "|---" * (len(metrics) + 1) + "|"]
+        for item, values in items.items():
+            cells = ["" if values.get(m) is None else f"{values[m]:.5f}" for m in metrics]
+            out.append(f"| {'' if item is None else f'{item:g}'} | " + " | ".join(cells) + " |")
+        out.append("")
+    return "\n".join(out)
+
+
 def roundtrip_csv(source: DataFrame, roles: Roles) -> DataFrame:
     """Write a statement table as CSV, ingest it to Parquet, read the result."""
     spark = source.sparkSession

@@ -89,5 +89,5 @@ def test_lookup_join_runs_no_job_for_a_small_stored_lookup(spark, tmp_path):
 def test_skew_check_compares_texts(spark):
     left = spark.createDataFrame([("a", "x", 1.0), ("b", None, 2.0)], "k string, t string, v double")
     right = spark.createDataFrame([("a", "y", 1.0), ("b", None, 2.0)], "k string, t string, v double")
-    got = {r["feature"]: tuple(r)[1:] for r in FT.skew_check(left, right, "k", ["t", "v"]).collect()}
+    got = {r["feature"]: (r["null_mismatches"], r["max_abs_diff"], r["matches"]) for r in FT.skew_check(left, right, "k", ["t", "v"]).collect()}
     assert got == {"t": (0, 1.0, False), "v": (0, 0.0, True)}

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import drift as D
+from ledgerline.operators import evaluation as EV
 from ledgerline.operators import features as FT
 from ledgerline.operators.contributions import LinearScore
 from ledgerline.plans import scoring as SC
@@ -161,3 +162,33 @@ def test_drift_counters_equal_the_batch_result_and_late_rows_are_counted(spark,
     # the windows that the watermark has closed
     assert got == pytest.approx({r[0]: r[1] for r in want.collect() if r[0] in (2, 3, 9)})
     assert D.reference_bins(reference.limit(0), "pd") is None
+
+
+def test_splits_are_converted_train_first(spark, tmp_path):
+    for name, head in (("train", "customer_ID,S_2,P_2"), ("test", "customer_ID,S_2,P_2"), ("odd", "customer_ID,P_2,S_2")):
+        (tmp_path / f"{name}.csv").write_text(f"{head}\na,2017-03-09,0.5\n")
+    paths = {n: (str(tmp_path / f"{n}.csv"), str(tmp_path / n)) for n in ("test", "train", "odd")}
+    with pytest.raises(ValueError, match="odd"):
+        I.convert_splits(spark, paths)
+    assert not (tmp_path / "train").exists()
+    with pytest.raises(ValueError, match="train"):
+        I.convert_splits(spark, {"test": paths["test"]})
+    I.convert_splits(spark, {n: paths[n] for n in ("test", "train")})
+    done = [(tmp_path / n / "_SUCCESS").stat().st_mtime_ns for n in ("train", "test")]
+    assert done[0] < done[1] and spark.read.parquet(paths["test"][1]).count() == 1
+
+
+def test_skew_check_sees_moved_columns(spark):
+    left = spark.createDataFrame([("a", 1.0, 2.0, 3.0)], "k string, x double, y double, z double")
+    got = {r["feature"]: (r["same_place"], r["matches"]) for r in FT.skew_check(left, left.select("k", "y", "x", "z"), "k", ["x", "y", "z"]).collect()}
+    assert got == {"x": (False, False), "y": (False, False), "z": (True, True)}
+
+
+def test_full_report_has_every_section(spark):
+    df = spark.createDataFrame([(f"c{i}", int(i % 7 in (0, i % 3)), i / 60, i * i / 3600) for i in range(60)], "customer_ID string, target int, prediction double, calibrated double")
+    report = EV.full_report(df)
+    sizes = {r["section"]: r["n"] for r in report.groupBy("section").agg(F.count_distinct("item").alias("n")).collect()}
+    assert sizes == {"headline": 0, "bands": 10, "raw_curve": 20, "calibrated_curve": 20, "approval": 3}
+    text = I.report_document(report)
+    assert text.count("## ") == 5 and "| 0.7 | " in text and "| 10 | " in text
+    assert EV.full_report(df.limit(0)).where("section IN ('bands', 'approval')").count() == 0
