@@ -27,6 +27,8 @@ COLUMNS = FEATURES
 ROUNDS, PATIENCE = 16, 4
 PARAMS = {"maxDepth": 3, "stepSize": 0.1}
 FOREST_PARAMS = {"maxDepth": 4}
+# the search goes on after its random trials
+TRIALS, STARTUP = 5, 3
 # folder of the fold models trained in this application, by tables and family
 _STORES: dict[tuple[str, str, str], str] = {}
 
@@ -55,9 +57,12 @@ def _fold_models(spark, sf_dir, family="boosted"):
         _training(spark, sf_dir).write.parquet(f"{path}/training")
         folded = spark.read.parquet(f"{path}/training")
         inputs = TR.fit_inputs(folded, COLUMNS)
-        fit, params = (TR.fit_boosted, PARAMS) if family == "boosted" else (TR.fit_forest, FOREST_PARAMS)
-        cv = TR.cross_validate(
-            folded, lambda t, v: fit(t, v, inputs, params, ROUNDS, PATIENCE), parallelism=5, metadata={**params, "rounds": ROUNDS, "patience": PATIENCE})
+        if family == "tuned":
+            cv = TR.tune_and_refit(folded, inputs, TRIALS, 5, ROUNDS, PATIENCE, parallelism=3, startup=STARTUP)
+        else:
+            fit, params = (TR.fit_boosted, PARAMS) if family == "boosted" else (TR.fit_forest, FOREST_PARAMS)
+            cv = TR.cross_validate(
+                folded, lambda t, v: fit(t, v, inputs, params, ROUNDS, PATIENCE), parallelism=5, metadata={**params, "rounds": ROUNDS, "patience": PATIENCE})
         cv.oof.write.parquet(f"{path}/oof")
         TR.save_folds(cv, spark, path)
         _STORES[key] = path
@@ -138,13 +143,19 @@ def cv_oof_sequence_check(spark, sf_dir):
 
 @query
 def tune_best(spark, sf_dir):
-    """Random search on one split; the trials, best first."""
+    """Adaptive search on one split; the trials, best first."""
     folded = _training(spark, sf_dir)
-    trials = TR.tune(folded, TR.fit_inputs(folded, COLUMNS), 3, 5, parallelism=3)
+    trials = TR.tune(folded, TR.fit_inputs(folded, COLUMNS), TRIALS, 5, parallelism=3, startup=STARTUP, patience=PATIENCE)
     rows = [(i, str(sorted(p.items())), float(s)) for i, (p, s) in enumerate(trials)]
     return spark.createDataFrame(rows, "place int, params string, metric double")
 
 
+@query
+def tune_refit_check(spark, sf_dir):
+    """The best settings of the search on all folds: every labelled customer predicted once, by the saved model of its fold."""
+    return _oof_check(spark, _fold_models(spark, sf_dir, "tuned"))
+
+
 @query
 def batch_inference(spark, sf_dir):
     """The later period scored by the average of the saved fold models."""

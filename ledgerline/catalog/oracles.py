@@ -518,6 +518,7 @@ FROM halves h LEFT JOIN steps s ON s.half = 1 - h.half AND s.x <= p_a AND (s.x2
         SELECT *, CAST(LEAST(FLOOR((v - lo) / ((hi - lo) / 50)), 49) AS INT) AS bin, (hi - lo) / 50 AS w FROM x) GROUP BY model, bin, w, n""",
     "cv_oof_check": OOF_CHECK,
     "cv_oof_forest_check": OOF_CHECK,
+    "tune_refit_check": OOF_CHECK,
     "cv_oof_sequence_check": f"WITH {TRAINED.replace("FROM train JOIN", "FROM statements JOIN")} SELECT customer_ID, target, fold, TRUE AS in_range FROM folded",
     "cv_stages_check": "SELECT CAST(i AS INT) AS fold, CAST(16 AS INT) AS trees, TRUE AS kept_is_best, TRUE AS metric_matches FROM range(5) t(i)",
     "batch_inference_check": f"""WITH {V.TRAIN_TEST_SQL}

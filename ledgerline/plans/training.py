@@ -283,38 +283,112 @@ SEARCH_SPACE = {
 }
 
 
+STARTUP = 10
+GOOD_SHARE, CANDIDATES = 0.25, 24
+
+
+def _setting(kind: str, low: float, high: float, u: float):
+    """The value at place ``u`` of a range, 0 to 1; a log range is even in the logarithm."""
+    if kind == "int":
+        return min(int(low + u * (high - low + 1)), int(high))
+    if kind == "log":
+        return min(max(math.exp(math.log(low) + u * math.log(high / low)), low), high)
+    value = low + u * (high - low)
+    return f"{value:.3f}" if kind == "share" else value
+
+
+def settings_at(places: Mapping[str, float], space: Mapping = SEARCH_SPACE) -> dict:
+    return {name: _setting(*space[name], u) for name, u in places.items()}
+
+
 def draw_params(n: int, seed: int = SEED, space: Mapping = SEARCH_SPACE) -> list[dict]:
     """``n`` seeded random settings."""
     rng = random.Random(seed)
-    out = []
-    for _ in range(n):
-        trial = {}
-        for name, (kind, low, high) in space.items():
-            if kind == "int":
-                trial[name] = rng.randint(low, high)
-            elif kind == "log":
-                trial[name] = math.exp(rng.uniform(math.log(low), math.log(high)))
-            else:
-                value = rng.uniform(low, high)
-                trial[name] = f"{value:.3f}" if kind == "share" else value
-        out.append(trial)
+    return [settings_at({name: rng.random() for name in space}, space) for _ in range(n)]
+
+
+def suggest(history: Sequence[tuple[Mapping[str, float], float]], rng: random.Random, space: Mapping = SEARCH_SPACE) -> dict[str, float]:
+    """The next place to try, parameter by parameter, by tree-structured Parzen estimators.
+
+    The best quarter of the trials and the rest each give a density over the range, a mixture of normal kernels and the
+    uniform prior. Of a few draws from the good density the one where it stands highest over the other is taken.
+    Without a trial that has a score the place is random.
+    """
+    scored = sorted((h for h in history if h[1] == h[1]), key=lambda h: -h[1])
+    if not scored:
+        return {name: rng.random() for name in space}
+    failed = [h for h in history if h[1] != h[1]]
+    cut = max(1, math.ceil(GOOD_SHARE * len(scored)))
+    out = {}
+    for name in space:
+        good, rest = ([places[name] for places, _ in part] for part in (scored[:cut], [*scored[cut:], *failed]))
+        draws = [_draw_kernel(good, rng) for _ in range(CANDIDATES)]
+        out[name] = max(draws, key=lambda u: math.log(_density(u, good)) - math.log(_density(u, rest)))
     return out
 
 
-def tune(folded: DataFrame, inputs: Inputs, trials: int, rounds: int, seed: int = SEED, parallelism: int = 2) -> list[tuple[dict, float]]:
-    """Trials on one fixed split (fold 0 held out), best first; ties keep the earlier trial."""
+def _width(points: Sequence[float]) -> float:
+    return max(0.05, 0.5 / math.sqrt(1 + len(points)))
+
+
+def _draw_kernel(points: Sequence[float], rng: random.Random) -> float:
+    at = rng.randrange(len(points) + 1)
+    if at == len(points):
+        return rng.random()
+    return min(max(rng.gauss(points[at], _width(points)), 0.0), 1.0)
+
+
+def _density(u: float, points: Sequence[float]) -> float:
+    w = _width(points)
+    kernels = sum(math.exp(-0.5 * ((u - p) / w) ** 2) for p in points) / (w * math.sqrt(2 * math.pi))
+    return (1.0 + kernels) / (1 + len(points))
+
+
+def search(judge: Callable[[list[dict]], list[float]], trials: int, seed: int = SEED, startup: int = STARTUP, batch: int = 2, space: Mapping = SEARCH_SPACE):
+    """(settings, score) of every trial in order: random ones first, then suggested ones, ``batch`` at a time.
+
+    A trial's random numbers depend on the seed and its number, so a search can be repeated.
+    """
+    history: list[tuple[dict[str, float], float]] = []
+    while len(history) < trials:
+        left = min(batch, trials - len(history))
+        if len(history) < startup:
+            left = min(left, startup - len(history))
+            places = [{n: r.random() for n in space} for r in (random.Random(f"{seed}-{len(history) + i}") for i in range(left))]
+        else:
+            places = [suggest(history, random.Random(f"{seed}-{len(history) + i}"), space) for i in range(left)]
+        history += zip(places, judge([settings_at(p, space) for p in places]), strict=True)
+    return [(settings_at(p, space), s) for p, s in history]
+
+
+def tune(
+    folded: DataFrame, inputs: Inputs, trials: int, rounds: int, seed: int = SEED, parallelism: int = 2, startup: int = STARTUP, patience: int = PATIENCE
+) -> list[tuple[dict, float]]:
+    """Adaptive search on one fixed split (fold 0 held out), best first; ties keep the earlier trial.
+
+    ``parallelism`` trials are suggested from the same history and run side by side.
+    """
     train, valid = folded.where(F.col("fold") != 0), folded.where(F.col("fold") == 0)
     judge = RankMetricEvaluator("raw")
-    settings = draw_params(trials, seed)
 
     def one(params: dict) -> float:
-        scorer = fit_boosted(train, valid, inputs, params, rounds)
+        scorer = fit_boosted(train, valid, inputs, params, rounds, patience)
         return judge.evaluate(scorer.transform(valid, "raw").select(KEY, TARGET, "raw"))
 
     with ThreadPool(parallelism) as pool:
-        scores = pool.map(one, settings)
-    order = sorted(range(trials), key=lambda i: (-(scores[i] if scores[i] == scores[i] else -math.inf), i))
-    return [(settings[i], scores[i]) for i in order]
+        found = search(lambda settings: pool.map(one, settings), trials, seed, startup, parallelism)
+    order = sorted(range(trials), key=lambda i: (-(found[i][1] if found[i][1] == found[i][1] else -math.inf), i))
+    return [found[i] for i in order]
+
+
+def tune_and_refit(
+    folded: DataFrame, inputs: Inputs, trials: int, search_rounds: int, rounds: int, patience: int = PATIENCE, seed: int = SEED, parallelism: int = 2,
+    startup: int = STARTUP,
+) -> CrossValidation:
+    """The best settings of a search, fitted again on every fold; settings, trials and the search's best score in its metadata."""
+    best, score = tune(folded, inputs, trials, search_rounds, seed, parallelism, startup, patience)[0]
+    about = {**best, "rounds": rounds, "patience": patience, "trials": trials, "search_metric": score}
+    return cross_validate(folded, lambda t, v: fit_boosted(t, v, inputs, best, rounds, patience, seed), parallelism=parallelism, metadata=about)
 
 
 # --- calibration and the serving model -----------------------------------------------------------

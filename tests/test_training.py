@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -209,3 +211,21 @@ def test_sequence_model(spark):
     scorer = TR.fit_sequence_model(df, 2, hidden=4, rounds=30)
     out = scorer.transform(df, "p")
     assert TR.RankMetricEvaluator("p").evaluate(out) > 0.5
+
+
+def test_adaptive_search_beats_random_draws_and_repeats():
+    """On a smooth objective, over several seeds; a failed trial (NaN) does not stop it."""
+    def worth(p):
+        return -abs(math.log(p["stepSize"] / 0.02)) - abs(p["maxDepth"] - 6) / 4 - abs(p["subsamplingRate"] - 0.6) * 2
+
+    gains = []
+    for seed in range(8):
+        found = TR.search(lambda settings: [worth(p) for p in settings], 40, seed, startup=10, batch=2)
+        assert found == TR.search(lambda settings: [worth(p) for p in settings], 40, seed, startup=10, batch=2) and len(found) == 40
+        for params, _ in found:
+            assert 0.01 <= params["stepSize"] <= 0.05 and 3 <= params["maxDepth"] <= 7 and 10 <= params["minInstancesPerNode"] <= 150
+            assert 0.2 <= float(params["featureSubsetStrategy"]) <= 0.6 and 0.5 <= params["subsamplingRate"] <= 1
+        later = [s for _, s in found[20:]]
+        gains.append(sum(later) / len(later) - sum(worth(p) for p in TR.draw_params(20, seed)) / 20)
+    assert min(gains) > 0 and sum(gains) / len(gains) > 0.2
+    assert len(TR.search(lambda settings: [float("nan")] * len(settings), 7, startup=3)) == 7
