@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,19 +93,15 @@ def registers_of(hashes: np.ndarray, bits: int = BUCKET_BITS) -> np.ndarray:
     return out
 
 
-def bands_of(registers: np.ndarray) -> list[int | None]:
-    """Packed registers of each band; None when all of them are empty."""
-    packed = []
-    for at in range(0, REGISTERS - BAND + 1, BAND):
-        part = registers[at : at + BAND].tolist()
-        if any(r != EMPTY for r in part):
-            key = 0
-            for r in part:
-                key = key << 12 | r
-            packed.append(key)
-        else:
-            packed.append(None)
-    return packed
+def bands_of(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, band and packed registers of every band that is not empty, for registers row by row."""
+    used = REGISTERS // BAND * BAND
+    parts = registers[:, :used].reshape(len(registers), -1, BAND)
+    keys = np.zeros(parts.shape[:2], np.int64)
+    for i in range(BAND):
+        keys = keys << 12 | parts[:, :, i]
+    row, band = np.nonzero((parts != EMPTY).any(axis=2))
+    return row, band, keys[row, band]
 
 
 def collision_rate(per_bucket: float) -> float:
@@ -169,18 +166,42 @@ def _class_id(found: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def band_rows(classes: DataFrame) -> DataFrame:
+def band_rows(classes: DataFrame, shared: Broadcast | None = None) -> DataFrame:
+    """A hash of every band value of every class; with the filter ``shared`` band, key, class and its size of
+    the values the filter may hold."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        band, key, cid = [], [], []
-        for c, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for b, k in enumerate(bands_of(np.frombuffer(r, np.uint16))):
-                if k is not None:
-                    band.append(b)
-                    key.append(k)
-                    cid.append(c)
-        return pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(key, pa.int64()), pa.array(cid, pa.int64())], ["band", "key", "cid"])
+        registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        row, band, key = bands_of(registers)
+        value = _band_hash(band, key)
+        if shared is None:
+            return pa.RecordBatch.from_arrays([pa.array(value)], ["h"])
+        if len(row):
+            held = shared.value.may_hold(value)
+            row, band, key = row[held], band[held], key[held]
+        cid, n = (batch.column(i).to_numpy()[row] for i in (0, 2))
+        return pa.RecordBatch.from_arrays([pa.array(band.astype(np.int32)), pa.array(key), pa.array(cid), pa.array(n)], ["band", "key", "cid", "n"])
+
+    return arrow(classes.select("cid", "registers", "n_shingles"), run, "h long" if shared is None else "band int, key long, cid long, n long")
 
-    return arrow(classes.select("cid", "registers"), run, "band int, key long, cid long")
+
+def _band_hash(band: np.ndarray, key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (key.astype(np.uint64) + band.astype(np.uint64) * _C) * _A
+        h = (h ^ (h >> np.uint64(32))) * _B
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def shared_bands(classes: DataFrame) -> DataFrame:
+    """Rows of the band values that two classes or more hold, and of few others.
+
+    Most values belong to one class: their hashes are shuffled once, to be counted, and a fixed-size Bloom
+    filter of the shared ones keeps them out of everything that follows.
+    """
+    shared = band_rows(classes).groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = materialize(shared.select("h"), "shared_values")
+    bloom = classes.sparkSession.sparkContext.broadcast(BlockedBloom.build(shared, "h"))
+    return materialize(band_rows(classes, bloom), "bands")
 
 
 # --- pairs -----------------------------------------------------------------------------------------
@@ -285,10 +306,11 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
         before = state
 
 
-def _first_pairs(bands: DataFrame) -> DataFrame:
-    """Every class with the smallest class of each of its band values."""
-    lead = bands.groupBy("band", "key").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return bands.join(lead, ["band", "key"]).where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
+def _first_pairs(bands: DataFrame, percent: int) -> DataFrame:
+    """Every class with the smallest class of each of its band values, if their sizes allow a link."""
+    lead = bands.groupBy("band", "key").agg(F.min("cid").alias("a"), F.min_by("n", "cid").alias("n_a"), F.count(F.lit(1)).alias("held"))
+    sizes = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
+    return bands.join(lead.where("held > 1"), ["band", "key"]).where("cid <> a").where(sizes).select("a", F.col("cid").alias("b")).distinct()
 
 
 def _mixed_bands(bands: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -317,14 +339,13 @@ def _cross_pairs(rooted: DataFrame, mixed: DataFrame, sketches: DataFrame, perce
     rows = rows.withColumns({
         "tall": F.ceil(F.col("all") / UNIT).cast("int"), "wide": F.ceil(F.col("rest") / UNIT).cast("int"),
         "h": F.xxhash64("cid"), "other": F.col("root") != F.col("main")})
-    every = rows.select(
-        *bucket, F.pmod("h", "tall").alias("x"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("y"),
-        *carried, F.lit(False).alias("other"))
-    others = rows.where("other").select(
-        *bucket, F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("x"), F.pmod("h", "wide").alias("y"),
-        *carried, F.lit(True).alias("other"))
-    units = every.select(*bucket, F.col("x").cast("int"), F.col("y").cast("int"), *carried, "other").unionByName(
-        others.select(*bucket, F.col("x").cast("int"), F.col("y").cast("int"), *carried, "other"))
+    rows = rows.withColumns({"x0": F.pmod("h", "tall").cast("int"), "y0": F.pmod("h", "wide").cast("int")})
+    # a member stands in all units of its column; one outside the largest component in those of its row as well
+    column = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda y: F.struct(
+        F.col("x0").alias("x"), y.alias("y"), F.lit(True).alias("member"), (F.col("other") & (y == F.col("y0"))).alias("outer")))
+    across = F.transform(F.filter(F.sequence(F.lit(0), F.col("tall") - 1), lambda x: F.col("other") & (x != F.col("x0"))), lambda x: F.struct(
+        x.alias("x"), F.col("y0").alias("y"), F.lit(False).alias("member"), F.lit(True).alias("outer")))
+    units = rows.select(*bucket, *carried, F.explode(F.concat(column, across)).alias("_u")).select(*bucket, "_u.x", "_u.y", *carried, "_u.member", "_u.outer")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -355,8 +376,8 @@ def _unit_pairs(held: Sequence[pa.RecordBatch], percent: int, nearest: bool) ->
     cid, root, n = (unit[c].to_numpy() for c in ("cid", "root", "n_shingles"))
     registers = np.frombuffer(b"".join(unit["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
     fine = np.frombuffer(b"".join(unit["fine"].to_pylist()), np.uint16).reshape(-1, 1 << FINE_BITS)
-    other, band = unit["other"].to_numpy(zero_copy_only=False), unit["band"][0].as_py()
-    rows, everyone = np.flatnonzero(other), np.flatnonzero(~other)
+    band = unit["band"][0].as_py()
+    rows, everyone = (np.flatnonzero(unit[c].to_numpy(zero_copy_only=False)) for c in ("outer", "member"))
     a, b = [], []
     for i in rows:
         apart = everyone[root[everyone] != root[i]]
@@ -393,9 +414,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85, carried:
     classes = linkable.groupBy("cid").agg(
         F.min("doc_id").alias("doc_min"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     classes = materialize(classes, "classes")
-    bands = materialize(band_rows(classes), "bands")
+    bands = shared_bands(classes)
 
-    first = materialize(_first_pairs(bands), "first_pairs")
+    first = materialize(_first_pairs(bands, percent), "first_pairs")
     possible = materialize(estimated(first, classes, percent), "possible_pairs")
     links = materialize(verified(spark, docs, possible, classes, size, percent), "first_links")
     roots = components(links)

@@ -80,13 +80,48 @@ def groups_by_force(rows, size, percent):
     return sorted((d, len(sets[d]), find(d), find(d) == d) for d, _ in rows)
 
 
-@pytest.mark.parametrize("size, percent", [(3, 85)])
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, size, percent):
     rows = near_copies()
     got = near_dedup.near_duplicates(documents(spark, rows), size, percent)
     assert sorted(map(tuple, got.collect())) == groups_by_force(rows, size, percent)
 
 
+def test_near_duplicates_of_one_band_value_in_many_units(spark, monkeypatch):
+    """Thirty edits of one text, most of them just too far from each other: units of two by two meet all of them."""
+    monkeypatch.setattr(near_dedup, "UNIT", 2)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(240)]
+    texts = []
+    for i in range(30):
+        copy = list(base)
+        for at in rng.sample(range(0, 240, 4), rng.choice([2, 5, 6, 7])):
+            copy[at] = f"x{i}_{at}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    wanted = groups_by_force(rows, 3, 85)
+    assert 1 < len({r[2] for r in wanted}) < 30
+    assert sorted(map(tuple, near_dedup.near_duplicates(documents(spark, rows)).collect())) == wanted
+
+
+def test_shared_band_values_only(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.integers(0, 2**63, 2_000, dtype=np.uint64)) for _ in range(3)]
+    regs = [near_dedup.registers_of(s) for s in (*sets, np.zeros(0, np.uint64))]
+    regs.append(np.concatenate([regs[0][:50], regs[1][50:]]))
+    rows = [(i, bytearray(r.tobytes()), 2_000) for i, r in enumerate(regs)]
+    classes = spark.createDataFrame(rows, "cid long, registers binary, n_shingles long")
+    held = defaultdict(set)
+    for i, r in enumerate(regs):
+        for band in range(near_dedup.REGISTERS // near_dedup.BAND):
+            part = tuple(r[band * near_dedup.BAND : (band + 1) * near_dedup.BAND])
+            if set(part) != {near_dedup.EMPTY}:
+                held[band, part].add(i)
+    wanted = {(b, c) for (b, _), cs in held.items() if len(cs) > 1 for c in cs}
+    got = {(r.band, r.cid) for r in near_dedup.shared_bands(classes).collect()}
+    assert got >= wanted and len(got - wanted) < 5
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     both = rng.integers(0, 2**63, 20_000, dtype=np.uint64) * np.uint64(2)
