@@ -13,13 +13,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNSEEN = -1
+EXACT = 2.0**53
 DICTIONARY_SCHEMA = "col string, value string, code int"
 
 
 def value_text(df: DataFrame, column: str) -> Column:
-    """Text form of a category: a whole number reads the same as integer and as float."""
-    whole = isinstance(df.schema[column].dataType, (T.IntegralType, T.DecimalType))
-    return (F.col(column).cast("double") if whole else F.col(column)).cast("string")
+    """Text form of a category: a whole number reads the same as integer, decimal and float.
+
+    From 2^53 on, where neighbours share a double, it is the exact integer.
+    """
+    kind, value = df.schema[column].dataType, F.col(column)
+    if not isinstance(kind, T.NumericType):
+        return value.cast("string")
+    plain = (value.cast("double") if isinstance(kind, (T.IntegralType, T.DecimalType)) else value).cast("string")
+    if isinstance(kind, T.DecimalType):
+        plain = F.when(_large(value), value.cast("string")).otherwise(plain)
+    return F.coalesce(_large_whole(value, kind).cast("string"), plain)
+
+
+def _large(value: Column) -> Column:
+    return F.abs(value.cast("double")) >= EXACT
+
+
+def _large_whole(value: Column, kind: T.DataType) -> Column:
+    """A whole number of 2^53 or more as BIGINT, where it fits; else NULL."""
+    if isinstance(kind, T.IntegralType):
+        return F.when(_large(value), value.cast("long"))
+    if not isinstance(kind, T.NumericType):
+        return F.lit(None).cast("long")
+    whole = F.when(_large(value), value).try_cast("long")
+    return F.when(whole == value, whole) if isinstance(kind, T.DecimalType) else whole
 
 
 def fit_dictionary(df: DataFrame, columns: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
@@ -31,11 +54,12 @@ def fit_dictionary(df: DataFrame, columns: Sequence[str], names: Sequence[str] |
             F.lit(name).alias("col"),
             value_text(df, c).alias("value"),
             (F.lit(None) if types[c] == "string" else F.col(c)).cast("double").alias("_number"),
+            _large_whole(F.col(c), df.schema[c].dataType).alias("_whole"),
         )
         for c, name in zip(columns, names)
     ]
     seen = df.select(F.inline(F.array(*entries))).where(F.col("value").isNotNull()).distinct()
-    native = Window.partitionBy("col").orderBy("_number", "value")
+    native = Window.partitionBy("col").orderBy("_number", "_whole", "value")
     return seen.select("col", "value", (F.row_number().over(native) - 1).cast("int").alias("code"))
 
 

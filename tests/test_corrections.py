@@ -91,3 +91,17 @@ def test_skew_check_compares_texts(spark):
     right = spark.createDataFrame([("a", "y", 1.0), ("b", None, 2.0)], "k string, t string, v double")
     got = {r["feature"]: (r["null_mismatches"], r["max_abs_diff"], r["matches"]) for r in FT.skew_check(left, right, "k", ["t", "v"]).collect()}
     assert got == {"t": (0, 1.0, False), "v": (0, 0.0, True)}
+
+
+def test_whole_codes_beyond_doubles_stay_apart(spark):
+    big = 2**53
+    values = [-big - 2, -big - 1, -5, 7, big, big + 1, big + 2, 2**63 - 2, 2**63 - 1]
+    train = spark.createDataFrame([(v,) for v in [*values, None]], "x long")
+    dictionary = E.fit_dictionary(train, ["x"])
+    assert E.dictionary_as_lists(dictionary)["x"] == ["-5.0" if v == -5 else "7.0" if v == 7 else str(v) for v in values]
+    again = E.apply_dictionary(train.withColumn("v", F.col("x")), dictionary, ["x"])
+    assert {r.v: r.x for r in again.collect()} == {v: i for i, v in enumerate(values)} | {None: -1}
+    floats = spark.createDataFrame([(float(big + 2),), (7.0,), (float("nan"),), (1e300,)], "x double")
+    assert sorted(r.x for r in E.apply_dictionary(floats, dictionary, ["x"]).collect()) == [-1, -1, 3, 6]
+    exact = train.select(F.col("x").cast("decimal(25,2)").alias("x"))
+    assert sorted(r.x for r in E.apply_dictionary(exact, dictionary, ["x"]).collect()) == [-1, *range(len(values))]
