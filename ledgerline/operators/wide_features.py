@@ -168,7 +168,8 @@ def wide_features(df: DataFrame, roles: Roles, only: Sequence[str] | None = None
         names = [n for n in names if n in chosen]
         numeric = [c for c in numeric if any(f"{c}_{s}" in chosen for s in (*NUMERIC_STATS, *TREND_STATS))]
         categorical = [c for c in categorical if any(f"{c}_{s}" in chosen for s in CATEGORICAL_STATS)]
-    df = df.where(F.col(roles.key).isNotNull())
+    # rows of many customers in turn would leave a state per customer and batch, each far wider than a row
+    df = df.where(F.col(roles.key).isNotNull()).sortWithinPartitions(roles.key)
     states = partial_states(df, roles, numeric).groupBy(roles.key).agg(F.collect_list("state").alias("_states"))
     if categorical:
         states = states.join(categorical_aggregates(df, roles, categorical), roles.key, "left")

@@ -244,3 +244,20 @@ def test_wide_features_equal_the_aggregates(spark):
     assert WF.wide_features(df.limit(0), roles).collect() == []
     with pytest.raises(ValueError):
         WF.wide_features(df, Roles(tie="seq", categoricals=("D_63",)))
+
+
+def test_interleaved_customers_leave_one_wide_state_each(spark, monkeypatch):
+    """Many batches in one task, every customer in each of them."""
+    roles = Roles(categoricals=())
+    data = [(f"c{i % 10}", datetime(2018, 1, 1 + i // 20), float(i), None if i % 3 else i / 7) for i in range(400)]
+    df = spark.createDataFrame(data, "customer_ID string, S_2 timestamp_ntz, P_2 double, B_1 double").withColumn("P_2", F.col("P_2") % 31).coalesce(1)
+    made, states = [], WF.partial_states
+    monkeypatch.setattr(WF, "partial_states", lambda *a: made.append(states(*a)) or made[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        wide = WF.wide_features(df, roles)
+        assert made[0].count() == 10
+        assert wide.select("customer_ID", "P_2_mean", "B_1_max", "statement_count").orderBy("customer_ID").collect() == FT.customer_features(df, roles).select(
+            "customer_ID", "P_2_mean", "B_1_max", "statement_count").orderBy("customer_ID").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
