@@ -1,9 +1,9 @@
 """Features of a stream of statements, carried from batch to batch.
 
-A customer's statements may come over many batches. The state per customer is the mergeable one of ``wide_features``: a
-fixed number of doubles per numeric column, however long the history. Tasks reduce a batch's rows to one state per
-customer before the shuffle, so a customer with a large share of a batch sends a few rows; merging does not depend on
-the order of arrival, since first and last go with their order keys.
+A customer's statements may come over many batches. Every statistic is one of Spark's mergeable aggregates, kept in the
+stream's state as a fixed number of values per numeric column, however long the history. Tasks reduce a batch's rows to one
+state per customer before the shuffle, so a customer with a large share of a batch sends a few rows; merging does not depend on
+the order of arrival, since first and last go with their order keys. No Python runs per customer.
 
 Numeric, trend and date features; a categorical feature needs its values and is not carried. NULL keys belong to nobody. NULL
 and NaN are missing. Every batch gives the rows of the customers it touched; ``latest_rows`` keeps the newest of each.
@@ -11,56 +11,22 @@ and NaN are missing. Every batch gives the rows of the customers it touched; ``l
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerline.operators.features import DATE_FEATURES, NUMERIC_STATS, TREND_STATS, feature_names
-from ledgerline.operators.wide_features import DATES, FIELDS, features_of, merged, partial_states
+from ledgerline.functions.literals import quoted
+from ledgerline.operators.features import aggregated, feature_names, missing_to_null
 from ledgerline.roles import Roles
 
 
 def running_features(stream: DataFrame, roles: Roles, numeric: Sequence[str] | None = None) -> DataFrame:
     """Features of the customers a batch touches, over all their statements so far."""
     numeric = list(numeric if numeric is not None else roles.numeric_columns(stream))
-    width = len(numeric)
-    size = len(FIELDS) * width + DATES
     known = stream.where(F.col(roles.key).isNotNull())
-    key_type = known.schema[roles.key].dataType
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        whole = np.frombuffer(state.get[0]).reshape(1, size) if state.exists else None
-        with np.errstate(all="ignore"):
-            for part in parts:
-                for row in part["state"]:
-                    found = np.frombuffer(bytes(row)).reshape(1, size)
-                    whole = found if whole is None else merged(whole, found, width)
-        state.update((whole.tobytes(),))
-        yield pd.DataFrame({roles.key: [key[0]], "state": [whole.tobytes()]})
-
-    schema = T.StructType([T.StructField(roles.key, key_type), T.StructField("state", T.BinaryType())])
-    states = partial_states(known, roles, numeric).groupBy(roles.key).applyInPandasWithState(
-        update, schema, "state binary", "update", GroupStateTimeout.NoTimeout)
-    names = feature_names(numeric, [])
-    by_name = {f"{c}_{s}": (s, i) for i, c in enumerate(numeric) for s in (*NUMERIC_STATS, *TREND_STATS)}
-    wanted = [by_name.get(n, (n, -1)) for n in names]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                flat = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, size)
-                with np.errstate(all="ignore"):
-                    found = features_of(flat, width, wanted)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *found], [roles.key, *names])
-
-    fields = [T.StructField(n, T.LongType() if n in DATE_FEATURES else T.DoubleType()) for n in names]
-    return states.mapInArrow(run, T.StructType([schema[roles.key], *fields]))
+    rows = known.select(roles.key, roles.date, roles.order_key(known).alias("_ord"), *[F.col(quoted(c)).cast("double").alias(c) for c in numeric])
+    return aggregated(missing_to_null(rows), roles, numeric).select(roles.key, *feature_names(numeric, []))
 
 
 def latest_rows(log: DataFrame, key: str, batch: str = "batch") -> DataFrame:

@@ -192,3 +192,20 @@ def test_full_report_has_every_section(spark):
     text = I.report_document(report)
     assert text.count("## ") == 5 and "| 0.7 | " in text and "| 10 | " in text
     assert EV.full_report(df.limit(0)).where("section IN ('bands', 'approval')").count() == 0
+
+
+def test_running_state_needs_no_python_per_customer(spark, tmp_path):
+    """The state is one of Spark's aggregations; missing values and values that tie in everything but order stay right."""
+    roles = Roles(tie="seq", day_grain=True, tie_bits=42, categoricals=())
+    day = datetime(2018, 3, 1)
+    data = [("a", day, 2, float("nan")), ("a", day, 1, 0.25), ("a", datetime(2018, 2, 1), 9, None), ("b", day, 3, None), (None, day, 4, 1.0)]
+    source = spark.createDataFrame(data, "customer_ID string, S_2 timestamp_ntz, seq long, P_2 double")
+    src = str(tmp_path / "src")
+    source.coalesce(1).write.parquet(src)
+    features = CS.running_features(spark.readStream.schema(source.schema).parquet(src), roles)
+    plan = features._jdf.queryExecution().analyzed().toString()
+    assert "Pandas" not in plan and "Aggregate" in plan
+    ST.finish(ST.score_stream(features, lambda f: f, str(tmp_path / "log"), str(tmp_path / "check"), output_mode="update"))
+    got = {r["customer_ID"]: r for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert set(got) == {"a", "b"} and got["b"]["P_2_mean"] is None and got["b"]["statement_count"] == 1
+    assert (got["a"]["P_2_mean"], got["a"]["P_2_last"], got["a"]["P_2_std"], got["a"]["statement_count"], got["a"]["history_days"]) == (0.25, 0.25, None, 3, 28)
