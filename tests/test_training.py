@@ -229,3 +229,40 @@ def test_adaptive_search_beats_random_draws_and_repeats():
         gains.append(sum(later) / len(later) - sum(worth(p) for p in TR.draw_params(20, seed)) / 20)
     assert min(gains) > 0 and sum(gains) / len(gains) > 0.2
     assert len(TR.search(lambda settings: [float("nan")] * len(settings), 7, startup=3)) == 7
+
+
+@pytest.mark.parametrize("use", ["folds", "search", "serving"])
+def test_training_rows_are_dealt_over_tasks(folded, monkeypatch, use):
+    """However few partitions the stored table has; a small table stays as it is."""
+    one = materialize(folded.coalesce(1), "one")
+    inputs, sizes, fit = TR.fit_inputs(folded, COLUMNS), [], TR.fit_boosted
+
+    def seen(train, valid, *rest):
+        sizes.append([r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()])
+        return fit(train, valid, *rest)
+
+    monkeypatch.setattr(TR, "fit_boosted", seen)
+    run = {
+        "folds": lambda: TR.cross_validate(one, lambda t, v: TR.fit_boosted(t, v, inputs, PARAMS, 1), k=2),
+        "search": lambda: TR.tune(one, inputs, 1, 1),
+        "serving": lambda: TR.train_serving(one.drop("fold"), COLUMNS, PARAMS, 1)}[use]
+    run()
+    assert all(len(s) == 1 for s in sizes)
+    sizes.clear()
+    monkeypatch.setattr(TR, "ROWS_PER_TASK", 60)
+    run()
+    rows = {"folds": 300, "search": 300, "serving": 539}[use]
+    assert sizes and all(abs(sum(s) - rows) <= 1 and max(s) < 110 for s in sizes)
+
+
+def test_features_are_computed_once_for_the_folds(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        rows.add(1)
+        return x
+
+    # two columns of a task's rows: a plan read again would count again
+    features = spark.range(50, numPartitions=1).select(F.col("id").cast("string").alias("customer_ID"), F.udf(seen, "long")("id").alias("x"))
+    labels = spark.range(50).select(F.col("id").cast("string").alias("customer_ID"), (F.col("id") % 2).cast("int").alias("target"))
+    assert TR.folded_training_set(features, labels, 5).count() == 50 and rows.value == 50
