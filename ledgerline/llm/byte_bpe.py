@@ -1,16 +1,28 @@
-"""Token ids of a byte-level BPE file, with a dictionary in front of the tokenizer.
+"""Token ids of a byte-level BPE file.
 
-The pattern of byte-level BPE never crosses from a visible character to a space, so a text may be cut before any
+Where the file's merges stand in rank order, tiktoken encodes a text as a whole over the same ranks. Texts with letters from U+0590 on
+(whose classes the two libraries may know from different Unicode versions), with special tokens or beyond ``WHOLE`` characters (tiktoken's pattern
+gives up on about a million white-space characters in a row) take a dictionary in front of the tokenizer, as do all texts of other files.
+
+The pattern of byte-level BPE never crosses from a visible character to a space, so such a text may be cut before any
 space that follows a visible character and precedes another. Pieces repeat; each is
 encoded once per worker and its ids kept as bytes.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+from array import array
+
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
 KEPT_PIECES = 400_000
+WHOLE = 100_000
+BEYOND = re.compile("[\u0590-\U0010ffff]").search
 # Fixed value: the split pattern of this kind of tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -22,6 +34,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def splits_by_pattern(form: dict) -> bool:
+    """The tokenizer file cuts texts by ``PATTERN`` and changes nothing before."""
+    cut = form["pre_tokenizer"] or {}
+    return form["normalizer"] is None and cut == {
+        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": cut.get("trim_offsets"), "use_regex": True}
+
+
+def by_ranks(model: dict, letters: dict[str, int]) -> tiktoken.Encoding | None:
+    """The same byte-level BPE run over ranks, if its merges stand in the order of the ids they make and every byte has one."""
+    vocabulary, merges = model["vocab"], model["merges"]
+    made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in merges]
+    known = set(made)
+    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if all(c in letters for c in t) and (len(t) == 1 or i in known)}
+    if made != sorted(made) or min(made, default=0) < 256 or any(bytes([b]) not in ranks for b in range(256)):
+        return None
+    return tiktoken.Encoding("by ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class _Pieces(dict):
     """Piece -> its ids as little-endian unsigned 32-bit numbers."""
 
@@ -59,11 +89,24 @@ class ByteBpe:
     """Encodes texts to the same ids as ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        letters = {letter: byte for byte, letter in _byte_letters().items()}
+        self.ranks = by_ranks(form["model"], letters) if splits_by_pattern(form) else None
         self.pieces = _Pieces(Tokenizer.from_file(path))
         self.odd = regex.compile(r"  |\s \s| \s|^ | $").search
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if self.ranks is not None and len(text) <= WHOLE and (text.isascii() or not BEYOND(text)) and not any(s in text for s in self.pieces.special):
+            ids = array("I", self.ranks.encode_ordinary(text))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            return ids.tobytes()
+        return self.by_pieces(text)
+
+    def by_pieces(self, text: str) -> bytes:
+        """The same ids by the dictionary of pieces."""
         if self.odd(text):
             return self._odd(text)
         first, *rest = text.split(" ")

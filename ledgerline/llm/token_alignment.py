@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerline.llm.byte_bpe import PATTERN, _byte_letters
+from ledgerline.llm.byte_bpe import _byte_letters, by_ranks, splits_by_pattern
 from ledgerline.llm.sentence_pieces import BYTE, MARK, PieceModel
 from ledgerline.llm.stages import materialize
 
@@ -85,11 +85,10 @@ class Sides:
         b_bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
         plain = not model.charsmap and not model.remove_extra and model.escape and model.dummy_prefix
         form = json.loads(a_file)
-        by_pattern = form["normalizer"] is None and form["pre_tokenizer"] == {
-            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": form["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
+        by_pattern = splits_by_pattern(form)
         return cls(
             a, sentencepiece.SentencePieceProcessor(model_proto=b_model), a_bytes, b_bytes, plain and model.splits_at_mark and by_pattern,
-            _ranked(form["model"], letters) if by_pattern else None)
+            by_ranks(form["model"], letters) if by_pattern else None)
 
     def windows(self, text: str) -> Iterator[str]:
         """Space and text, cut into parts of about ``WINDOW`` characters where both sides end a token."""
@@ -155,17 +154,6 @@ class Sides:
                 self.new[s] = (np.array(x, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if same else None
 
 
-def _ranked(model: dict, letters: dict[str, int]) -> tiktoken.Encoding | None:
-    """The same byte-level BPE run over ranks, if its merges stand in the order of the ids they make and every byte has one."""
-    vocabulary, merges = model["vocab"], model["merges"]
-    made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "", 1), -1) for m in merges]
-    known = set(made)
-    ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if all(c in letters for c in t) and (len(t) == 1 or i in known)}
-    if made != sorted(made) or min(made, default=0) < 256 or any(bytes([b]) not in ranks for b in range(256)):
-        return None
-    return tiktoken.Encoding("side a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 _SIDES: dict[tuple[str, bytes], Sides] = {}
 
 

@@ -223,6 +223,20 @@ def test_byte_bpe_equals_the_tokenizer():
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == ids, repr(t)
 
 
+def test_byte_bpe_takes_whole_texts(monkeypatch):
+    """Usual texts need no dictionary; long ones, later letters and special tokens take it. The ids are the tokenizer's either way."""
+    reference, mine = Tokenizer.from_file(BYTE_BPE), ByteBpe(BYTE_BPE)
+    rng, cut = random.Random(4), []
+    by_pieces = mine.by_pieces
+    monkeypatch.setattr(mine, "by_pieces", lambda t: cut.append(t) or by_pieces(t))
+    common = [*" \n\t\x1c\x85\xa0'1\xb2a\xe9<|", "ll", "'re", " the"]
+    usual = ["".join(rng.choice(common if i % 2 else [chr(c) for c in range(0x590)]) for _ in range(rng.randrange(60))) for i in range(600)]
+    odd = ["a \u4e2d\u6587", "x<|endoftext|> y", "a" + " \n" * 60_000 + "b"]
+    for t in usual + odd:
+        assert np.frombuffer(mine.encode(t), "<u4").tolist() == reference.encode(t, add_special_tokens=False).ids, repr(t[:80])
+    assert cut == odd
+
+
 def test_packing(spark):
     rows = [*near_copies(), (950, "word " * 5_000)]
     got = packing.pack_documents(spark, documents(spark, rows), BYTE_BPE, 64).toPandas()
