@@ -1,7 +1,9 @@
 """From raw documents to packed sequences; every stage works on what its predecessor kept.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``; the last returns the pieces
-of the kept documents with their places in sequences.
+of the kept documents with their places in sequences. Texts go to Python in batches of ``BATCH`` rows, since an executor holds a batch several
+times over and the stages share its workers. The first two stages set this for the session, as their rows are made when the caller writes them; ``run``
+puts the old value back.
 """
 
 from __future__ import annotations
@@ -14,19 +16,22 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import near_dedup, packing, quality_classifier, quality_rules, suffix_dedup
 from ledgerline.llm.queries import BYTE_BPE
-from ledgerline.llm.stages import materialize, table
+from ledgerline.llm.stages import BATCH_ROWS, materialize, small_batches, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH = 1_000
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the divergence rules."""
+    spark.conf.set(BATCH_ROWS, str(BATCH))
     return quality_rules.judge_documents(docs, columns=COLUMNS, kept_only=True).select(*COLUMNS)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.3 or more. The model learns from the labelled rows of the raw table, since
     the rules have removed most bad examples; word vectors come from the raw table as well."""
+    spark.conf.set(BATCH_ROWS, str(BATCH))
     raw = table(spark, sf_dir, "documents")
     model = quality_classifier.fit_quality(raw, table(spark, sf_dir, "labels"))
     return quality_classifier.score_documents(docs, model, columns=COLUMNS, kept_only=True).select(*COLUMNS)
@@ -85,6 +90,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with small_batches(spark, BATCH):
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)

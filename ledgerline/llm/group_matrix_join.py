@@ -29,7 +29,6 @@ columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.near_dedup import WordHashes, _class_id, components, rebuilt_sets, shingle_set
-from ledgerline.llm.stages import arrow, materialize, partitions, texts_of
+from ledgerline.llm.stages import arrow, materialize, partitions, small_batches, texts_of
 
 GROUP = 128
 GROUP_TOKENS = 150_000
@@ -243,18 +242,6 @@ def linked_members(queries: Group, group: Group, percent: int, inside: bool = Fa
     return links
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH) -> Iterator[None]:
-    """Rows that carry groups are large, so few of them make a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def group_rows(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every group with its union, and the links inside it."""
 
@@ -313,7 +300,7 @@ def similarity_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     classes = materialize(linkable.groupBy("cid").agg(F.min("doc_id").alias("doc_min"), F.first("n_shingles").alias("n_shingles")), "classes")
     members = materialize(grouped(shared, classes), "members")
     sets = rebuilt_sets(spark, docs, members.select("cid"), classes, size, "shingle_sets", lambda found: found)
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         groups = materialize(group_rows(members, sets, percent), "groups")
     links = groups.select(F.explode("links").alias("l")).select("l.a", "l.b")
 
@@ -360,5 +347,5 @@ def _mixed_pairs(rooted: DataFrame) -> DataFrame:
 
 
 def _links(spark: SparkSession, pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         return materialize(compared(pairs, groups, percent), "links")

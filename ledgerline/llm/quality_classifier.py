@@ -36,7 +36,7 @@ PARTS = 16
 FOLD_IN = 32
 MAX_ROWS = 20_000
 HIDDEN = 32
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 
 

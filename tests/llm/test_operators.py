@@ -22,6 +22,7 @@ from ledgerline.llm import (
     quality_rules,
     sentence_pieces,
     sharding,
+    stages,
     suffix_dedup,
     url_filter,
     warc,
@@ -189,6 +190,28 @@ def test_suffix_dedup(spark):
     assert sorted(map(tuple, got.collect())) == cut_by_force(rows)
 
 
+def test_pipeline_hands_texts_over_in_small_batches(spark, monkeypatch):
+    sizes = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def seen(batches):
+        for batch in batches:
+            sizes[0].add(batch.num_rows)
+            sizes[1].add(batch.num_rows > corpus_pipeline.BATCH)
+            yield batch
+
+    docs = spark.range(2_500, numPartitions=1).selectExpr("id doc_id", "'a' text", "'en' lang", "'s' source", "1L n_chars")
+    through = lambda d, *_, **__: d.mapInArrow(seen, docs.schema)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: docs)
+    monkeypatch.setattr(quality_rules, "judge_documents", through)
+    monkeypatch.setattr(quality_classifier, "score_documents", through)
+    monkeypatch.setattr(quality_classifier, "fit_quality", lambda *_: None)
+    rules, classifier, *_ = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [rules, classifier, ("last", lambda _, d, __: d)])
+    before = spark.conf.get(stages.BATCH_ROWS)
+    assert corpus_pipeline.run(spark, "").count() == 2_500
+    assert [s.value for s in sizes] == [5_000, 0] and spark.conf.get(stages.BATCH_ROWS) == before
+
+
 def test_pipeline_cuts_every_row_by_itself(spark):
     rng = random.Random(13)
     a, b, c, d = ("".join(rng.choices("abcdefgh é", k=90)) for _ in range(4))
