@@ -4,7 +4,8 @@ The model protobuf is read field by field; normaliser, metaspace marker, pieces
 rebuilt. A unigram model keeps its scores; of a BPE model the merges are derived from them (a merge is as early as the
 score of what it makes is high). Texts are cut before the markers no piece can contain inside,
 and each distinct stretch is encoded once per worker, in multithreaded batches, and compared with the SentencePiece library: the
-``parity`` of a text says that all its stretches agree. A model whose pieces hold a marker inside encodes and compares whole texts.
+``parity`` of a text says that all its stretches agree. With a BPE model new stretches are encoded and compared in runs, and one by
+one where a run differs. A model whose pieces hold a marker inside encodes and compares whole texts.
 
 Edge cases: NULL and empty texts have no ids, and agree. A text that holds the marker character itself
 encodes like a space and so does not come back from decoding: ``round_trip`` is false. Repeated rows are encoded each on its
@@ -19,6 +20,8 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,7 @@ from ledgerline.llm.stages import arrow
 
 MARK = "▁"
 KEPT_STRETCHES = 400_000
+TOGETHER = 32
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 THREADS = "2"
@@ -155,9 +159,14 @@ class PieceEncoder:
         self.plain = not self.model.charsmap and not self.model.remove_extra and self.model.escape and self.model.dummy_prefix
         self.by_mark = self.plain and self.model.splits_at_mark
         self.cut = re.compile(f"(?<=[^{MARK}])(?={MARK})").split
+        self.first_byte = next((i for i, p in enumerate(self.model.pieces) if p[2] == BYTE), len(self.model.pieces))
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         # two generations: a full one is set aside, and what is still met comes back from it
-        self.stretches: dict[str, tuple[bytes, bool, bool, int]] = {}
-        self.before: dict[str, tuple[bytes, bool, bool, int]] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        # parity, round trip and byte pieces of the few stretches that differ from SentencePiece, do not come back or have byte pieces
+        self.odd: dict[str, tuple[bool, bool, int]] = {}
+        self.odd_before: dict[str, tuple[bool, bool, int]] = {}
 
     def cuts(self, text: str) -> list[str]:
         if not text:
@@ -171,13 +180,54 @@ class PieceEncoder:
         """Encodes the stretches not known yet, in one batch, and compares."""
         if len(self.stretches) > KEPT_STRETCHES // 2:
             self.before, self.stretches = self.stretches, {}
+            self.odd_before, self.odd = self.odd, {}
         new = []
         for s in dict.fromkeys(wanted):
             if s not in self.stretches:
                 if s in self.before:
                     self.stretches[s] = self.before[s]
+                    if s in self.odd_before:
+                        self.odd[s] = self.odd_before[s]
                 else:
                     new.append(s)
+        if not new:
+            return
+        self.learn_alone(self.learn_together(new) if self.by_mark and self.model.kind == BPE else new)
+
+    def learn_together(self, new: list[str]) -> list[str]:
+        """Learns ``new`` from runs of ``TOGETHER`` stretches encoded, decoded and compared at once, as no merge crosses a marker.
+
+        The stretches of a run that differs from SentencePiece or does not come back are returned.
+        """
+        runs = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        joined = ["".join(r) for r in runs]
+        ids = [e.ids for e in self.inner.encode_batch_fast(joined, add_special_tokens=False)]
+        decoded = self.inner.decode_batch(ids, skip_special_tokens=False)
+        spaced = [j.replace(MARK, " ") for j in joined]
+        known = self.reference.encode([t[1:] for t in spaced], num_threads=int(THREADS))
+        flat = np.fromiter(chain.from_iterable(ids), "<u4")
+        first = self.begins[flat]
+        found = np.concatenate([[0], np.cumsum(first)])[np.cumsum([0, *map(len, ids)])]
+        right = [
+            mine == theirs and back == t and f == len(r) == t.count(" ") and t[-1] != " "
+            for mine, theirs, back, t, f, r in zip(ids, known, decoded, spaced, np.diff(found).tolist(), runs, strict=True)]
+        kept = np.repeat(right, list(map(len, ids)))
+        flat, first = flat[kept], first[kept]
+        self.hold(list(chain.from_iterable(r for r, ok in zip(runs, right, strict=True) if ok)), flat, np.flatnonzero(first))
+        return list(chain.from_iterable(r for r, ok in zip(runs, right, strict=True) if not ok))
+
+    def hold(self, new: list[str], flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Keeps the ids of stretches that begin at ``starts`` of ``flat``; returns how many of each are byte pieces."""
+        ends = np.append(starts[1:], len(flat)) if len(starts) else starts
+        packed = flat.tobytes()
+        self.stretches.update(zip(new, map(packed.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist())), strict=True))
+        is_byte = np.concatenate([[0], np.cumsum((flat >= self.first_byte) & (flat < self.first_byte + 256))])
+        n_bytes = is_byte[ends] - is_byte[starts]
+        for i in np.flatnonzero(n_bytes).tolist():
+            self.odd[new[i]] = (True, True, int(n_bytes[i]))
+        return n_bytes
+
+    def learn_alone(self, new: list[str]) -> None:
         if not new:
             return
         encoded = self.inner.encode_batch_fast(new, add_special_tokens=False)
@@ -189,13 +239,14 @@ class PieceEncoder:
             alone = self.reference.encode("a ")[len(self.reference.encode("a")) :]
             known = [alone if s == MARK else k for s, k in zip(new, known, strict=True)]
         else:
-            known = [None] * len(new)  # compared as whole texts
-        first_byte = next((i for i, p in enumerate(self.model.pieces) if p[2] == BYTE), len(self.model.pieces))
-        for s, mine, back, theirs in zip(new, ids, decoded, known, strict=True):
-            n_bytes = sum(first_byte <= i < first_byte + 256 for i in mine)
-            packed = np.array(mine, "<u4").tobytes()
-            # a stretch in the middle of a text starts with its marker, as the dummy prefix does
-            self.stretches[s] = (packed, theirs is None or mine == theirs, back == s.replace(MARK, " "), n_bytes)
+            known = ids  # compared as whole texts
+        flat = np.fromiter(chain.from_iterable(ids), "<u4")
+        n_bytes = self.hold(new, flat, np.cumsum([0, *map(len, ids[:-1])]))
+        same = np.fromiter(map(eq, ids, known), bool, len(new))
+        # a stretch in the middle of a text starts with its marker, as the dummy prefix does
+        back = np.fromiter((b == s.replace(MARK, " ") for s, b in zip(new, decoded, strict=True)), bool, len(new))
+        for i in np.flatnonzero(~same | ~back | (n_bytes > 0)).tolist():
+            self.odd[new[i]] = (bool(same[i]), bool(back[i]), int(n_bytes[i]))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool, int]]:
         """Ids (little-endian, unsigned 32-bit), parity, round trip and byte pieces of each text."""
@@ -208,15 +259,15 @@ class PieceEncoder:
             while high < len(parts) and (high == low or size + len(parts[high]) <= KEPT_STRETCHES // 2):
                 size += len(parts[high])
                 high += 1
-            self.learn(s for p in parts[low:high] for s in p)
+            self.learn(chain.from_iterable(parts[low:high]))
             for text, stretches in zip(texts[low:high], parts[low:high], strict=True):
-                got = [self.stretches[s] for s in stretches]
-                ids = b"".join([g[0] for g in got])
-                same = all([g[1] for g in got])
+                ids = b"".join(map(self.stretches.__getitem__, stretches))
+                odd = [] if self.odd.keys().isdisjoint(stretches) else [self.odd[s] for s in stretches if s in self.odd]
+                same = all([o[0] for o in odd])
                 if not self.plain:
                     same = np.frombuffer(ids, "<u4").tolist() == self.reference.encode(text)
-                back = all([g[2] for g in got]) and MARK not in text
-                out.append((ids, same, back, sum([g[3] for g in got])))
+                back = all([o[1] for o in odd]) and MARK not in text
+                out.append((ids, same, back, sum([o[2] for o in odd])))
             low = high
         return out
 

@@ -341,3 +341,21 @@ def test_stretches_come_back_from_the_generation_before(monkeypatch):
         (ids, parity, back, _), = encoder.encode([text])
         assert np.frombuffer(ids, "<u4").tolist() == known.encode(text) and parity and back
         assert len(encoder.stretches) + len(encoder.before) <= 40
+
+
+def test_only_runs_that_differ_are_encoded_stretch_by_stretch(monkeypatch):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        encoder = sentence_pieces.PieceEncoder(f.read())
+    alone = []
+    by_stretch = encoder.learn_alone
+    monkeypatch.setattr(encoder, "learn_alone", lambda new: (alone.append(len(new)), by_stretch(new)))
+    texts = [" ".join(f"word{i} été{i} 漢{i}" for i in range(low, low + 40)) for low in range(0, 400, 40)] + ["two  spaces ▁ and a marker", "\U0001f9ff\x00end", "", "  "]
+    found = encoder.encode(texts)
+    assert max(alone) <= 2 * sentence_pieces.TOGETHER
+    for text, (ids, same, _, n_bytes) in zip(texts, found, strict=True):
+        theirs = encoder.reference.encode(text)
+        assert same == (np.frombuffer(ids, "<u4").tolist() == theirs)
+        assert n_bytes == sum(encoder.reference.is_byte(i) for i in np.frombuffer(ids, "<u4").tolist())
+    before = sentence_pieces.PieceEncoder(encoder.reference.serialized_model_proto())
+    monkeypatch.setattr(before, "learn_together", lambda new: new)
+    assert before.encode(texts) == found
