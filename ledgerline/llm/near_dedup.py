@@ -44,7 +44,7 @@ EMPTY = (1 << 12) - 1
 BAND = 5
 UNIT = 512
 NEAREST_ROUNDS = 1
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 

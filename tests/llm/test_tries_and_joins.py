@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
 from tokenizers import Tokenizer
 
 from ledgerline.llm import group_matrix_join, prefix_trie, sentence_pieces, token_alignment
@@ -359,3 +361,16 @@ def test_only_runs_that_differ_are_encoded_stretch_by_stretch(monkeypatch):
     before = sentence_pieces.PieceEncoder(encoder.reference.serialized_model_proto())
     monkeypatch.setattr(before, "learn_together", lambda new: new)
     assert before.encode(texts) == found
+
+
+def test_word_hashes_stay_small_and_right():
+    words = WordHashes()
+    tracemalloc.start()
+    try:
+        for i in range(300_000):
+            words[b"word %d" % i]
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 25e6
+    assert words[b"word 1"] == xxhash.xxh3_64_intdigest(b"word 1") == words[b"word 1"]
