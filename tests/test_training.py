@@ -6,6 +6,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ledgerline.catalog import model_queries as MQ
 from ledgerline.operators import tree_paths as TP
 from ledgerline.operators import tree_stages as TS
 from ledgerline.operators.folds import stratified_folds
@@ -266,3 +267,53 @@ def test_features_are_computed_once_for_the_folds(spark):
     features = spark.range(50, numPartitions=1).select(F.col("id").cast("string").alias("customer_ID"), F.udf(seen, "long")("id").alias("x"))
     labels = spark.range(50).select(F.col("id").cast("string").alias("customer_ID"), (F.col("id") % 2).cast("int").alias("target"))
     assert TR.folded_training_set(features, labels, 5).count() == 50 and rows.value == 50
+
+
+def test_rounds_are_added_until_patience_runs_out(spark, folded, monkeypatch):
+    """The trees kept are those of one fit of all rounds."""
+    inputs = TR.fit_inputs(folded, COLUMNS)
+    train, valid = folded.where("fold != 0"), folded.where("fold = 0")
+    asked, saved = [], TR.saved_scorer
+    monkeypatch.setattr(TR, "saved_scorer", lambda model, *rest: asked.append(model.getNumTrees) or saved(model, *rest))
+    sampled = {**PARAMS, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.5"}
+    whole = TR.fit_boosted(train, valid, inputs, sampled, 10, 1)
+    monkeypatch.setattr(TR, "FIRST_ROUNDS", 2)
+    grown = TR.fit_boosted(train, valid, inputs, sampled, 10, 1)
+    assert asked == [10, 2, 4, 8, 10][: len(asked)] and (asked[-1] == 10 or grown.trees + 1 <= asked[-1])
+    assert grown.trees == whole.trees and grown.values.values[: grown.trees] == whole.values.values[: whole.trees]
+    asked.clear()
+    assert len(TR.fit_boosted(train, valid, inputs, sampled, 5, 100).values.values) == 5 and asked == [2, 4, 5]
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_stage_scores_equal_the_column_form(folded, fitted):
+    leafed = TS.with_leaves(fitted.model, fitted.inputs.assemble(folded.where("fold = 0")))
+    for values in (fitted.values, TS.LeafValues(fitted.values.values, True)):
+        scores = [values.score(F.col(TS.LEAVES), n).alias(f"m{n}") for n in (2, 6)]
+        wanted = {(r["customer_ID"], r["target"], n - 1): r[f"m{n}"] for r in leafed.select("customer_ID", "target", *scores).collect() for n in (2, 6)}
+        out = TS.stage_scores(leafed, values, "customer_ID", "target", [5, 1]).collect()
+        assert {(r["key"], r["target"], r["stage"]): r["score"] for r in out} == wanted and len(out) == len(wanted)
+
+
+def test_cv_oof_asks_for_the_whole_training(spark, tmp_path, monkeypatch):
+    """1,500 rounds at most, patience 100, trees of 128 leaves at a rate of 0.03; the check rebuilds that run."""
+    orders = spark.range(240).selectExpr(
+        "id AS o_orderkey", "id % 60 AS o_custkey", "CAST(DATE_ADD(DATE'1996-01-01', CAST(id AS INT)) AS TIMESTAMP_NTZ) AS o_orderdate",
+        "CAST(id * 37 % 1000 AS DOUBLE) AS o_totalprice", "ELT(CAST(id % 3 AS INT) + 1, '1-URGENT', '2-HIGH', '5-LOW') AS o_orderpriority", "ELT(CAST(id % 2 AS INT) + 1, 'F', 'P') AS o_orderstatus")
+    lineitem = spark.range(480).selectExpr(
+        "id % 240 AS l_orderkey", "0.05D AS l_discount", "CAST(id % 50 AS DOUBLE) AS l_quantity", "0.02D AS l_tax", "CAST(id * 13 % 700 AS DOUBLE) AS l_extendedprice", "CAST(id % 6 AS INT) AS l_linenumber")
+    customer = spark.range(60).selectExpr("id AS c_custkey", "IF(id % 3 = 0, 1000D, 2000D) AS c_acctbal", "'BUILDING' AS c_mktsegment")
+    for name, df in (("orders", orders), ("lineitem", lineitem), ("customer", customer)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    asked, fit = [], TR.fit_boosted
+
+    def short(train, valid, inputs, params, rounds, patience):
+        asked.append(({**TR.MODEL_A, **params}, rounds, patience))
+        return fit(train, valid, inputs, {**params, "maxDepth": 2}, 2, patience)
+
+    monkeypatch.setattr(TR, "fit_boosted", short)
+    assert MQ.cv_oof(spark, str(tmp_path)).count() == 60
+    assert len(asked) == 5 and all(rounds == 1500 and patience == 100 for _, rounds, patience in asked)
+    assert all(p["stepSize"] == 0.03 and 2 ** p["maxDepth"] == 128 and p["minInstancesPerNode"] == 40 for p, _, _ in asked)
+    check = MQ.cv_oof_check(spark, str(tmp_path)).collect()
+    assert len(asked) == 5 and len(check) == 60 and all(r["in_range"] and r["same_from_files"] for r in check)
